@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mpeg, quality, suffix_tree, toxicity, url_rules
+from . import decontaminate, licenses, mpeg, pieces, quality, suffix_tree, toxicity, url_rules
 from .common import table
 
 
@@ -40,3 +40,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.evaluate(table(spark, sf_dir, "documents"))
+
+
+#: The vocabulary's file; another can be named in the session as tideline.llm.pieces.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def piece_vocabulary(spark: SparkSession) -> pieces.Vocabulary:
+    return pieces.load(spark.conf.get("tideline.llm.pieces", PIECES))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_vocabulary(spark))
+    return encoded.withColumn("ids_sha256", F.sha2("ids", 256))

@@ -156,6 +156,32 @@ def lookup(table: np.ndarray, keys_: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys_, at, -1)
 
 
+class Index:
+    """Places of keys in a sorted table of mixed fingerprints: one look at a bucket of the leading
+    bits instead of a binary search. Buckets outnumber keys, so few keys share one."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(8, int(len(table)).bit_length() + 2)
+        self.table = np.append(table, np.uint64(0))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys_: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent."""
+        bucket = (keys_ >> self.shift).astype(np.int64)
+        at = self.first[bucket].astype(np.int64)
+        stop = self.first[bucket + 1]
+        out = np.where((at < stop) & (self.table[at] == keys_), at, -1)
+        more = np.flatnonzero((out < 0) & (at + 1 < stop))
+        while len(more):
+            at[more] += 1
+            hit = self.table[at[more]] == keys_[more]
+            out[more[hit]] = at[more[hit]]
+            more = more[~hit]
+            more = more[at[more] + 1 < stop[more]]
+        return out
+
+
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The concatenation of arange(first[i], last[i])."""
     lens = np.maximum(last - first, 0)
