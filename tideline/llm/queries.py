@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mpeg, pieces, quality, suffix_tree, toxicity, url_rules
+from . import decontaminate, jaccard_join, licenses, mpeg, pieces, quality, suffix_tree, toxicity, url_rules
 from .common import table
 
 
@@ -53,3 +53,7 @@ def piece_vocabulary(spark: SparkSession) -> pieces.Vocabulary:
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_vocabulary(spark))
     return encoded.withColumn("ids_sha256", F.sha2("ids", 256))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
