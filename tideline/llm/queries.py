@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licenses, mpeg, pieces, quality, suffix_tree, toxicity, url_rules
-from .common import table
+from . import decontaminate, jaccard_join, licenses, mpeg, pieces, quality, suffix_tree, token_shards, toxicity, url_rules
+from .common import shared_dir, table
 
 
 #: (verdict, host, path)
@@ -57,3 +59,13 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+#: The rank file; another can be named in the session as tideline.llm.ranks.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = token_shards.load(spark.conf.get("tideline.llm.ranks", RANKS))
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return token_shards.materialise(table(spark, sf_dir, "documents"), folder, vocab)
