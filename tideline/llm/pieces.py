@@ -26,6 +26,7 @@ whole; repeated keys draw the same numbers.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,15 +42,15 @@ THETA = 1.0
 SHIFT = 10.0
 SPACE = 0x2581
 OWN_SPACE = 0x110000  # a U+2581 of the text itself
-BLOCK = 2 << 20
-NOISE, DEPTH = 37.0, 60.0  # 37 > -log(2**-54)
+BLOCK = 3 << 19
+NOISE, DEPTH, NEAR = 37.5, 45.0, 640  # 37.5 > -log(2**-54)
 _LEN = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
 class Vocabulary:
     """index: of the fingerprints of all beginnings of pieces; piece: theirs or -1; log_w by piece;
-    byte_ids: piece of each byte; text: the pieces' bytes, one after another, at offsets."""
+    byte_ids: piece of each byte; text: the pieces' bytes, size of them, one after another at offsets."""
 
     index: Index
     piece: np.ndarray
@@ -57,6 +58,7 @@ class Vocabulary:
     byte_ids: np.ndarray
     text: np.ndarray
     offsets: np.ndarray
+    size: np.ndarray
     joined: np.ndarray  # by code point: whether it stands in a longer piece; the last entry is False
     longest: int
 
@@ -93,8 +95,9 @@ def vocabulary(pieces: list[str], scores: list[float], kinds: list[str], theta:
     points = {ord(c) for i in normal if len(pieces[i]) > 1 for c in pieces[i]}
     joined = np.zeros(max(points, default=0) + 2, bool)
     joined[list(points)] = True
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    return Vocabulary(Index(h[at]), np.array([own[names[i]] for i in at.tolist()]), log_w, byte_ids, np.frombuffer(b"".join(raw), np.uint8), offsets, joined, max(len(pieces[i]) for i in normal))
+    size = np.array([len(r) for r in raw], np.int32)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return Vocabulary(Index(h[at]), np.array([own[names[i]] for i in at.tolist()]), log_w, byte_ids, np.frombuffer(b"".join(raw), np.uint8), offsets, size, joined, max(len(pieces[i]) for i in normal))
 
 
 def load(path: str, theta: float = THETA) -> Vocabulary:
@@ -108,103 +111,105 @@ def load(path: str, theta: float = THETA) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """Of distinct units. Edges are sorted by their start; node i's are first[i]:first[i + 1]."""
+    """Of distinct units. Nodes are numbered by their distance from their unit's end, so the backward
+    sums run over slices; node i's edges are first[i]:first[i + 1]."""
 
     first: np.ndarray
     source: np.ndarray
     to: np.ndarray
+    piece: np.ndarray  # of an edge, or -1 - i for spelling i
     q: np.ndarray  # probability given the start
     log_q: np.ndarray
-    cdf: np.ndarray  # cumulative probability given the start; 1 at a node's last edge
-    ids: np.ndarray  # pieces of the edges, at id_first
-    id_first: np.ndarray
-    begin: np.ndarray  # each unit's first node
-    last: np.ndarray  # each unit's last node
+    begin: np.ndarray  # each unit's first node; its last one has the unit's number
+    spelling: list[np.ndarray]
+
+    def ids(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of these edges, one after another, how many each has)."""
+        ids, n = self.piece[edge], np.ones(len(edge), np.int64)
+        spelled = np.flatnonzero(ids < 0)
+        if not len(spelled):
+            return ids, n
+        n[spelled] = np.array([len(x) for x in self.spelling])[-1 - ids[spelled]]
+        out = np.repeat(ids, n)
+        out[out < 0] = np.concatenate([self.spelling[i] for i in (-1 - ids[spelled]).tolist()])
+        return out, n
 
 
 def lattice(v: Vocabulary, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> Lattice:
     """cp: code points; units are cp[start:end]."""
     lens = end - start
-    c = cp[ranges(start, end)]
+    m, c = len(lens), cp[ranges(start, end)].astype(np.int64)
     n = len(c)
-    unit = np.repeat(np.arange(len(lens)), lens)
-    stop = np.cumsum(lens)[unit]  # of each place's unit, in c
-    place = np.arange(n)
-    node = place + unit
-    acc = np.zeros(n, np.uint64)
-    alive = place
-    found: list[tuple[np.ndarray, int, np.ndarray]] = []  # (places, length, pieces)
-    many = np.zeros(n, np.int64)
-    single = np.zeros(n, bool)
+    unit = np.repeat(np.arange(m, dtype=np.int32), lens)
+    far = np.repeat(np.cumsum(lens), lens) - np.arange(n)
+    longest = int(lens.max()) if m else 0
+    place = np.argsort(far.astype(np.int16) if longest < 1 << 15 else far, kind="stable").astype(np.int32)
+    far, owner = far[place].astype(np.int32), unit[place]
+    node = np.empty(n + 1, np.int32)
+    node[place] = np.arange(m, m + n, dtype=np.int32)
     key = keys(v.longest)
+    plus = c.astype(np.uint64) + np.uint64(1)
+    # What is still alive: the beginnings of pieces, of growing length.
+    rows, at, left, acc = np.arange(n, dtype=np.int32), place, far, np.zeros(n, np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]] = []  # (rows, places, distances, length, pieces)
+    many = np.zeros(n, np.int32)
+    spelled = np.zeros(n, bool)
     for k in range(v.longest):
-        alive = alive[alive + k < stop[alive]]
-        if not len(alive):
+        if k:
+            some = left > k
+            rows, at, left, acc = rows[some], at[some], left[some], acc[some]
+        if not len(rows):
             break
-        acc[alive] += (c[alive + k].astype(np.uint64) + np.uint64(1)) * key[k]
-        at = v.index.find(mix(acc[alive] + np.array(k + 1, np.uint64) * _LEN))
-        alive, at = alive[at >= 0], at[at >= 0]
-        own = v.piece[at] >= 0
-        found.append((alive[own], k + 1, v.piece[at[own]]))
-        many[alive[own]] += 1
+        acc += plus[at + k] * key[k]
+        name = v.index.find(mix(acc + np.array(k + 1, np.uint64) * _LEN))
+        some = name >= 0
+        rows, at, left, acc = rows[some], at[some], left[some], acc[some]
+        names = v.piece[name[some]]
+        own = names >= 0
+        found.append((rows[own], at[own], left[own], k + 1, names[own]))
+        many[found[-1][0]] += 1
         if k == 0:
-            single[alive[own]] = True
-    spelled = np.flatnonzero(~single)
-    found.append((spelled, 1, -1 - c[spelled]))
+            spelled[:] = True
+            spelled[found[-1][0]] = False
+    spelled = np.flatnonzero(spelled) if n else np.zeros(0, np.int64)
+    codes, back = np.unique(c[place[spelled]], return_inverse=True)
+    spelling = [v.byte_ids[np.frombuffer(chr(SPACE if x == OWN_SPACE else x).encode("utf-8", "surrogatepass"), np.uint8)] for x in codes.tolist()]
+    found.append((spelled, place[spelled], far[spelled], 1, -1 - back))
     many[spelled] += 1
-    # Each length gives a place one edge at most, so edges go straight to their sorted places.
-    total = n + len(lens)
-    degree = np.zeros(total + 1, np.int64)
-    degree[node + 1] = many
-    first = np.cumsum(degree)
-    free = first[node]
-    src_, dst_, piece_ = (np.zeros(int(first[-1]), np.int64) for _ in range(3))
-    for places, k, names in found:
-        e = free[places]
-        free[places] += 1
-        src_[e], dst_[e], piece_[e] = node[places], node[places] + k, names
-    del found, acc, free, degree, many
-    codes, back = np.unique(piece_[piece_ < 0], return_inverse=True)
-    spelling = [v.byte_ids[np.frombuffer(chr(SPACE if -1 - x == OWN_SPACE else -1 - x).encode("utf-8", "surrogatepass"), np.uint8)] for x in codes.tolist()]
-    size = np.ones(len(piece_), np.int64)
-    log_w = np.where(piece_ >= 0, v.log_w[np.maximum(piece_, 0)], 0.0)
-    if len(codes):
-        n_bytes = np.array([len(s) for s in spelling])
-        size[piece_ < 0] = n_bytes[back]
-        log_w[piece_ < 0] = n_bytes[back] * v.log_w[v.byte_ids[0]]
-    id_first = np.concatenate([[0], np.cumsum(size)])
-    ids = np.repeat(piece_, size)
-    if len(codes):
-        flat, at = np.concatenate(spelling), np.concatenate([[0], np.cumsum([len(s) for s in spelling])])
-        ids[np.repeat(piece_ < 0, size)] = flat[ranges(at[back], at[back + 1])]
-    # Backward sums, by distance from the unit's end; each node's largest log weight is factored out.
-    beta = np.zeros(total)
-    far = stop - place
-    by_far = np.argsort(far.astype(np.int16), kind="stable") if n and far.max() < 1 << 15 else np.argsort(far, kind="stable")
-    bounds = np.searchsorted(far[by_far], np.arange(1, int(far.max()) + 2)) if n else np.zeros(1, np.int64)
-    for d in range(len(bounds) - 1):
-        nodes = node[by_far[bounds[d] : bounds[d + 1]]]
-        if not len(nodes):
+    # Each length gives a place one edge at most, so edges go straight to their places.
+    first = np.zeros(m + n + 1, np.int32)
+    np.cumsum(many, out=first[m + 1 :])
+    free = first[m:-1].copy()
+    size = int(first[-1])
+    to, piece = np.empty(size, np.int32), np.empty(size, np.int32)
+    for rows, at, left, k, names in found:
+        e = free[rows]
+        free[rows] = e + 1
+        to[e] = np.where(left == k, owner[rows], node[at + k])
+        piece[e] = names
+    source = np.repeat(np.arange(m, m + n, dtype=np.int32), many)
+    weights = np.append(v.log_w, [len(x) * v.log_w[v.byte_ids[0]] for x in reversed(spelling)])
+    log_q = weights[piece]  # a negative number counts from the end
+    del found, free, many
+    # Backward sums; weights are at most 1, so only long units come near to underflow.
+    beta = np.zeros(m + n)
+    bounds = m + np.searchsorted(far, np.arange(1, longest + 2))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if lo == hi:
             continue
-        lo, hi = first[nodes], first[nodes + 1]
-        e = ranges(lo, hi)
-        value = log_w[e] + beta[dst_[e]]
-        cut = np.cumsum(hi - lo) - (hi - lo)
-        if value.min() < -600:
-            most = np.maximum.reduceat(value, cut)
-            beta[nodes] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, hi - lo)), cut))
-        else:  # far from underflow
-            beta[nodes] = np.log(np.add.reduceat(np.exp(value), cut))
-    log_q = np.minimum(log_w + beta[dst_] - beta[src_], 0.0)
+        a, b = int(first[lo]), int(first[hi])
+        log_q[a:b] += beta[to[a:b]]
+        cut = first[lo:hi] - a
+        if log_q[a:b].min() < -600:
+            most = np.maximum.reduceat(log_q[a:b], cut)
+            beta[lo:hi] = most + np.log(np.add.reduceat(np.exp(log_q[a:b] - np.repeat(most, np.diff(first[lo : hi + 1]))), cut))
+        else:
+            beta[lo:hi] = np.log(np.add.reduceat(np.exp(log_q[a:b]), cut))
+    log_q -= beta[source]
+    np.minimum(log_q, 0.0, out=log_q)
     q = np.exp(log_q)
-    cum = np.cumsum(q)
-    has = first[:-1] < first[1:]
-    base = np.zeros(total)
-    base[has] = cum[first[:-1][has]] - q[first[:-1][has]]
-    within = cum - base[src_]
-    within[first[1:][has] - 1] = 1.0
-    begin = np.cumsum(lens) - lens + np.arange(len(lens))
-    return Lattice(first, src_, dst_, q, log_q, within, ids, id_first, begin, begin + lens)
+    begin = node[np.cumsum(lens) - lens]
+    return Lattice(first, source, to, piece, q, log_q, begin, spelling)
 
 
 def _uniform(key: np.ndarray, *numbers) -> np.ndarray:
@@ -226,31 +231,34 @@ def _truncated(loc: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 def _walk(x: Lattice, unit: np.ndarray, node: np.ndarray, key: np.ndarray, number: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """(edges, index of the occurrence of each) of random paths from node to the ends of units. key
     and number: each occurrence's row key and number in its text."""
-    live, at, step = np.arange(len(unit)), node.copy(), 0
-    last = x.last[unit]
-    keep = at < last
+    live, at, step = np.arange(len(unit), dtype=np.int32), node, 0
+    ends = len(x.begin)  # nodes below this are the ends of units
+    keep = at >= ends
     live, at = live[keep], at[keep]
     seeds = mix(mix(key + np.array(sample + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     found, who = [], []
     while len(live):
         u = _uniform(seeds[live], step)
         e = x.first[at]
-        more = np.flatnonzero(x.cdf[e] <= u)
+        u -= x.q[e]
+        more = np.flatnonzero(u >= 0)
         while len(more):  # a node has few edges, so they are tried in turn
+            more = more[e[more] + 1 < x.first[at[more] + 1]]
             e[more] += 1
-            more = more[x.cdf[e[more]] <= u[more]]
+            u[more] -= x.q[e[more]]
+            more = more[u[more] >= 0]
         found.append(e)
         who.append(live)
         at = x.to[e]
-        keep = at < last[live]
+        keep = at >= ends
         live, at, step = live[keep], at[keep], step + 1
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = np.zeros(len(unit), np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    n = np.zeros(len(unit), np.int32)
     for w in who:
         n[w] += 1
     base = np.cumsum(n) - n
-    edges, owner = np.zeros(int(n.sum()), np.int64), np.repeat(np.arange(len(unit)), n)
+    edges, owner = np.zeros(int(n.sum()), np.int32), np.repeat(np.arange(len(unit), dtype=np.int32), n)
     for step, (e, w) in enumerate(zip(found, who, strict=True)):
         edges[base[w] + step] = e
     return edges, owner
@@ -270,34 +278,41 @@ class Paths:
 
 
 def _groups(x: Lattice, first, edge, number, gumbel, key, sample: int, since: np.ndarray, wanted: int) -> Paths:
-    lens = np.diff(first)
     log_q = x.log_q[edge]
-    total = np.zeros(len(lens))
-    full = np.flatnonzero(lens)
+    total = np.zeros(len(first) - 1)
+    full = np.flatnonzero(np.diff(first))
     if len(full):
         total[full] = np.add.reduceat(log_q, first[:-1][full])
-    cum = np.cumsum(log_q)
-    cum -= log_q
-    before = cum - np.repeat(cum[np.minimum(first[:-1], max(0, len(cum) - 1))] if len(cum) else total, lens)
-    value = np.full(len(edge), -np.inf)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    from_ = first[:-1] + since
-
-    def draw(at: np.ndarray) -> None:
-        at = at[at >= from_[doc[at]]]
+    value, before = np.full(len(edge), -np.inf), np.zeros(len(edge))
+
+    def draw(docs: np.ndarray, most: int, deepest: float) -> np.ndarray:
+        """Fills in the groups of the first places of these texts; whether that is enough for each."""
+        lo = first[docs]
+        hi = np.minimum(first[docs + 1], lo + most)
+        lens = hi - lo
+        at = ranges(lo, hi)
+        own = np.repeat(np.arange(len(docs)), lens)
+        part = log_q[at]
+        cum = np.cumsum(part)
+        cum -= part
+        start = np.cumsum(lens) - lens
+        cum -= np.repeat(cum[start], lens)
+        before[at] = cum
         e = edge[at]
-        at = at[(x.first[x.source[e] + 1] - x.first[x.source[e]] > 1) & (x.q[e] < 1)]
-        d = doc[at]
-        loc = before[at] + np.log1p(-x.q[edge[at]])
-        value[at] = _truncated(loc, gumbel[d], _uniform(key[d], sample, at - first[d], 1 << 20))
-
-    # A drawn value exceeds its location by less than NOISE, so groups far down a path cannot be
-    # among the next: they are drawn only for texts whose nearer ones might not be enough.
-    near = before >= -DEPTH
-    draw(np.flatnonzero(near))
-    if not near.all():
-        enough = np.bincount(doc[value > NOISE - DEPTH], minlength=len(lens)) > wanted
-        draw(np.flatnonzero(~near & ~enough[doc]))
+        k = np.flatnonzero((cum >= deepest) & (at >= np.repeat(lo + since[docs], lens)) & (x.first[x.source[e] + 1] - x.first[x.source[e]] > 1) & (x.q[e] < 1))
+        d = docs[own[k]]
+        value[at[k]] = _truncated(cum[k] + np.log1p(-x.q[e[k]]), gumbel[d], _uniform(key[d], sample, at[k] - first[d], 1 << 20))
+        last = hi - 1
+        done = (hi == first[docs + 1]) & (before[last] >= deepest)
+        deep = before[last] < deepest
+        return done | deep & (np.bincount(own[k][value[at[k]] > NOISE + deepest], minlength=len(docs)) > wanted)
+
+    # A drawn value exceeds its location by less than NOISE, so groups far down a path cannot be among
+    # the next ones; they are drawn only for texts whose nearer groups might not be enough.
+    if len(full):
+        again = full[~draw(full, NEAR, -DEPTH)]
+        if len(again):
+            draw(again, len(edge), -np.inf)
     return Paths(first, edge, number, before, value, total, gumbel)
 
 
@@ -322,6 +337,7 @@ def top_k(x: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k: i
 
     tops = [best(out[0])]
     for j in range(1, k):
+        pick_u, again_u = _uniform(key, j, 1 << 22).tolist(), np.log(-np.log(_uniform(key, j, 1 << 23))).tolist()
         which = np.argmax(tops, axis=0)
         value = np.max(tops, axis=0)
         heads: list[tuple[np.ndarray, np.ndarray]] = []  # (edges, numbers) up to where the new path leaves
@@ -335,14 +351,19 @@ def top_k(x: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k: i
             node = int(x.source[e])
             taken = gone.setdefault((d, int(which[d]), place), [e])
             others = [o for o in range(int(x.first[node]), int(x.first[node + 1])) if o not in taken]
-            w = np.cumsum(x.q[others])
-            u = float(_uniform(key[d : d + 1], j, place, 1 << 22)[0])
-            pick = others[min(int(np.searchsorted(w, u * w[-1], "right")), len(others) - 1)]
+            w = [float(x.q[o]) for o in others]
+            want, pick = pick_u[d] * math.fsum(w), len(others) - 1
+            for i, one in enumerate(w):
+                want -= one
+                if want < 0:
+                    pick = i
+                    break
+            left = math.fsum(one for i, one in enumerate(w) if i != pick)
+            pick = others[pick]
             taken.append(pick)
-            left = float(x.q[[o for o in others if o != pick]].sum()) if len(others) > 1 else 0.0
-            loc = p.before[a + place] + np.log(left) if left > 0 else -np.inf
-            p.value[a + place] = _truncated(np.array([loc]), value[d : d + 1], _uniform(key[d : d + 1], j, place, 1 << 23))[0]
-            heads.append((np.append(p.edge[a : a + place], pick), p.number[a : a + place + 1]))
+            loc = float(p.before[a + place]) + math.log(left) if left > 0 else -math.inf
+            p.value[a + place] = loc - np.logaddexp(again_u[d], loc - value[d]) if left > 0 else -math.inf
+            heads.append((np.append(p.edge[a : a + place], np.int32(pick)), p.number[a : a + place + 1]))
             since[d] = place + 1
         for i in set(which[todo].tolist()):
             tops[i] = best(out[i])
@@ -363,7 +384,7 @@ def top_k(x: Lattice, unit: np.ndarray, first: np.ndarray, key: np.ndarray, k: i
             parts_n += (m, tail_number[lo:hi])
             lens[d] = len(e) + hi - lo
         new_first = np.concatenate([[0], np.cumsum(lens)])
-        edges = np.concatenate(parts_e) if parts_e else np.zeros(0, np.int64)
+        edges = np.concatenate(parts_e) if parts_e else np.zeros(0, np.int32)
         numbers = np.concatenate(parts_n) if parts_n else np.zeros(0, np.int64)
         out.append(_groups(x, new_first, edges, numbers, value, key, j, since, k + 1))
         tops.append(best(out[-1]))
@@ -395,13 +416,11 @@ def units(buf: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts whose pieces are ids[first[i]:first[i + 1]]; the first mark goes."""
-    lo, hi = v.offsets[ids], v.offsets[ids + 1]
-    raw = v.text[ranges(lo, hi)]
-    at = np.concatenate([[0], np.cumsum(hi - lo)])[first]
-    keep = np.ones(len(raw), bool)
+    lo, size = v.offsets[ids], v.size[ids]
+    at = np.concatenate([[0], np.cumsum(size)])[first]
+    raw = v.text[ranges(lo, lo + size)]
     some = at[1:] > at[:-1]
-    keep[at[:-1][some]] = False
-    return raw[keep], at - np.concatenate([[0], np.cumsum(some)])
+    return np.delete(raw, at[:-1][some]), at - np.concatenate([[0], np.cumsum(some)])
 
 
 def row_keys(column: pa.Array, seed: int) -> np.ndarray:
@@ -437,8 +456,7 @@ def encode(docs: DataFrame, model: Vocabulary, k: int = K, seed: int = SEED, doc
                     if paths:
                         p = paths[j]
                         there = (p.gumbel > -np.inf) & (np.diff(p.first) > 0)
-                        size = np.diff(x.id_first)[p.edge]
-                        ids = x.ids[ranges(x.id_first[p.edge], x.id_first[p.edge + 1])]
+                        ids, size = x.ids(p.edge)
                         id_first = np.concatenate([[0], np.cumsum(size)])[p.first]
                         log_prob = p.log_prob
                     else:

@@ -164,29 +164,38 @@ class Index:
         bits = max(8, int(len(table)).bit_length() + 2)
         self.table = np.append(table, np.uint64(0))
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        first = np.searchsorted(table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.first = first[:-1].astype(np.int32)
+        self.size = np.diff(first)
+        self.crowded = self.size > 1
+        self.last = len(table)
 
     def find(self, keys_: np.ndarray) -> np.ndarray:
         """Places, -1 where absent."""
-        bucket = (keys_ >> self.shift).astype(np.int64)
-        at = self.first[bucket].astype(np.int64)
-        stop = self.first[bucket + 1]
-        out = np.where((at < stop) & (self.table[at] == keys_), at, -1)
-        more = np.flatnonzero((out < 0) & (at + 1 < stop))
+        bucket = (keys_ >> self.shift).view(np.int64)
+        at = self.first[bucket]
+        hit = (self.table[at] == keys_) & (at < self.last)
+        out = np.where(hit, at, np.int32(-1))
+        more = np.flatnonzero(self.crowded[bucket] & ~hit)
+        step = 1
         while len(more):
-            at[more] += 1
-            hit = self.table[at[more]] == keys_[more]
-            out[more[hit]] = at[more[hit]]
+            hit = self.table[at[more] + step] == keys_[more]
+            out[more[hit]] = at[more[hit]] + step
             more = more[~hit]
-            more = more[at[more] + 1 < stop[more]]
+            step += 1
+            more = more[self.size[bucket[more]] > step]
         return out
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The concatenation of arange(first[i], last[i])."""
     lens = np.maximum(last - first, 0)
-    cum = np.cumsum(lens) - lens
-    return np.arange(int(lens.sum()), dtype=np.int64) + np.repeat(first - cum, lens)
+    cum = np.cumsum(lens)
+    total = int(cum[-1]) if len(cum) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(last) or int(last.max()) < 1 << 31) else np.int64
+    out = np.repeat((first - cum + lens).astype(kind), lens)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def seg_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
