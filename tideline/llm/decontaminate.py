@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import through
 from .vectext import ALNUM, find_words, lookup, text_blocks
 
 WINDOW = 10
@@ -205,22 +206,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     )
 
 
-def cut_spans(text: Column, spans: Column) -> Column:
-    """text without the byte ranges in spans (in order, without overlap)."""
-    raw = F.encode(text, "UTF-8")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
-    begins = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(F.octet_length(text).cast("long")))
-    pieces = F.zip_with(ends, begins, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    return F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(text)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """docs without the spans that hold a test window; a document of which more than max_coverage of
-    the words are hit goes as a whole. Clean documents come out unchanged, repeated ids included."""
-    keyed = docs.withColumn("_place", F.monotonically_increasing_id())
-    found = contamination(keyed.select("_place", "text"), benchmark, doc_id="_place", window=window)
-    found = found.filter("n_hit > 0").withColumnsRenamed({"doc_id": "_place"}).select("_place", "n_words", "n_hit", "spans")
-    both = keyed.join(found.withColumnsRenamed({"n_words": "_n", "n_hit": "_hit", "spans": "_spans"}), "_place", "left")
-    kept = both.filter(F.col("_hit").isNull() | (F.col("_hit") <= F.col("_n") * max_coverage))
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("_spans")))
-    return kept.withColumn("text", cut).select(*docs.columns)
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """A text without these byte ranges, which are in order and apart."""
+    parts, at = [], 0
+    for begin, end in spans:
+        parts.append(raw[at:begin])
+        at = end
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, max_length: int = 0, max_coverage: float = 0.5) -> DataFrame:
+    """docs without the spans of more than max_length words that hold a test window; a document of
+    which more than max_coverage of the words are hit goes as a whole. Other documents come out
+    unchanged, nulls and repeated ids included."""
+    sc = docs.sparkSession.sparkContext
+    automata = [sc.broadcast(SuffixAutomaton(block, window)) for block in load_items(benchmark)]
+    place = docs.columns.index(text)
+
+    def change(batch):
+        column = batch.column(place)
+        keep, cut = np.ones(batch.num_rows, bool), {}
+        for lo, _, buf, offsets in text_blocks(column):
+            words = find_words(buf, offsets, ALNUM)
+            hit = np.zeros(len(words.start) + 1, np.int32)
+            for shared in automata:
+                for begin, end, _, _ in shared.value.hits(lookup(shared.value.vocab, words.hash), words.first):
+                    hit[begin] += 1
+                    hit[end] -= 1
+            inside = np.cumsum(hit[:-1]) > 0
+            for d in np.unique(np.searchsorted(words.first, np.flatnonzero(inside), "right") - 1).tolist():
+                a, b = words.first[d], words.first[d + 1]
+                edge = np.diff(np.concatenate([[0], inside[a:b].astype(np.int8), [0]]))
+                spans = [(int(p), int(q)) for p, q in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+                if inside[a:b].sum() > max_coverage * (b - a):
+                    keep[lo + d] = False
+                else:
+                    ranges_ = [(int(words.start[a + p] - offsets[d]), int(words.end[a + q - 1] - offsets[d])) for p, q in spans if q - p > max_length]
+                    cut[lo + d] = _without(buf[offsets[d] : offsets[d + 1]].tobytes(), ranges_)
+        if cut:
+            texts = column.to_pylist()
+            for d, new in cut.items():
+                texts[d] = new
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        return batch if keep.all() else batch.filter(pa.array(keep))
+
+    return through(docs, change)

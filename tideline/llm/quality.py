@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import through
 from .labelled import held_out, training_sample
 from .vectext import SPACED, Words, find_words, fingerprint, text_blocks
 
@@ -162,3 +163,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: in
     """(doc_id, held_out, score, predicted)."""
     out = score(docs, fit(docs, labels, mod=mod, remainder=remainder))
     return out.select("doc_id", held_out(mod, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """docs without the texts that score below threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def change(batch):
+        keep = np.ones(batch.num_rows, bool)
+        for lo, hi, buf, offsets in text_blocks(batch.column(place)):
+            keep[lo:hi] = shared.value.score(buf, offsets) >= threshold
+        return batch if keep.all() else batch.filter(pa.array(keep))
+
+    return through(docs, change)

@@ -19,7 +19,10 @@ def _shipped(f):
 
 
 def queries() -> dict:
-    return {name: _shipped(f) for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
+
+    own = {name: f for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()}
+    return {name: _shipped(f) for name, f in (own | {"pipeline": corpus_pipeline.run}).items()}
 
 
 def oracle_sql() -> dict:
