@@ -99,11 +99,12 @@ def story_windows(values: DataFrame, knobs: Story | None = None, audio: Column |
     runs = runs.withColumn("base", clamp(sum((w[n] * F.col(n) for n in ("content", "arc", "reaction", "info", "filler")), F.lit(0.0))))
     runs = runs.withColumn("score", clamp((1 - w["audio"]) * F.col("base") + w["audio"] * F.col("audio")) * (0.9 + 0.1 * F.col("boundary")))
     runs = runs.withColumn("density", F.when(F.col("duration") > 0, F.col("base") / F.col("duration") * 60).otherwise(0.0))
+    # Rounded twice, so that the last bits of a sum don't decide a tie.
     out = runs.select(
-        "media_id", "first_seg", "last_seg", F.round("a", 2).alias("w_start"), F.round("z", 2).alias("w_end"), F.round("duration", 2).alias("duration"), F.round("score", 4).alias("score"),
-        *[F.round(n, 4).alias(n) for n in ("content", "arc", "reaction", "info", "filler", "audio", "boundary", "density")], *[f"s_{g}" for g in ("payoff", "clutch", "tactic", "instruction", "error", "stake", "filler", "numbers")], "arc_raw",
+        "media_id", "first_seg", "last_seg", F.round("a", 2).alias("w_start"), F.round("z", 2).alias("w_end"), F.round("duration", 2).alias("duration"),
+        *[F.round(F.round(n, 9), 4).alias(n) for n in ("score", "content", "arc", "reaction", "info", "filler", "audio", "boundary", "density")], *[f"s_{g}" for g in ("payoff", "clutch", "tactic", "instruction", "error", "stake", "filler", "numbers")], "arc_raw",
     )
-    return out.withColumn("rank", F.round(k.density_part * saturated(F.col("density"), c["density"]) + (1 - k.density_part) * F.col("score"), 4))
+    return out.withColumn("rank", F.round(F.round(k.density_part * saturated(F.col("density"), c["density"]) + (1 - k.density_part) * F.col("score"), 9), 4))
 
 
 def reason(windows: DataFrame) -> DataFrame:

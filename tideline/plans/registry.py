@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tideline.plans import signals, speech, text, windows
+from tideline.plans import signals, speech, streams, text, windows
 from tideline.runtime import ship
 
-PARTS = (signals, speech, text, windows)
+PARTS = (signals, speech, text, windows, streams)
 
 
 def _shipped(f):

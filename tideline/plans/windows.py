@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.operators import lexicon, render, select, signals, story, windows
 from tideline.plans import dims
 from tideline.plans.signals import CHANGE, CONTRAST, NORM, SILENCE, SMOOTH, contrast, normal
-from tideline.plans.speech import QUOTED, SEG
+from tideline.plans.speech import QUOTED, SEG, SENT
 from tideline.plans.text import GENRE_SQL, GROUPS, HITS, LEX, TOKENS, hits
 from tideline.sources import model
 
@@ -99,6 +99,13 @@ def stories(spark, sf):
     return windows.story_windows(values)
 
 
+def _document_stories(spark, sf):
+    """The same over the documents' sentences, of which there are many more."""
+    sents = model.sentences(spark, sf)
+    found = lexicon.exact_hits(lexicon.folded_tokens(sents), lexicon.compiled(dims.lexicon(spark)))
+    return windows.story_windows(windows.segment_values(sents, lexicon.group_scores(found)))
+
+
 def chosen(spark, sf, k=5):
     return select.with_overlap(stories(spark, sf), k)
 
@@ -125,11 +132,12 @@ r2 AS (SELECT *, round({' + '.join(f's_{g}' for g in K.strong)}, 9) AS content_r
   WHERE s_payoff >= 0.9 OR s_clutch >= 0.9 OR s_tactic >= 0.9 OR s_instruction >= 0.9 OR s_error >= 0.9),
 r3 AS (SELECT *, {sat('content_raw', C['content'])} AS content, {sat('arc_raw', C['arc'])} AS arc, {sat('s_reaction + 0.5 * s_hype', C['reaction'])} AS reaction, {sat(_INFO, C['info'])} AS info, -{sat('-s_filler', C['filler'])} AS filler FROM r2 WHERE content_raw >= 1.0),
 r4 AS (SELECT *, greatest(0.0, least(1.0, 0.42::DOUBLE * content + 0.18::DOUBLE * arc + 0.12::DOUBLE * reaction + 0.18::DOUBLE * info + 1.0::DOUBLE * filler)) AS base FROM r3),
-st AS (SELECT media_id, first_seg, last_seg, round(a, 2) AS w_start, round(z, 2) AS w_end, round(dur, 2) AS duration, round(greatest(0.0, least(1.0, 0.9::DOUBLE * base + 0.05::DOUBLE)) * (0.9::DOUBLE + 0.1::DOUBLE * boundary), 4) AS score,
-  round(content, 4) AS content, round(arc, 4) AS arc, round(reaction, 4) AS reaction, round(info, 4) AS info, round(filler, 4) AS filler, 0.5::DOUBLE AS audio, round(boundary, 4)::DOUBLE AS boundary, round(base / dur * 60, 4) AS density,
+st AS (SELECT media_id, first_seg, last_seg, round(a, 2) AS w_start, round(z, 2) AS w_end, round(dur, 2) AS duration, CAST(round(CAST(greatest(0.0, least(1.0, 0.9::DOUBLE * base + 0.05::DOUBLE)) * (0.9::DOUBLE + 0.1::DOUBLE * boundary) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS score,
+  CAST(round(CAST(content AS DECIMAL(18, 9)), 4) AS DOUBLE) AS content, CAST(round(CAST(arc AS DECIMAL(18, 9)), 4) AS DOUBLE) AS arc, CAST(round(CAST(reaction AS DECIMAL(18, 9)), 4) AS DOUBLE) AS reaction, CAST(round(CAST(info AS DECIMAL(18, 9)), 4) AS DOUBLE) AS info, CAST(round(CAST(filler AS DECIMAL(18, 9)), 4) AS DOUBLE) AS filler, 0.5::DOUBLE AS audio, round(boundary, 4)::DOUBLE AS boundary, CAST(round(CAST(base / dur * 60 AS DECIMAL(18, 9)), 4) AS DOUBLE) AS density,
   s_payoff, s_clutch, s_tactic, s_instruction, s_error, s_stake, s_filler, s_numbers, arc_raw FROM r4),
-sr AS (SELECT *, round(0.45::DOUBLE * {sat('density', C['density'])} + 0.55::DOUBLE * score, 4) AS rank FROM st)"""
+sr AS (SELECT *, CAST(round(CAST(0.45::DOUBLE * {sat('density', C['density'])} + 0.55::DOUBLE * score AS DECIMAL(18, 9)), 4) AS DOUBLE) AS rank FROM st)"""
 
+DOC_STORY_SQL = STORY_SQL.replace(SEG, SENT)
 _OUT = ["media_id", "first_seg", "last_seg", "w_start", "w_end", "duration", "score", "content", "arc", "reaction", "info", "filler", "boundary", "density", "rank"]
 
 
@@ -223,6 +231,10 @@ CASE WHEN arc_raw > 0.5 THEN 'whole story' END, CASE WHEN s_numbers > 0 THEN CAS
         lambda s, sf: select.with_overlap(union(s, sf), score=("score",)),
         f"WITH {UNION_SQL}, {greedy_sql('un', ['score'], 5, OVER_CLASH)} SELECT media_id, x.a AS w_start, x.b AS w_end, -x.k0 AS score FROM ch",
     ),
+    "story_documents": (
+        lambda s, sf: _document_stories(s, sf).groupBy("media_id").agg(F.count("*").alias("windows"), F.max("rank").alias("best"), F.round(F.round(F.avg("score"), 9), 4).alias("mean_score")),
+        f"WITH {DOC_STORY_SQL} SELECT media_id, count(*) AS windows, max(rank) AS best, CAST(round(CAST(avg(score) AS DECIMAL(18, 9)), 4) AS DOUBLE) AS mean_score FROM sr GROUP BY 1",
+    ),
     "semantic_select": (chosen, f"WITH {CHOSEN_SQL} SELECT media_id, w_start, w_end, rank, score FROM sel"),
     "boundary_refine": (refined, f"WITH {CHOSEN_SQL}, {REFINE_SQL} SELECT * FROM ref"),
     "feature_vector": (
