@@ -22,6 +22,8 @@ import base64
 import math
 import os
 import zlib
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,18 +97,21 @@ def load(path: str, pattern: str = PATTERN) -> Vocabulary:
 
 
 class Encoder:
-    """Tokens, as bytes, of a text and the end token."""
+    """Tokens of a text and the end token."""
 
     def __init__(self, vocab: Vocabulary):
         self.encode = vocab.encoding().encode_ordinary
         self.kind = np.dtype(np.uint16 if vocab.end < 1 << 16 else np.uint32)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = vocab.end
 
     def count(self, text: str | None) -> int:
         return len(self.encode(text or "")) + 1
 
-    def text(self, text: str | None) -> np.ndarray:
-        return np.array([*self.encode(text or ""), self.end], self.kind)
+    def text(self, text: str | None) -> array:
+        out = array(self.code, self.encode(text or ""))
+        out.append(self.end)
+        return out
 
 
 def _sequences(batches, vocab: Vocabulary, length: int, count_only: bool):
@@ -115,15 +120,21 @@ def _sequences(batches, vocab: Vocabulary, length: int, count_only: bool):
     kind = encoder.kind
     rest, rest_docs, total = np.zeros(0, kind), [], 0
     for batch in batches:
+        if count_only:  # copies are encoded once a batch, here and below
+            copies = Counter(batch.column(1).to_pylist())
+            total += sum(encoder.count(t) * n for t, n in copies.items())
+            continue
+        known: dict[str | None, array] = {}
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            if count_only:
-                total += sum(map(encoder.count, part.column(1).to_pylist()))
-                continue
-            encoded = [encoder.text(t) for t in part.column(1).to_pylist()]
+            encoded = []
+            for t in part.column(1).to_pylist():
+                if t not in known:
+                    known[t] = encoder.text(t)
+                encoded.append(known[t])
             lens = np.array([len(x) for x in encoded])
             shift = len(rest)
-            tokens = np.concatenate([rest, *encoded])
+            tokens = np.concatenate([rest, *(np.frombuffer(x, kind) for x in encoded)])
             stops = np.cumsum(lens) + shift
             full = len(tokens) // length
             held: list[list] = [list(rest_docs) if i == 0 else [] for i in range(full + 1)]
@@ -153,6 +164,9 @@ def materialise(docs: DataFrame, folder: str, vocab: Vocabulary, length: int = L
     """Writes the shards when the result is computed: a row for each sequence, (slot, shard, offset,
     n_tokens, crc32, doc_ids). folder is one that all executors share."""
     spark: SparkSession = docs.sparkSession
+    pin = "spark.sql.files.minPartitionNum"  # else the splits of files follow the executors of the moment
+    if spark.conf.get(pin, None) is None:
+        spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
     shared = spark.sparkContext.broadcast(vocab)
