@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -24,10 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and any executor can read it again."""
+    """df as a table in the shared folder: its lineage is cut, and any executor can read it again.
+
+    The step's shuffle files go with it, and those of earlier steps once the driver has collected the
+    plans that own them, so the disk holds what one step needs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,3 +59,13 @@ def crc_mod(column: str, n: int):
 
 def batch_of(names: list[str], arrays: list, schema: pa.Schema | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
+
+
+def through(df: DataFrame, change) -> DataFrame:
+    """df with each Arrow batch changed: change(batch) gives a batch of the same columns."""
+
+    def run(batches):
+        for batch in batches:
+            yield change(batch)
+
+    return df.mapInArrow(run, df.schema)

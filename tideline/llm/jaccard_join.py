@@ -14,10 +14,10 @@ random pivot says nothing. So pivots are elected where texts do come close:
     more open cells than the slack of step 2 pays for is a boundary point: it is replicated to the
     region of the component that dominates its cell, and joined there with the region's points in the
     window that the triangle inequality leaves around its distance to the region's pivot. Distances
-    are taken between folded sets (counts of shingles in FOLDS buckets), where L1 is a lower bound of
+    are taken between folded sets (counts of shingles by buckets), where L1 is a lower bound of
     the size of the symmetric difference, so no window can miss a link.
-5.  Step 4 recurses: first with the nearest few candidates of a boundary point, since one link joins
-    it to a component; then with all that remain.
+5.  Within a region, step 4 recurses as links are found: a boundary point that has joined a component
+    is not compared with that component any more, until all points of the region have passed.
 
 Every candidate is verified on its whole sets, so links are exact; only links that are needed to know
 the components are looked for (a point of a component is not compared with others of it).
@@ -32,11 +32,13 @@ kept and never name a component unless all its ids are null.
 
 from __future__ import annotations
 
+import itertools
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -44,9 +46,13 @@ from .vectext import SPACED, find_words, mix, text_blocks
 
 SHINGLE = 4
 PERCENT = 85
-PIVOTS = 4
-FOLDS = 32
-NEAREST = 4
+PIVOTS = 2
+#: Buckets of a set's coarse and fine folds.
+COARSE, FINE = 64, 256
+#: Boundary points that a task holds at once, with their sets.
+BLOCK_POINTS = 4096
+#: Bytes of the table that tells which documents a join may need.
+SLOTS = 1 << 22
 _ROLL = mix(np.arange(101, 140, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -90,11 +96,16 @@ def set_ids(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def folds(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts of each text's shingles by FOLDS buckets."""
+def folds(x: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Counts of each text's shingles by so many buckets."""
     docs = len(first) - 1
-    at = np.repeat(np.arange(docs), np.diff(first)) * FOLDS + (mix(x + np.uint64(77)) % np.uint64(FOLDS)).astype(np.int64)
-    return np.bincount(at, minlength=docs * FOLDS).reshape(docs, FOLDS).astype(np.int32)
+    at = np.repeat(np.arange(docs), np.diff(first)) * width + (mix(x + np.uint64(77)) % np.uint64(width)).astype(np.int64)
+    counts = np.bincount(at, minlength=docs * width).reshape(docs, width)
+    return np.minimum(counts, 255).astype(np.uint8)  # cutting counts off can only bring sets closer
+
+
+def unfold(raw: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width).astype(np.int16)
 
 
 class Cells:
@@ -156,7 +167,7 @@ class Cells:
         return ((h & ~np.uint64(63)) | c.astype(np.uint64)).view(np.int64)
 
 
-def _stars(cell: np.ndarray, point: np.ndarray, fresh: np.ndarray | None = None, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stars(cell: np.ndarray, point: np.ndarray, pivots: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For rows sorted by (cell, point): (rank in the cell, cells, pivots, members) with a row for
     each member and pivot before it. fresh: rows not seen before; pairs of others are left out."""
     begin = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
@@ -169,29 +180,26 @@ def _stars(cell: np.ndarray, point: np.ndarray, fresh: np.ndarray | None = None,
     return rank, cell[rows], point[start[rows] + nth], point[rows]
 
 
-def _parse(column, most=None):
-    for lo, hi, buf, offsets in text_blocks(column) if most is None else text_blocks(column, most):
-        words = find_words(buf, offsets, SPACED)
-        x, first = shingles(words)
+def _parse(column, size: int):
+    for lo, hi, buf, offsets in text_blocks(column):
+        x, first = shingles(find_words(buf, offsets, SPACED), size)
         yield lo, hi, x, first
 
 
-def _points(docs: DataFrame) -> DataFrame:
-    """(place, doc_id, n_shingles, point, folds) of every row."""
+def _points(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, point, coarse, fine) of every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for lo, hi, x, first in _parse(batch.column(1)):
-                ids, f = set_ids(x, first), folds(x, first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(ids.view(np.int64)), pa.array([r.tobytes() for r in f], pa.binary())], names=["doc_id", "n_shingles", "point", "folds"]
-                )
+            for lo, hi, x, first in _parse(batch.column(1), size):
+                raw = [pa.array([r.tobytes() for r in folds(x, first, width)], pa.binary()) for width in (COARSE, FINE)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(set_ids(x, first).view(np.int64)), *raw], names=["doc_id", "n_shingles", "point", "coarse", "fine"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, point bigint, folds binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, point bigint, coarse binary, fine binary")
 
 
-def _cells(docs: DataFrame, cells: Cells) -> DataFrame:
+def _cells(docs: DataFrame, cells: Cells, size: int, pivots: int) -> DataFrame:
     """(cell, pivot, point): rows without a pivot take part in the cluster's election, the others are
     members of cells whose pivots were elected in their batch."""
 
@@ -199,7 +207,7 @@ def _cells(docs: DataFrame, cells: Cells) -> DataFrame:
         for batch in batches:
             seen: list[np.ndarray] = []
             out_cell, out_point = [], []
-            for _, _, x, first in _parse(batch.column(1)):
+            for _, _, x, first in _parse(batch.column(1), size):
                 ids = set_ids(x, first)
                 _, rows = np.unique(ids, return_index=True)
                 rows = rows[(ids[rows] != 0) & ~np.isin(ids[rows], np.concatenate(seen))] if seen else rows[ids[rows] != 0]
@@ -212,10 +220,10 @@ def _cells(docs: DataFrame, cells: Cells) -> DataFrame:
             cell, point = np.concatenate(out_cell), np.concatenate(out_point)
             order = np.lexsort((point, cell))
             cell, point = cell[order], point[order]
-            rank, star_cell, star_pivot, star_point = _stars(cell, point)
-            top = rank < PIVOTS
+            rank, star_cell, star_pivot, star_point = _stars(cell, point, pivots)
+            top = rank < pivots
             # pairs of two pivots of the batch are left to the cluster's election
-            member = np.repeat(rank[rank > 0] >= PIVOTS, np.minimum(rank[rank > 0], PIVOTS))
+            member = np.repeat(rank[rank > 0] >= pivots, np.minimum(rank[rank > 0], pivots))
             none = pa.nulls(int(top.sum()), pa.int64())
             parts = [(pa.array(cell[top]), none, pa.array(point[top])), (pa.array(star_cell[member]), pa.array(star_pivot[member]), pa.array(star_point[member]))]
             for a, b, c in parts:
@@ -225,7 +233,7 @@ def _cells(docs: DataFrame, cells: Cells) -> DataFrame:
     return docs.mapInArrow(run, "cell bigint, pivot bigint, point bigint")
 
 
-def _elect(rows: DataFrame) -> DataFrame:
+def _elect(rows: DataFrame, pivots: int) -> DataFrame:
     """(cell, pivot, point) for all cells of two points or more."""
 
     def run(batches):
@@ -244,8 +252,8 @@ def _elect(rows: DataFrame) -> DataFrame:
             keep = np.ones(len(cell), bool)  # equal texts of several batches
             keep[1:] = (cell[1:] != cell[:-1]) | (point[1:] != point[:-1])
             cell, point, fresh = cell[keep], point[keep], fresh[keep]
-            rank, a, b, c = _stars(cell, point, fresh)
-            tail = (cell == cell[-1]) & (rank < PIVOTS)
+            rank, a, b, c = _stars(cell, point, pivots, fresh)
+            tail = (cell == cell[-1]) & (rank < pivots)
             last = (cell[tail], point[tail])
             for lo in range(0, len(a), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + (1 << 18)]), pa.array(b[lo : lo + (1 << 18)]), pa.array(c[lo : lo + (1 << 18)])], names=["cell", "pivot", "point"])
@@ -261,9 +269,9 @@ def _near(a_n: np.ndarray, b_n: np.ndarray, gap: np.ndarray, share: Fraction) ->
     return (q * np.minimum(a_n, b_n) >= p * np.maximum(a_n, b_n)) & (gap * (p + q) <= both * (q - p))
 
 
-def _plausible(pairs: DataFrame, points: DataFrame, cells: Cells) -> DataFrame:
+def _plausible(pairs: DataFrame, points: DataFrame, cells: Cells, folded: str, width: int) -> DataFrame:
     """The pairs (a, b) that sizes and folded sets don't rule out."""
-    own = points.select("point", "n_shingles", "folds")
+    own = points.select("point", "n_shingles", folded)
     both = pairs.join(own.toDF("a", "a_n", "a_f"), "a").join(own.toDF("b", "b_n", "b_f"), "b")
 
     def run(batches):
@@ -271,43 +279,66 @@ def _plausible(pairs: DataFrame, points: DataFrame, cells: Cells) -> DataFrame:
             if not batch.num_rows:
                 continue
             col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "a_n", "b_n", "a_f", "b_f")}
-            fa, fb = (np.frombuffer(b"".join(col[c].to_pylist()), np.int32).reshape(-1, FOLDS) for c in ("a_f", "b_f"))
+            fa, fb = (unfold(col[c].to_pylist(), width) for c in ("a_f", "b_f"))
             ok = _near(col["a_n"].to_numpy(), col["b_n"].to_numpy(), np.abs(fa - fb).sum(1), cells.share)
             yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(ok)), col["b"].filter(pa.array(ok))], names=["a", "b"])
 
     return both.select("a", "b", "a_n", "b_n", "a_f", "b_f").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, cells: Cells) -> DataFrame:
-    """The pairs (a, b) that are within the radius, on their whole sets."""
-    ids = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
-    reps = points.select("point", F.col("rep").alias("doc_id")).join(ids, "point")
+def _among(ids: DataFrame, column: str) -> Column:
+    """Whether a value may be among ids: false only if it is not. A table of SLOTS bytes, whatever the
+    number of ids, so it may be sent to all executors; it spares most rows a join's shuffle."""
+    sc = ids.sparkSession.sparkContext
+    taken = ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    table = np.zeros(SLOTS, bool)
+    table[taken] = True
+    shared = sc.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[slot.to_numpy()])
+
+    return maybe(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int"))
+
+
+def _sets(ids: DataFrame, docs: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """(point, items) of the points in ids, and maybe of some others, from the texts of their
+    representatives. A point may come more than once if ids of documents do."""
+    reps = written(points.join(ids, "point", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
 
     def sets(batches):
         for batch in batches:
-            for lo, hi, x, first in _parse(batch.column(1)):
+            for lo, hi, x, first in _parse(batch.column(1), size):
                 p = set_ids(x, first)
                 raw = [x[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(raw, pa.binary())], names=["point", "items"])
 
-    texts = docs.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    # A representative's id may belong to several rows; only wanted sets are kept, each once.
-    table = written(texts.mapInArrow(sets, "point bigint, items binary").join(ids, "point", "left_semi").groupBy("point").agg(F.first("items").alias("items")), "sets")
+    texts = docs.filter(_among(reps, "doc_id")).join(reps, "doc_id", "left_semi").select("doc_id", "text")
+    return written(texts.mapInArrow(sets, "point bigint, items binary"), "sets")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, share: Fraction) -> bool:
+    """Whether two sorted sets are within the radius."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return share.denominator * common >= share.numerator * (len(x) + len(y) - common)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, cells: Cells, size: int) -> DataFrame:
+    """The pairs (a, b) that are within the radius, on their whole sets."""
+    ids = pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct()
+    table = _sets(ids, docs, points, size)
     both = pairs.join(table.toDF("a", "a_s"), "a").join(table.toDF("b", "b_s"), "b").select("a", "b", "a_s", "b_s")
-    p, q = cells.share.numerator, cells.share.denominator
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                ok.append(q * common >= p * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = pa.array([_linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), cells.share) for a, b in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -327,9 +358,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def _boundary(stars: DataFrame, labels: DataFrame, points: DataFrame, cells: Cells, nearest: int | None) -> DataFrame:
-    """Candidate pairs (a, b) of different components that share an open cell; at most ``nearest``
-    candidates for each boundary point, all where it is None."""
+def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: DataFrame, cells: Cells, size: int, block_points: int) -> DataFrame | None:
+    """Links (a, b) that join the components which share an open cell; None if no cell is open."""
     label = F.coalesce("component", F.col("point")).alias("component")
     members = stars.select("cell", F.col("pivot").alias("point")).union(stars.select("cell", "point")).distinct()
     members = members.join(labels, "point", "left").select("cell", "point", label)
@@ -339,103 +369,136 @@ def _boundary(stars: DataFrame, labels: DataFrame, points: DataFrame, cells: Cel
     slack = F.element_at(F.array(*[F.lit(int(s)) for s in cells.slack]), (F.col("class") + 1).cast("int"))
     many = rows.groupBy("point", "class").agg(F.count("*").alias("w")).filter(F.col("w") > slack).select("point", "class")
     rows = rows.join(many, ["point", "class"]).select("cell", "point", "component")
-    size = rows.groupBy("cell", "component").agg(F.count("*").alias("k"))
-    main = size.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("cell", F.col("m.component").alias("region"))
-    out = written(rows.join(main, "cell").filter("component != region").select("region", "point", "component").distinct(), "boundary")
-    own = points.select("point", "n_shingles", "folds")
-    everyone = own.join(labels, "point", "left").select("point", label, "n_shingles", "folds")
-    inside = everyone.withColumnRenamed("component", "region").join(out.select("region").distinct(), "region", "left_semi")
-    both = out.join(own, "point").select("region", F.lit(0).alias("side"), "point", "component", "n_shingles", "folds")
-    both = both.union(inside.select("region", F.lit(1).alias("side"), "point", F.col("region").alias("component"), "n_shingles", "folds"))
+    held_by = rows.groupBy("cell", "component").agg(F.count("*").alias("k"))
+    main = held_by.groupBy("cell").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("cell", F.col("m.component").alias("region"))
+    edge = written(rows.join(main, "cell").filter("component != region").select("region", "point", "component").distinct(), "boundary")
+    # A region's boundary points are dealt to blocks that a task can hold; all its points pass each block.
+    blocks = edge.groupBy("region").agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
+    if not blocks.limit(1).count():
+        return None
+    inside = points.select("point").join(labels, "point", "left").select("point", label).join(blocks.select(F.col("region").alias("component")), "component", "left_semi").select(F.col("component").alias("region"), "point", "component")
+    held = edge.join(blocks, "region").select("region", F.pmod(F.xxhash64("point"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "point", "component")
+    passing = inside.union(edge).join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "point", "component")
     share = cells.share
+    columns = "region bigint, block int, side int, point bigint, component bigint"
+    order = ("region", "block", "side", "point")
+
+    def near(batches):
+        """The rows whose folds come near those of a row of the other side and of another component."""
+        for rows, held_ in _by_region(batches):
+            n, f = np.array([r[5] for r in held_], np.int64), unfold([r[6] for r in held_], FINE)
+            comp, used = np.array([r[4] for r in held_], np.int64), np.zeros(len(held_), bool)
+            # Around the first boundary point as pivot, only a window of distances can hold links.
+            to = np.abs(f - f[0]).sum(1)
+            by = np.argsort(to, kind="stable")
+            out = []
+            for r in rows:
+                own = unfold([r[6]], FINE)[0]
+                d, reach = int(np.abs(own - f[0]).sum()), _reach(r[5], share)
+                lo, hi = np.searchsorted(to[by], (d - reach, d + reach + 1))
+                some = by[lo:hi]
+                some = some[comp[some] != r[4]]
+                some = some[_near(n[some], np.full(len(some), r[5]), np.abs(f[some] - own).sum(1), share)]
+                if len(some):
+                    used[some] = True
+                    out.append(r[:5])
+            out += [held_[i][:5] for i in np.flatnonzero(used).tolist()]
+            yield _rows(out, columns)
+
+    def links(batches):
+        for rows, held_ in _by_region(batches):
+            sets = [np.frombuffer(r[6], np.uint64) for r in held_]
+            n, comp = np.array([r[5] for r in held_], np.int64), np.array([r[4] for r in held_], np.int64)
+            parent: dict[int, int] = {}
+
+            def find(c, parent=parent):
+                while (p := parent.get(c, c)) != c:
+                    parent[c] = parent.get(p, p)
+                    c = p
+                return c
+
+            out = []
+            for r in rows:
+                y = np.frombuffer(r[6], np.uint64)
+                for i in np.flatnonzero((comp != find(r[4])) & _near(n, np.full(len(n), r[5]), np.zeros(len(n), np.int64), share)).tolist():
+                    a, b = find(int(comp[i])), find(r[4])
+                    if a != b and _linked(sets[i], y, share):
+                        parent[max(a, b)] = min(a, b)
+                        comp[comp == max(a, b)] = min(a, b)
+                        out.append((min(held_[i][3], r[3]), max(held_[i][3], r[3])))
+            yield _rows(out, "a bigint, b bigint")
+
+    # First by folds, which are short; whole sets travel for the rows only that come near another's.
+    own = points.select("point", "n_shingles", "fine")
+    folded = held.union(passing).join(own, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "fine")
+    few = written(folded.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(near, columns), "near")
+    table = _sets(few.select("point").distinct(), docs, points, size)
+    whole = few.join(points.select("point", "n_shingles"), "point").join(table, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "items")
+    return written(whole.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(links, "a bigint, b bigint"), "links")
+
+
+def _reach(n: int, share: Fraction) -> int:
+    """The most shingles that a set of n and one within the radius can differ in."""
+    largest = n * share.denominator // share.numerator
+    return int((n + largest) * (share.denominator - share.numerator) / (share.denominator + share.numerator)) + 1
+
+
+def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _by_region(batches):
+    """For rows sorted by (region, block, side): yields (an iterator over side 1, the list of side 0)
+    of each block of a region that has both; side 1 is never held."""
+
+    def flat():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def run(batches):
-        region, edge, best = None, None, []
-
-        def compare(x, y):
-            """Pairs (row of x, row of y, gap) that are plausible, through the window around the pivot."""
-            pivot = x[3][0]
-            to_x, to_y = np.abs(x[3] - pivot).sum(1), np.abs(y[3] - pivot).sum(1)
-            order = np.argsort(to_y, kind="stable")
-            reach = ((2 * x[2] * share.denominator // share.numerator) * (share.denominator - share.numerator)) // (share.denominator + share.numerator) + 1
-            lo, hi = np.searchsorted(to_y[order], to_x - reach), np.searchsorted(to_y[order], to_x + reach, "right")
-            for i in range(len(x[0])):
-                near = order[lo[i] : hi[i]]
-                near = near[y[1][near] != x[1][i]]
-                for c in range(0, len(near), 4096):
-                    some = near[c : c + 4096]
-                    gap = np.abs(y[3][some] - x[3][i]).sum(1)
-                    ok = _near(np.full(len(some), x[2][i]), y[2][some], gap, share)
-                    if ok.any():
-                        yield i, some[ok], gap[ok] / (x[2][i] + y[2][some[ok]])
-
-        def flush():
-            if edge is None:
-                return
-            a, b = [], []
-            for i, found in enumerate(best):
-                if not found:
-                    continue
-                who, gap = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                if nearest is not None:
-                    who = who[np.lexsort((who, gap))][:nearest]
-                a.append(np.full(len(who), edge[0][i]))
-                b.append(who)
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        def keep(i, who, gap):
-            best[i].append((who, gap))
-            if nearest is not None and sum(len(f[0]) for f in best[i]) > 64 * nearest:
-                w, g = np.concatenate([f[0] for f in best[i]]), np.concatenate([f[1] for f in best[i]])
-                top = np.lexsort((w, g))[:nearest]
-                best[i] = [(w[top], g[top])]
+    for _, rows in itertools.groupby(flat(), key=lambda r: r[:2]):
+        held, first = [], None
+        for r in rows:
+            if r[2]:
+                first = r
+                break
+            held.append(r)
+        if held and first is not None:
+            rest = itertools.chain([first], rows)
+            yield rest, held
 
-        for batch in batches:
-            regions, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], (regions[1:] != regions[:-1]) | (side[1:] != side[:-1])])) if len(regions) else []
-            for lo, hi in zip(cut, [*cut[1:], len(regions)], strict=True):
-                part = batch.slice(lo, hi - lo)
-                x = (part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_numpy(), np.frombuffer(b"".join(part.column(5).to_pylist()), np.int32).reshape(-1, FOLDS))
-                if regions[lo] != region:
-                    yield from flush()
-                    region, edge, best = regions[lo], None, []
-                if side[lo] == 0:
-                    old = edge
-                    edge = x if edge is None else tuple(np.concatenate([p, q]) for p, q in zip(edge, x, strict=True))
-                    best += [[] for _ in range(len(x[0]))]
-                    for i, near, gap in compare(edge if old is None else edge, x):
-                        keep(i, x[0][near], gap)
-                elif edge is not None:
-                    for i, near, gap in compare(edge, x):
-                        keep(i, x[0][near], gap)
-        yield from flush()
-
-    return both.repartition("region").sortWithinPartitions("region", "side").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+
+def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, pivots: int = PIVOTS, block_points: int = BLOCK_POINTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents link when 100 * intersection >=
     percent * union of their shingle sets, and a component is named by its smallest doc_id."""
     cells = Cells(percent)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = written(_points(rows), "points")
-    points = written(own.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("folds").alias("folds")), "classes")
-    stars = written(_elect(_cells(rows, cells)), "stars")
+    own = written(_points(rows, size), "points")
+    points = own.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
+    points = written(points, "classes")
+    stars = written(_elect(_cells(rows, cells, size, pivots), pivots), "stars")
     pairs = stars.select(F.least("pivot", "point").alias("a"), F.greatest("pivot", "point").alias("b")).distinct()
-    links = written(_verify(written(_plausible(pairs, points, cells), "pairs"), rows, points, cells), "links")
+    pairs = written(_plausible(pairs, points, cells, "coarse", COARSE), "pairs")
+    pairs = written(_plausible(pairs, points, cells, "fine", FINE), "pairs")
+    links = written(_verify(pairs, rows, points, cells, size), "links")
     labels = components(links)
-    for nearest in (NEAREST, None):
-        more = written(_boundary(stars, labels, points, cells, nearest), "pairs")
-        if not more.limit(1).count():
-            break
-        found = written(_verify(more, rows, points, cells), "links")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
+    more = _boundary(stars, labels, rows, points, cells, size, block_points)
+    if more is not None:
+        labels = components(links.union(more))
     named = points.join(labels, "point", "left").select("point", F.coalesce("component", "point").alias("component"), "rep")
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_point = named.join(names, "component").select("point", "component_id")
     out = own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("point")).alias("point")).join(by_point, "point", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; equal rows of an id stay
+    once. Rows without an id stay where a component has no id at all."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = similarity_components(rows, percent=percent, size=size)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    same = Window.partitionBy(doc_id, "_same").orderBy(F.lit(0))
+    return out.withColumn("_same", F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)).withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
