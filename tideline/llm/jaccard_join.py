@@ -36,9 +36,8 @@ import itertools
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -51,8 +50,8 @@ PIVOTS = 2
 COARSE, FINE = 64, 256
 #: Boundary points that a task holds at once, with their sets.
 BLOCK_POINTS = 4096
-#: Bytes of the table that tells which documents a join may need.
-SLOTS = 1 << 22
+#: Hash values that tell which documents a join may need.
+SLOTS = 1 << 20
 _ROLL = mix(np.arange(101, 140, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -286,20 +285,12 @@ def _plausible(pairs: DataFrame, points: DataFrame, cells: Cells, folded: str, w
     return both.select("a", "b", "a_n", "b_n", "a_f", "b_f").mapInArrow(run, "a bigint, b bigint")
 
 
-def _among(ids: DataFrame, column: str) -> Column:
-    """Whether a value may be among ids: false only if it is not. A table of SLOTS bytes, whatever the
-    number of ids, so it may be sent to all executors; it spares most rows a join's shuffle."""
-    sc = ids.sparkSession.sparkContext
-    taken = ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    table = np.zeros(SLOTS, bool)
-    table[taken] = True
-    shared = sc.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def maybe(slot: pd.Series) -> pd.Series:
-        return pd.Series(shared.value[slot.to_numpy()])
-
-    return maybe(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int"))
+def _maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of the rows whose doc_id is not in ids. The ids' hashes are cut to SLOTS values,
+    so what is broadcast has that bound whatever their number; it spares most rows a join's shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("_slot")
+    taken = ids.select(slot).distinct()
+    return docs.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, points: DataFrame, size: int) -> DataFrame:
@@ -314,7 +305,7 @@ def _sets(ids: DataFrame, docs: DataFrame, points: DataFrame, size: int) -> Data
                 raw = [x[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(raw, pa.binary())], names=["point", "items"])
 
-    texts = docs.filter(_among(reps, "doc_id")).join(reps, "doc_id", "left_semi").select("doc_id", "text")
+    texts = _maybe_among(docs, reps).join(reps, "doc_id", "left_semi").select("doc_id", "text")
     return written(texts.mapInArrow(sets, "point bigint, items binary"), "sets")
 
 
