@@ -27,7 +27,7 @@ from .vectext import SPACED, Words, find_words, fingerprint, text_blocks
 BITS = 18
 DIM = 8
 PER_CLASS = 1500
-EPOCHS = 12
+EPOCHS, STEPS = 12, 15_000  # passes over the sample, and steps at least
 RATE = 0.3
 GRAMS = (3, 4)
 _REPEAT = 1  # the bucket of repetitions
@@ -100,7 +100,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int, int]
     bias = np.log(np.array([n0, n1], np.float32) / (n0 + n1))
     seen_v, seen_o, seen_b = np.full(1 << BITS, 1e-8, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-2, np.float32)
     shares = [(c / c.sum()).astype(np.float32) for _, _, c in bags]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // len(bags)))):
         for i in rng.permutation(len(bags)):
             label, buckets, _ = bags[i]
             share = shares[i]
