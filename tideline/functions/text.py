@@ -68,7 +68,8 @@ def romanize(text: Column) -> Column:
 def fold(text: Column) -> Column:
     """A spelling-tolerant key: lower case, letters only, one pass of longest-first replacements."""
     letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\s]+", " ")
-    units = "|".join([*sorted(FOLDS, key=lambda k: (-len(k), k)), r"[\s\S]"])
+    known = "|".join(sorted(FOLDS, key=lambda k: (-len(k), k)))
+    units = rf"{known}|(?:(?!{known})[\s\S]){{1,64}}"  # what stays as it is comes in runs
     folded = _mapped(F.regexp_extract_all(letters, F.lit(units), F.lit(0)), FOLDS)
     return F.trim(F.regexp_replace(folded, r"\s+", " "))
 
