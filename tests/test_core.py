@@ -221,3 +221,33 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.w_start, r.w_end): r.total for r in spark.table("hops").collect()}
     want = {(r.w_start, r.w_end): r.total for r in density.hopping(df, "2 hours", "1 hour").collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 3
+
+
+def test_refine_without_words(spark):
+    segs = segments(spark, ["!!!", "a b"]).withColumns({"seg_start": F.col("seg_idx") * 10.0, "seg_end": F.col("seg_idx") * 10.0 + 9})
+    w = spark.createDataFrame([(1, 0.0, 8.0)], "media_id long, w_start double, w_end double")
+    r = story.refine(w, segs, ("a",), ("and",), ("b",), least=5).first()
+    assert (r.hook, r.resolution, r.complete) == (0.5, 0.35, False)
+
+
+def test_wav_files_and_spectra(spark, tmp_path):
+    import math
+    import wave
+
+    from tideline.operators import audio
+    from tideline.sources import wav
+
+    ship(spark)
+    with wave.open(str(tmp_path / "tone.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(2)
+        f.setframerate(8000)
+        f.writeframes(b"".join(int(16000 * math.sin(2 * math.pi * 4 * i / 64)).to_bytes(2, "little", signed=True) * 2 for i in range(300)))
+    (tmp_path / "bad.wav").write_bytes(b"RIFFnothing")
+    rows = wav.read(spark, str(tmp_path))
+    assert rows.groupBy("media_id").count().collect() == [("tone", 300)]
+    assert abs(rows.filter("i = 4").first().v - 16000 / 32768) < 1e-4
+    got = audio.features(audio.spectra(rows.withColumnRenamed("i", "t"), 64)).orderBy("t").collect()
+    assert len(got) == 4 and all(abs(r.centroid - 4) < 0.05 and r.rolloff == 4 for r in got) and got[1].flux < 1
+    flat = spark.createDataFrame([("m", i, 0.0) for i in range(8)], "media_id string, t long, v double")
+    assert [(r.centroid, r.rolloff, r.flux) for r in audio.features(audio.spectra(flat, 4)).collect()] == [(0.0, 0.0, 0.0)] * 2

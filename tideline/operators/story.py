@@ -43,7 +43,7 @@ def refine(windows: DataFrame, segments: DataFrame, openers: tuple, trailers: tu
     row = F.struct("seg_idx", "seg_start", "seg_end", "words", "total", "next_end", "next_words")
     ends = met.groupBy(*names).agg(F.min(row).alias("a"), F.max(row).alias("z"))
     a, z = F.col("a"), F.col("z")
-    last_of = lambda w: F.element_at(w, -1)
+    last_of = lambda w: F.try_element_at(w, F.lit(-1))
     trails = lambda w: F.coalesce(last_of(w).isin(*trailers), F.lit(False))
     start = F.greatest(F.lit(0.0), a["seg_start"] - LEAD_IN)
     plain = F.least(z["total"], z["seg_end"] + LEAD_OUT)
