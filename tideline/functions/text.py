@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values: token and number patterns, question words, folding and transliteration tables ---
 TOKEN = "[A-Za-zऀ-ॿ0-9]+"
 NUMBER = r"\d+(?:\.\d+)?"
-QUESTION_WORDS = ("how", "what", "when", "where", "which", "who", "why", "kya")
+QUESTION_WORDS = ("kya", "kaise", "kyu", "kyun", "kab", "kaha", "kaun", "kitna")
 FOLDS = {
     "chh": "c", "ch": "c", "kh": "k", "gh": "g", "jh": "j", "bh": "b", "dh": "d", "th": "t", "ph": "p", "sh": "s", "zh": "j",
     "gn": "n", "kn": "n", "ck": "k", "qu": "k", "aa": "a", "ee": "i", "ii": "i", "oo": "u", "uu": "u",

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# --- fixed values: the background's filters ---
+BACKGROUND = "boxblur=25:5,eq=brightness=-0.12:contrast=0.90"
+# --- end of the fixed values ---
+
 
 def edit_decisions(clips: DataFrame, platforms: tuple) -> DataFrame:
     """Every clip for every platform: cut to the platform's longest, left out below its shortest. clips:
@@ -42,5 +46,5 @@ def filtergraph(width: Column, height: Column, parts: list[Column]) -> Column:
     that are 'null' or null are left out."""
     size = F.concat_ws(":", width.cast("string"), height.cast("string"))
     front = F.concat_ws(",", F.concat(F.lit("[0:v]scale="), width.cast("string"), F.lit(":-2")), *[F.when(p != "null", p) for p in parts])
-    back = F.concat(F.lit("[0:v]scale="), size, F.lit(":force_original_aspect_ratio=increase,crop="), size, F.lit(",boxblur=25:5,eq=brightness=-0.12:contrast=0.90[bg]"))
+    back = F.concat(F.lit("[0:v]scale="), size, F.lit(":force_original_aspect_ratio=increase,crop="), size, F.lit(f",{BACKGROUND}[bg]"))
     return F.concat_ws(";", back, F.concat(front, F.lit("[fg]")), F.lit("[bg][fg]overlay=(W-w)/2:(H-h)/2[outv]"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions.text import QUESTION_WORDS
 from tideline.operators import lexicon, render, select, signals, story, windows
 from tideline.plans import dims
 from tideline.plans.signals import CHANGE, CONTRAST, NORM, SILENCE, SMOOTH, contrast, normal
@@ -122,7 +123,7 @@ C = K.ceilings
 STORY_SQL = f"""{SEG}, {LEX}, {TOKENS}, {HITS}, {GROUPS},
 pv AS (SELECT media_id, seg_idx, {_PIVOT} FROM gs GROUP BY 1, 2),
 val AS (SELECT seg.*, {', '.join(f'coalesce(g_{g}, 0.0) AS g_{g}' for g in windows.GROUPS)}, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS numbers,
-  CAST(contains(text, '?') OR list_has_any(list_transform(regexp_extract_all(text, '[A-Za-zऀ-ॿ0-9]+'), lambda w: lower(w)), ['how', 'what', 'when', 'where', 'which', 'who', 'why', 'kya']) AS INT) AS asks,
+  CAST(contains(text, '?') OR list_has_any(list_transform(regexp_extract_all(text, '[A-Za-zऀ-ॿ0-9]+'), lambda w: lower(w)), [{', '.join(map(QUOTED, QUESTION_WORDS))}]) AS INT) AS asks,
   max(seg_end) OVER (PARTITION BY seg.media_id) AS media_end FROM seg LEFT JOIN pv USING (media_id, seg_idx)),
 cum AS (SELECT *, {_CUM} FROM val),
 run AS (SELECT a.media_id, a.seg_idx AS first_seg, z.seg_idx AS last_seg, a.seg_start AS a, z.seg_end AS z, a.text AS first_text, z.text AS last_text, {_S} FROM cum a JOIN cum z ON a.media_id = z.media_id AND z.seg_idx >= a.seg_idx
