@@ -32,7 +32,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, the smallest id stays."""
     ship(spark)
-    return jaccard_join.one_of_each(docs, percent=80, size=5)
+    return jaccard_join.one_of_each(docs, percent=80, size=5, slack=12)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -510,13 +510,13 @@ def near_copies(seed, groups=14, most=14):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "percent", "size"), [(1, 85, 4), (2, 85, 4), (3, 80, 5)])
-def test_components_are_exact(sp, seed, percent, size):
+@pytest.mark.parametrize(("seed", "percent", "size", "slack"), [(1, 85, 4, 4), (2, 85, 4, 12), (3, 80, 5, 12)])
+def test_components_are_exact(sp, seed, percent, size, slack):
     texts = list(enumerate(near_copies(seed) + ODD + ["the cat sat", "THE cat sat"]))
     sets = shingle_sets(texts, size)
     want = component_names(sets, percent)
     df = table(sp, [t for _, t in texts]).repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(df, percent=percent, size=size).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(df, percent=percent, size=size, slack=slack).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 

@@ -46,6 +46,7 @@ from .vectext import SPACED, find_words, mix, text_blocks
 SHINGLE = 4
 PERCENT = 85
 PIVOTS = 2
+SLACK = 4
 #: Buckets of a set's coarse and fine folds.
 COARSE, FINE = 64, 256
 #: Boundary points that a task holds at once, with their sets.
@@ -108,9 +109,10 @@ def unfold(raw: list[bytes], width: int) -> np.ndarray:
 
 
 class Cells:
-    """Size classes with their number of parts. share: the least similarity."""
+    """Size classes with their number of parts. share: the least similarity; slack: parts beyond what
+    the radius asks for, in percent. More of them make more cells and fewer boundary points."""
 
-    def __init__(self, percent: int = PERCENT, growth: float = 1.5, most: int = 1 << 40):
+    def __init__(self, percent: int = PERCENT, slack: int = SLACK, growth: float = 1.5, most: int = 1 << 40):
         self.share = Fraction(percent, 100)
         gone = (1 - self.share) / (1 + self.share)  # symmetric difference over the sum of sizes
         top, tops = 4, []
@@ -119,7 +121,7 @@ class Cells:
             top = max(top + 1, int(top * growth))
         self.top = np.array(tops, np.int64)
         self.k = np.array([int(2 * t * gone) for t in tops], np.int64)
-        self.slack = 2 + (self.k + 1) // 25  # of empty parts, and again of open cells
+        self.slack = 2 + (self.k + 1) * slack // 100  # of empty parts, and again of open cells
         self.parts = self.k + 1 + 2 * self.slack
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -368,33 +370,46 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
     if not blocks.limit(1).count():
         return None
     inside = points.select("point").join(labels, "point", "left").select("point", label).join(blocks.select(F.col("region").alias("component")), "component", "left_semi").select(F.col("component").alias("region"), "point", "component")
-    held = edge.join(blocks, "region").select("region", F.pmod(F.xxhash64("point"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "point", "component")
-    passing = inside.union(edge).join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "point", "component")
+    # side 0: held in its own block; side 1: passes. A boundary point passes the other blocks as well.
+    own_block = F.pmod(F.xxhash64("point"), "blocks").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    held = edge.join(blocks, "region").select("region", every, "point", "component", own_block.alias("_own")).select("region", "block", F.when(F.col("block") == F.col("_own"), 0).otherwise(1).alias("side"), "point", "component")
+    passing = inside.join(blocks, "region").select("region", every, F.lit(1).alias("side"), "point", "component")
     share = cells.share
     columns = "region bigint, block int, side int, point bigint, component bigint"
     order = ("region", "block", "side", "point")
 
-    def near(batches):
-        """The rows whose folds come near those of a row of the other side and of another component."""
-        for rows, held_ in _by_region(batches):
-            n, f = np.array([r[5] for r in held_], np.int64), unfold([r[6] for r in held_], FINE)
-            comp, used = np.array([r[4] for r in held_], np.int64), np.zeros(len(held_), bool)
-            # Around the first boundary point as pivot, only a window of distances can hold links.
-            to = np.abs(f - f[0]).sum(1)
-            by = np.argsort(to, kind="stable")
-            out = []
-            for r in rows:
-                own = unfold([r[6]], FINE)[0]
-                d, reach = int(np.abs(own - f[0]).sum()), _reach(r[5], share)
-                lo, hi = np.searchsorted(to[by], (d - reach, d + reach + 1))
-                some = by[lo:hi]
-                some = some[comp[some] != r[4]]
-                some = some[_near(n[some], np.full(len(some), r[5]), np.abs(f[some] - own).sum(1), share)]
-                if len(some):
+    def near(width):
+        """Keeps the rows whose folds come near those of a held row of another component."""
+
+        def run(batches):
+            for rows, held_ in _by_region(batches):
+                n, f = np.array([r[5] for r in held_], np.int64), unfold([r[6] for r in held_], width)
+                comp, used = np.array([r[4] for r in held_], np.int64), np.zeros(len(held_), bool)
+                # Pivots: the empty set, whose distances are the sizes, and some of the held points.
+                by = np.argsort(n, kind="stable")
+                pivots = f[:: max(1, len(f) // 3)][:3]
+                to = np.stack([np.abs(f - p).sum(1) for p in pivots], 1)
+
+                def meet(r, own, f=f, n=n, comp=comp, by=by, pivots=pivots, to=to):
+                    reach = _reach(r[5], share)
+                    some = by[slice(*np.searchsorted(n[by], (r[5] - reach, r[5] + reach + 1)))]
+                    some = some[(np.abs(to[some] - np.abs(pivots - own).sum(1)) <= reach).all(1) & (comp[some] != r[4])]
+                    return some[_near(n[some], np.full(len(some), r[5]), np.abs(f[some] - own).sum(1), share)] if len(some) else some
+
+                for i, r in enumerate(held_):
+                    some = meet(r, f[i])
                     used[some] = True
-                    out.append(r[:5])
-            out += [held_[i][:5] for i in np.flatnonzero(used).tolist()]
-            yield _rows(out, columns)
+                    used[i] |= len(some) > 0
+                out = []
+                for r in rows:
+                    some = meet(r, unfold([r[6]], width)[0])
+                    used[some] = True
+                    if len(some):
+                        out.append(r[:5])
+                yield _rows(out + [held_[i][:5] for i in np.flatnonzero(used).tolist()], columns)
+
+        return run
 
     def links(batches):
         for rows, held_ in _by_region(batches):
@@ -409,7 +424,7 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
                 return c
 
             out = []
-            for r in rows:
+            for r in itertools.chain(held_, rows):
                 y = np.frombuffer(r[6], np.uint64)
                 for i in np.flatnonzero((comp != find(r[4])) & _near(n, np.full(len(n), r[5]), np.zeros(len(n), np.int64), share)).tolist():
                     a, b = find(int(comp[i])), find(r[4])
@@ -420,9 +435,10 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
             yield _rows(out, "a bigint, b bigint")
 
     # First by folds, which are short; whole sets travel for the rows only that come near another's.
-    own = points.select("point", "n_shingles", "fine")
-    folded = held.union(passing).join(own, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "fine")
-    few = written(folded.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(near, columns), "near")
+    few = held.union(passing)
+    for folded, width in (("coarse", COARSE), ("fine", FINE)):
+        rows = few.join(points.select("point", "n_shingles", folded), "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", folded)
+        few = written(rows.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(near(width), columns), "near")
     table = _sets(few.select("point").distinct(), docs, points, size)
     whole = few.join(points.select("point", "n_shingles"), "point").join(table, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "items")
     return written(whole.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(links, "a bigint, b bigint"), "links")
@@ -442,28 +458,27 @@ def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 def _by_region(batches):
     """For rows sorted by (region, block, side): yields (an iterator over side 1, the list of side 0)
-    of each block of a region that has both; side 1 is never held."""
+    of each block of a region; side 1 is never held."""
 
     def flat():
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     for _, rows in itertools.groupby(flat(), key=lambda r: r[:2]):
-        held, first = [], None
+        held, first = [], []
         for r in rows:
             if r[2]:
-                first = r
+                first = [r]
                 break
             held.append(r)
-        if held and first is not None:
-            rest = itertools.chain([first], rows)
-            yield rest, held
+        if held:
+            yield itertools.chain(first, rows), held
 
 
-def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, pivots: int = PIVOTS, block_points: int = BLOCK_POINTS) -> DataFrame:
+def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, pivots: int = PIVOTS, block_points: int = BLOCK_POINTS, slack: int = SLACK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents link when 100 * intersection >=
     percent * union of their shingle sets, and a component is named by its smallest doc_id."""
-    cells = Cells(percent)
+    cells = Cells(percent, slack)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = written(_points(rows, size), "points")
     points = own.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine"))
@@ -484,11 +499,11 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE, slack: int = SLACK) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; equal rows of an id stay
     once. Rows without an id stay where a component has no id at all."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = similarity_components(rows, percent=percent, size=size)
+    found = similarity_components(rows, percent=percent, size=size, slack=slack)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
     same = Window.partitionBy(doc_id, "_same").orderBy(F.lit(0))
