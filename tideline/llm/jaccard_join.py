@@ -413,7 +413,7 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
 
     def links(batches):
         for rows, held_ in _by_region(batches):
-            sets = [np.frombuffer(r[6], np.uint64) for r in held_]
+            sets, f = [np.frombuffer(r[7], np.uint64) for r in held_], unfold([r[6] for r in held_], FINE)
             n, comp = np.array([r[5] for r in held_], np.int64), np.array([r[4] for r in held_], np.int64)
             parent: dict[int, int] = {}
 
@@ -425,8 +425,11 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
 
             out = []
             for r in itertools.chain(held_, rows):
-                y = np.frombuffer(r[6], np.uint64)
-                for i in np.flatnonzero((comp != find(r[4])) & _near(n, np.full(len(n), r[5]), np.zeros(len(n), np.int64), share)).tolist():
+                some = np.flatnonzero((comp != find(r[4])) & _near(n, np.full(len(n), r[5]), np.zeros(len(n), np.int64), share))
+                if len(some):
+                    some = some[_near(n[some], np.full(len(some), r[5]), np.abs(f[some] - unfold([r[6]], FINE)[0]).sum(1), share)]
+                y = np.frombuffer(r[7], np.uint64)
+                for i in some.tolist():
                     a, b = find(int(comp[i])), find(r[4])
                     if a != b and _linked(sets[i], y, share):
                         parent[max(a, b)] = min(a, b)
@@ -440,7 +443,7 @@ def _boundary(stars: DataFrame, labels: DataFrame, docs: DataFrame, points: Data
         rows = few.join(points.select("point", "n_shingles", folded), "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", folded)
         few = written(rows.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(near(width), columns), "near")
     table = _sets(few.select("point").distinct(), docs, points, size)
-    whole = few.join(points.select("point", "n_shingles"), "point").join(table, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "items")
+    whole = few.join(points.select("point", "n_shingles", "fine"), "point").join(table, "point").select(*[c.split()[0] for c in columns.split(", ")], "n_shingles", "fine", "items")
     return written(whole.repartition("region", "block").sortWithinPartitions(*order).mapInArrow(links, "a bigint, b bigint"), "links")
 
 
