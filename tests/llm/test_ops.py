@@ -423,6 +423,38 @@ def test_license_templates(sp):
     assert len(index.labels) == len(licenses.TEMPLATES) and licenses.scan(nothing(sp)).count() == 0
 
 
+def test_license_templates_in_files_that_hold_many_rare_words(sp):
+    english = "may not file at are following for above all person deal files form code subject into released library " * 20
+    notice = "Licensed under the Apache License, Version 2.0"
+    every = "\n".join(t for t, _ in licenses.TEMPLATES.values())
+    names = set(licenses.TEMPLATES)
+    rows = licenses.scan(table(sp, [english + notice + " " + english, every, english + every, english])).orderBy("doc_id").collect()
+    got = [{f.label for f in r.found} for r in rows]
+    assert got == [{"apache-2.0"}, names, names, set()]
+
+
+def test_license_lookups_find_every_position_that_covers_a_template():
+    rng = random.Random(3)
+    index = licenses.RareTokenIndex()
+    for _ in range(300):
+        t = rng.randrange(len(index.labels))
+        words = index.templates[t].copy()
+        for k in rng.sample(range(len(words)), rng.randint(0, len(words) // 3)):
+            words[k] = -1
+        ids = np.concatenate([np.array(rng.choices(range(len(index.vocab)), k=30)), words, np.full(5, -1)])
+        want = set()
+        for u, template in enumerate(index.templates):
+            mass = index.idf[template]
+            for begin in range(-len(template), len(ids)):
+                span = np.arange(begin, begin + len(template))
+                inside = (span >= 0) & (span < len(ids))
+                same = inside & (ids[np.clip(span, 0, len(ids) - 1)] == template)
+                keys = all(len(licenses.places(ids[max(0, begin) : max(0, begin + len(template))], k)) for k in index.keys[u])
+                if mass[same].sum() / mass.sum() >= licenses.COVERAGE and keys:
+                    want.add(index.labels[u])
+        assert set(index.found(ids)) == want
+
+
 # ---------------------------------------------------------------- 8 shards
 
 

@@ -1,9 +1,10 @@
 """Licence scans with a positional rare-token index.
 
 The index holds, for every word of the licence templates, its postings (template, place) and its
-IDF over the templates. A file looks up its licence words of highest IDF; their postings vote for a
-relative position of template and file; a position with enough votes is checked word by word over
-the whole template, and the template's mandatory key phrases must stand where it was found.
+IDF over the templates. Every template has its own rare words: its places of highest IDF, so many
+that a position of template and file cannot reach COVERAGE without VOTES of them. All rare words of a
+file vote for relative positions; a position with enough votes is checked word by word over the
+whole template, and the template's mandatory key phrases must stand where it was found.
 The index is small and fixed by the parameter ``templates``; files stream through it.
 
 Edge cases: a null, empty or word-less text has no words, no places and no labels, score 0.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import find_words, lookup, text_blocks
+from .vectext import find_words, lookup, ranges, text_blocks
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -40,10 +41,8 @@ TEMPLATES = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("public domain",)),
 }
-#: A template is found at this share of its IDF mass; a file's lookups per block of text; the least votes for a position.
-COVERAGE, RAREST, VOTES = 0.8, 12, 2
-#: Words in more than this share of the templates are too common to look up.
-COMMON = 0.5
+#: A template is found at this share of its IDF mass; the least votes for a position, where a template has enough words.
+COVERAGE, VOTES = 0.8, 2
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -64,28 +63,44 @@ class RareTokenIndex:
         self.phrase_ids = [(lookup(self.vocab, p), label) for p, label in self.phrases]
         df = Counter(int(t) for w in self.templates for t in set(w.tolist()))
         self.idf = np.array([math.log((1 + len(self.labels)) / df.get(i, 1)) for i in range(len(self.vocab))])
-        self.rare = np.array([0 < df.get(i, 0) <= max(1, COMMON * len(self.labels)) for i in range(len(self.vocab))])
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.rare = np.zeros(len(self.vocab), bool)
+        self.need = np.ones(len(self.labels), np.int64)
+        postings: list[tuple[int, int, int]] = []
         for t, w in enumerate(self.templates):
-            for place, i in enumerate(w.tolist()):
-                self.postings.setdefault(i, []).append((t, place))
-        self.least = min((VOTES, *(len(set(w.tolist())) for w in self.templates)))
+            chosen, self.need[t] = self._rare_places(w)
+            self.rare[w[chosen]] = True
+            postings += [(int(w[place]), t, int(place)) for place in chosen]
+        self.postings = np.array(sorted(postings), np.int64).reshape(-1, 3)
+        self.first = np.searchsorted(self.postings[:, 0], np.arange(len(self.vocab) + 1))
+        self.least = int(self.need.min()) if len(self.need) else 1
+
+    def _rare_places(self, w: np.ndarray) -> tuple[np.ndarray, int]:
+        """The fewest places of highest IDF of which every position that reaches COVERAGE has VOTES
+        right, and the votes; with fewer votes where all places cannot promise as many."""
+        mass = self.idf[w]
+        order = np.lexsort((np.arange(len(w)), -mass))
+        sums = np.cumsum(mass[order])
+        for votes in range(VOTES, 1, -1):
+            # the mass that may be wrong, and the largest that fewer votes can hold
+            missing = (1 - COVERAGE) * mass.sum() + mass[order][: votes - 1].sum()
+            enough = np.flatnonzero(sums > missing + 1e-9)
+            if len(enough):
+                return order[: enough[0] + 1], votes
+        return order, 1
 
     def found(self, ids: np.ndarray) -> dict[str, float]:
         """Label: best share of IDF mass, for the templates verified in a file's word ids."""
         out: dict[str, float] = {}
         at = np.flatnonzero(ids >= 0)
         at = at[self.rare[ids[at]]]
-        present = np.unique(ids[at])
-        top = present[np.lexsort((present, -self.idf[present]))][:RAREST]
-        votes: Counter = Counter()
-        for p in at[np.isin(ids[at], top)].tolist():
-            for t, place in self.postings[int(ids[p])]:
-                votes[t, p - place] += 1
-        for (t, begin), n in votes.items():
+        lo, hi = self.first[ids[at]], self.first[ids[at] + 1]
+        rows = self.postings[ranges(lo, hi)]
+        begins = np.repeat(at, hi - lo) - rows[:, 2]
+        pairs, votes = np.unique(begins * len(self.labels) + rows[:, 1], return_counts=True)
+        enough = votes >= self.need[pairs % len(self.labels)]
+        for pair in pairs[enough].tolist():
+            begin, t = divmod(pair, len(self.labels))
             template = self.templates[t]
-            if n < min(self.least, len(template)):
-                continue
             span = np.arange(begin, begin + len(template))
             inside = (span >= 0) & (span < len(ids))
             same = np.zeros(len(template), bool)
