@@ -630,6 +630,52 @@ def test_every_state_is_a_distribution(sp):
     assert np.allclose(sums, 1, atol=1e-6)
 
 
+def suffix_tree_by_hand(tokens, train, least, prior=30.0):
+    """Each document's log10 probability by all contexts of any length, without pruning."""
+    count = collections.Counter(t for i in train for t in tokens[i])
+    n, v = sum(count.values()), len(count)
+    after = collections.defaultdict(collections.Counter)
+    for i in train:
+        ts = [None, *tokens[i]]
+        for k in range(1, len(ts)):
+            for lo in range(k):
+                after[tuple(ts[lo:k])][ts[k]] += 1
+    states = set()
+    for ctx, c in after.items():
+        up = after[ctx[1:]] if len(ctx) > 1 else count
+        m, total = sum(c.values()), sum(up.values())
+        gain = sum((x - 1) * math.log(x / m * total / up[t]) for t, x in c.items())
+        if m >= least and gain > 0 and gain >= 0.25 * max(1, sum(x > 1 for x in c.values())) * math.log(m):
+            states.add(ctx)
+
+    def p(ctx, t):
+        if not ctx:
+            return (count[t] + 0.1) / (n + 0.1 * (v + 1))
+        below = p(ctx[1:], t)
+        return (after[ctx][t] + prior * below) / (sum(after[ctx].values()) + prior) if ctx in states else below
+
+    return [sum(math.log10(p(tuple([None, *ts][:k]), t)) for k, t in enumerate(ts, 1)) for ts in tokens], states
+
+
+@pytest.mark.parametrize("head", [30, 1 << 19])
+def test_suffix_tree_of_the_whole_vocabulary_at_any_depth(sp, monkeypatch, head):
+    monkeypatch.setattr(suffix_tree, "HEAD", head)
+    monkeypatch.setattr(suffix_tree, "LEAST", 15)
+    rng = random.Random(11)
+    filler = [f"f{i}" for i in range(1200)]
+    texts = [" ".join(filler[k : k + 12]) for k in range(0, 1200, 12) for _ in range(3)]  # of higher rank than what follows
+    for i in range(150):  # the word four words before tells the next one
+        a = rng.choice("xy")
+        texts.append(" ".join([rng.choice(filler), f"{a}1", "b", "c", "d", f"{a}2" if rng.random() < 0.9 else f"z{i}", rng.choice(filler)]))
+    texts += [None, "", "x1 b c d y2", "unknown b c d unknown"]
+    rows = {r.doc_id: r for r in suffix_tree.evaluate(table(sp, texts).repartition(3)).collect()}
+    tokens = [[*(t or "").split(), None] for t in texts]
+    train = [i for i in range(len(texts)) if crc32(str(i).encode()) % 10]
+    want, states = suffix_tree_by_hand(tokens, train, 15)
+    assert ("x1", "b", "c", "d") in states
+    assert [rows[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_language_model_edges(sp):
     assert suffix_tree.evaluate(nothing(sp)).count() == 0
     held = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0][:3]

@@ -1,17 +1,21 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-States are contexts of no word (the root), one word and two words. The root's distribution is the
-smoothed unigram of the whole corpus. A longer context is a state of its own only if it is frequent
-enough and a divergence test tells its next-word distribution from its parent's: the Kullback-Leibler
-divergence times its count has to pay for its parameters. Each state's distribution is smoothed with
-its parent's. A token is scored in the state of the longest retained suffix of what precedes it.
-
-Next words are told apart up to the CLASSES most frequent ones; within the rest a state keeps the
-root's proportions, so every state's distribution sums to 1 over the vocabulary and one unknown word.
-
-Counts cover all training documents: words are counted by task and summed over the cluster. Only
-the HEAD most frequent words' counts (of proven size) and the tree (CLASSES and PAIRS bound it) are
-broadcast; rarer words meet their counts in a distributed join. Words are known by 64-bit fingerprints.
+States are contexts of any number of words, the root's of none. The root's distribution is the
+smoothed unigram of the whole corpus. A longer context is a state of its own only if it occurs LEAST
+times and a divergence test tells its next words from those of its longest proper suffix: next words
+seen once prove nothing, so each weighs by its occurrences less one, and the sum has to pay for the
+next words seen again. Each state's distribution is smoothed with that of its longest suffix that is a
+state, down to the root's, over the whole vocabulary and one unknown word. A token is scored in the
+state of the longest retained suffix of what precedes it; a text's beginning is a word of contexts.
+
+Contexts grow by passes: of one word, of two, then of twice as many each time, until none can be told
+apart any more. A context is extended only if it occurs LEAST times and its next words' entropy, times
+its occurrences, could pay for one state: no extension can gain more (conditioning never adds entropy).
+
+Counts cover all training documents and the whole vocabulary: (context, next word) pairs are counted
+by task and summed over the cluster, and stay distributed tables. Broadcast are the HEAD most frequent
+words, states and pairs, and bitmaps of fixed size that only say where a look-up is in vain; all other
+tokens meet their counts in a join. Words and contexts are known by 64-bit fingerprints.
 
 Edge cases: null and empty texts are one end token; without training documents every token has
 probability 1; null ids belong to the training part; repeated ids are scored row by row.
@@ -20,29 +24,87 @@ probability 1; null ids belong to the training part; repeated ids are scored row
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .labelled import held_out
-from .vectext import SPACED, Words, find_words, lookup, text_blocks
+from .vectext import SPACED, Words, find_words, mix, text_blocks
 
 ALPHA = 0.1
 HEAD = 1 << 19
-CLASSES = 1024  # the last one is the end as a next word and the beginning as a context
-PAIRS = 40
+CLASSES = 1024  # the columns of Tree.log_p, a view of the most frequent next words; no limit of the tree
 LEAST = 200  # a context's occurrences
 LAMBDA = 30.0  # occurrences that a parent's distribution is worth
-END = 0x454E44454E44454E  # the end's fingerprint
+END = 0x454E44454E44454E  # the end's fingerprint, as a word of contexts the beginning's
+BITS = 24  # a bitmap's slots
+FLUSH = 1 << 20  # pairs that a task counts at once
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The fingerprint of a context with one more word before it."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The fingerprint of a context and a next word."""
+    return mix((context ^ np.uint64(0xA5A5A5A55A5A5A5A)) * np.uint64(0xD6E8FEB86659FD93) + token)
+
+
+def _own(context: np.ndarray) -> np.ndarray:
+    """The key of a state's occurrences, apart from those of words and pairs."""
+    return mix(context ^ np.uint64(0x5354415445535441))
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - BITS)).view(np.int64)
+
+
+def _mapped(df: DataFrame, change, names: tuple[str, ...]) -> DataFrame:
+    """Columns of bigint made from columns of bigint."""
+
+    def run(batches):
+        for batch in batches:
+            out = change(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=list(names))
+
+    return df.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _bitmap(df: DataFrame, fingerprint=lambda h: h) -> np.ndarray:
+    """A bitmap of the fingerprints in df's columns: at most 1 << BITS slots travel."""
+    slots = _mapped(df, lambda *x: (np.unique(_slots(fingerprint(*(c.view(np.uint64) for c in x)))),), ("slot",)).distinct().toArrow()
+    bits = np.zeros(1 << BITS, bool)
+    bits[slots["slot"].to_numpy()] = True
+    return np.packbits(bits)
+
+
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slots(h)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bool]:
+    """(columns of df's largest rows by size, HEAD rows at most; whether these are all)."""
+    band = F.floor(F.log2(size) * 16)
+    total, least, all_ = 0, None, True
+    for r in sorted(df.groupBy(band.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if total + r["n"] > HEAD:
+            all_ = False
+            break
+        total, least = total + r["n"], r["k"]
+    top = df.filter(band >= least if least is not None else F.lit(False)).select(*columns).toArrow()
+    return [top[c].to_numpy().astype(np.int64) for c in columns], all_
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(h, c): how often each word, by fingerprint, occurs in docs; the end counts once a text."""
 
@@ -66,7 +128,6 @@ class Vocabulary:
     v: int
     head: np.ndarray  # sorted fingerprints
     count: np.ndarray  # theirs
-    cls: np.ndarray  # their classes, CLASSES for the rest
 
     def log_q(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ALPHA) / (self.n + ALPHA * (self.v + 1)))
@@ -74,181 +135,280 @@ class Vocabulary:
 
 def vocabulary(train: DataFrame) -> Vocabulary:
     words = written(count_words(train), "words")
-    size = F.floor(F.log2("c") * 16)
-    bands = sorted(((r["k"], r["n"], r["s"]) for r in words.groupBy(size.alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("s")).collect()), reverse=True)
-    v, n = sum(b[1] for b in bands), sum(b[2] for b in bands)
-    total, least = 0, None
-    for k, m, _ in bands:
-        if total + m > HEAD:
-            break
-        total, least = total + m, k
-    top = words.filter(size >= least if least is not None else F.lit(False)).toArrow()
-    h, c = np.asarray(top["h"].to_numpy()).astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    r = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    (h, c), _ = _most(words, "c", "h", "c")
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    h, c = h[order], c[order]
-    rank = np.lexsort((h, -c))
-    rank = rank[h[rank] != END][: CLASSES - 1]
-    cls = np.full(len(h), CLASSES, np.int32)
-    cls[rank] = np.arange(len(rank))
-    cls[h == END] = CLASSES - 1
-    return Vocabulary(words, n, v, h, c, cls)
-
-
-def sequence(words: Words, head: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, the word before's class, the pair before's number or -1, first places by document,
-    places in the head) of a block's tokens, ends included."""
-    n, docs = len(words.start), words.n_docs
-    at = lookup(head, words.hash)
-    first = words.first + np.arange(docs + 1)
-    token = np.full(n + docs, CLASSES - 1, np.int32)
-    place = np.arange(n) + words.doc()
-    if len(head):
-        token[place] = np.where(at >= 0, cls[at], CLASSES)
-    else:
-        token[place] = CLASSES
-    before = np.full(len(token), CLASSES, np.int32)
-    before[1:] = token[:-1]
-    before[first[:-1]] = CLASSES - 1  # the beginning
-    pair = np.full(len(token), -1, np.int64)
-    both = np.zeros(len(token), bool)
-    both[2:] = (token[:-2] < PAIRS) & (token[1:-1] < PAIRS)
-    both[first[:-1]] = False
-    second = first[:-1] + 1
-    both[second[second < len(token)]] = False
-    k = np.flatnonzero(both)
-    pair[k] = token[k - 2].astype(np.int64) * PAIRS + token[k - 1]
-    return token, before, pair, first, at
-
-
-def count_contexts(train: DataFrame, vocab: Vocabulary, text: str = "text") -> np.ndarray:
-    """Counts by (context, next class): rows 0..CLASSES-1 are single words, then pairs."""
-    width = CLASSES + 1
-    shared = train.sparkSession.sparkContext.broadcast((vocab.head, vocab.cls))
+    return Vocabulary(words, r["n"], r["v"], h[order], c[order])
+
+
+def sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints of a block's tokens, each text's after a beginning and with its end; places of
+    the beginnings and one past the last end)."""
+    first = words.first + 2 * np.arange(words.n_docs + 1)
+    token = np.full(int(first[-1]), END, np.uint64)
+    token[np.arange(len(words.start)) + 2 * words.doc() + 1] = words.hash
+    return token, first
+
+
+def contexts(token: np.ndarray, first: np.ndarray, go_on):
+    """(length, places of tokens, their contexts' fingerprints, those of the next shorter ones) for
+    contexts of growing length, while go_on(length, contexts) lets some of them grow."""
+    room = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))  # words before, the beginning too
+    at = np.flatnonzero(room >= 1)
+    context, up, k = token[at - 1], np.zeros(len(at), np.uint64), 1
+    while len(at):
+        yield k, at, context, up
+        keep = go_on(k, context) & (room[at] > k)
+        at, up = at[keep], context[keep]
+        context = _longer(up, token[at - k - 1])
+        k += 1
+
+
+def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray, bits: np.ndarray | None) -> DataFrame:
+    """(k, ctx, up, next, c) of the contexts of lo to hi words. Contexts of lo words have to be in
+    bits, if given; those up to longest words grow only if known holds them."""
+    shared = train.sparkSession.sparkContext.broadcast((known, bits))
+
+    def grouped(parts):
+        k, ctx, up, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, back = np.unique(_pair(ctx, nxt), return_index=True, return_inverse=True)
+        return k[at], ctx[at], up[at], nxt[at], np.bincount(back, c, len(at)).astype(np.int64)
+
+    def sent(rows):
+        for i in range(0, len(rows[0]), 1 << 17):
+            k, ctx, up, nxt, c = (x[i : i + (1 << 17)] for x in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(_signed(x)) for x in (ctx, up, nxt)), pa.array(c)], names=["k", "ctx", "up", "next", "c"])
 
     def run(batches):
-        head, cls = shared.value
+        known, bits = shared.value
+        held, size, kept = [], 0, 0
         for batch in batches:
-            found = []
             for _, _, buf, offsets in text_blocks(batch.column(0)):
-                token, before, pair, _, _ = sequence(find_words(buf, offsets, SPACED), head, cls)
-                one, two = before < CLASSES, pair >= 0
-                keys = np.concatenate([before[one].astype(np.int64) * width + token[one], (CLASSES + pair[two]) * width + token[two]])
-                found.append(np.unique(keys, return_counts=True))
-            if found:
-                keys, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                c = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
-                for lo in range(0, len(keys), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), pa.array(c[lo : lo + (1 << 18)])], names=["k", "c"])
-
-    out = train.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros((CLASSES + PAIRS * PAIRS) * width, np.float32)
-    counts[out["k"].to_numpy()] = out["c"].to_numpy()
-    return counts.reshape(-1, width)
+                token, first = sequence(find_words(buf, offsets, SPACED))
+                go_on = lambda k, ctx: np.full(len(ctx), k < hi) if k > longest else _held(known, ctx) & (k < hi)
+                for k, at, ctx, up in contexts(token, first, go_on):
+                    if k < lo:
+                        continue
+                    if k == lo and bits is not None:
+                        keep = _held(bits, ctx)
+                        at, ctx, up = at[keep], ctx[keep], up[keep]
+                    held.append((np.full(len(at), k, np.int32), ctx, up, token[at], np.ones(len(at), np.int64)))
+                    size += len(at)
+                    if size >= kept + FLUSH:
+                        held = [grouped(held)]
+                        size = kept = len(held[0][0])
+                        if kept >= FLUSH:
+                            yield from sent(held[0])
+                            held, size, kept = [], 0, 0
+        if held:
+            yield from sent(grouped(held))
+
+    out = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, ctx bigint, up bigint, next bigint, c bigint")
+    return out.groupBy("ctx", "next").agg(F.max("k").alias("k"), F.max("up").alias("up"), F.sum("c").alias("c"))
+
+
+@dataclass
+class Counts:
+    train: DataFrame
+
+
+def count_contexts(train: DataFrame, vocab: Vocabulary, text: str = "text") -> Counts:
+    """The documents whose contexts grow() counts, pass by pass."""
+    return Counts(train.select(F.col(text).cast("string").alias("text")))
 
 
 @dataclass
 class Tree:
-    """Retained states: state 0 is the root."""
-
-    one: np.ndarray  # by the class before
-    two: np.ndarray  # by the number of the pair before, -1 if not retained
-    log_p: np.ndarray  # by state and next class
-
-
-def grow(vocab: Vocabulary, counts: np.ndarray, least: int = LEAST, prior: float = LAMBDA) -> Tree:
-    width = CLASSES + 1
-    q = np.zeros(width)
-    known = vocab.cls < CLASSES
-    q[vocab.cls[known]] = 10 ** vocab.log_q(vocab.count[known])
-    used = np.zeros(width, bool)
-    used[vocab.cls[known]] = True
-    q[CLASSES] = max(1 - q[:CLASSES].sum(), 1e-12)
-    used[CLASSES] = True
-    rows = [q]
-    one, two = np.zeros(CLASSES + 1, np.int32), np.full(PAIRS * PAIRS, -1, np.int32)
-
-    def differs(c: np.ndarray, parent: np.ndarray) -> bool:
-        """Whether the counts' gain over the parent's distribution pays for their parameters."""
-        some = c > 0
-        n = c.sum()
-        gain = float((c[some] * np.log(c[some] / n / parent[some])).sum())
-        return gain >= 0.5 * int(some.sum()) * np.log(max(n, 2)) * 0.5
-
-    def smooth(c: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        return (c + prior * parent) / (c.sum() + prior)
-
-    for k in range(CLASSES):
-        c = counts[k].astype(np.float64)
-        if c.sum() >= least and differs(c, np.maximum(q, 1e-12)):
-            one[k] = len(rows)
-            rows.append(smooth(c, q))
-    for k in range(PAIRS * PAIRS):
-        c = counts[CLASSES + k].astype(np.float64)
-        parent = rows[one[k % PAIRS]]
-        if c.sum() >= least and differs(c, np.maximum(parent, 1e-12)):
-            two[k] = len(rows)
-            rows.append(smooth(c, parent))
-    table = np.log10(np.maximum(np.array(rows), 1e-300)).astype(np.float64)
-    table[:, CLASSES] -= table[0, CLASSES]  # a rare word's root probability is added later
-    return Tree(one, two, table)
+    """Retained states but the root, and the counts of what follows them, as tables."""
+
+    vocab: Vocabulary
+    states: DataFrame  # (ctx, up, k, n)
+    pairs: DataFrame  # (ctx, next, c)
+    known: np.ndarray  # a bitmap of the contexts that may be suffixes of states
+    longest: int  # the most words of a state
+    prior: float
+
+    @property
+    def two(self) -> np.ndarray:
+        """The numbers in log_p of the states of two words and more."""
+        return np.flatnonzero([0, *(r["k"] > 1 for r in self._listed())])
+
+    def _listed(self):
+        return self.states.orderBy("k", "ctx").collect()
+
+    @property
+    def log_p(self) -> np.ndarray:
+        """A view of a small tree, for looking at it: by state, the root first, and by next word, the
+        CLASSES most frequent; the last column is the rest's share of the root's."""
+        v = self.vocab
+        top = np.lexsort((v.head, -v.count))[:CLASSES]
+        column = {int(h): i for i, h in enumerate(_signed(v.head[top]))}
+        rows = [np.zeros(CLASSES + 1)]
+        rows[0][: len(top)] = 10 ** v.log_q(v.count[top])
+        rows[0][CLASSES] = 1 - rows[0][:CLASSES].sum()
+        number, counts = {}, {}
+        for r in self.pairs.collect():
+            counts.setdefault(r["ctx"], []).append((column.get(r["next"], CLASSES), r["c"]))
+        for r in self._listed():
+            c = np.zeros(CLASSES + 1)
+            for i, m in counts[r["ctx"]]:
+                c[i] += m
+            number[r["ctx"]] = len(rows)
+            rows.append((c + self.prior * rows[number.get(r["up"], 0)]) / (c.sum() + self.prior))
+        p = np.array(rows)
+        p[:, CLASSES] /= p[0, CLASSES]
+        return np.log10(np.maximum(p, 1e-300))
+
+
+def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: float = LAMBDA) -> Tree:
+    train = counts.train
+    least = LEAST if least is None else least
+    known = np.zeros((1 << BITS) // 8, np.uint8)
+    total = F.lit(float(max(vocab.n, 1)))
+    below = vocab.table.select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
+    bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"))
+    lo, hi, longest, found = 1, 1, 0, []
+    while True:
+        pairs = written(_count(train, lo, hi, longest, known, bits), "pairs")
+        sums = pairs.groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("own"), F.sum((F.col("c") > 1).cast("int")).alias("m"))
+        sums = written(sums.filter(F.col("n") >= least), "contexts")
+        # The next words of a context against those of the next shorter one, in this pass or the one before.
+        seen = pairs.join(sums.select("ctx", "n"), "ctx").select("ctx", "up", "next", "c", "n", "k")
+        if lo > 1 or hi > 1:
+            here = seen.filter(F.col("k") < hi).select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up"))
+            below = below.unionByName(here) if hi > lo else below
+        gain = (F.col("c") - 1) * F.log(F.col("c") / F.col("n") * F.col("n_up") / F.col("c_up"))
+        gains = seen.filter(F.col("c") > 1).join(below, ["up", "next"]).groupBy("ctx").agg(F.sum(gain).alias("gain"))
+        pays = F.col("gain") >= 0.25 * F.greatest("m", F.lit(1)) * F.log("n")
+        states = written(sums.join(gains.filter("gain > 0"), "ctx").filter(pays).select("ctx", "up", "k", "n"), "states")
+        grows = sums.filter(F.col("n") * F.log("n") - F.col("own") >= 0.25 * np.log(least))
+        found.append((states, written(pairs.join(states.select("ctx"), "ctx", "left_semi").select("ctx", "next", "c"), "followers")))
+        known |= _bitmap(grows.select("ctx"))
+        longest = hi
+        last = grows.filter(F.col("k") == hi).select("ctx", "n")
+        if not last.limit(1).count():
+            drop_written(pairs)
+            break
+        # A next word that an extension has twice, its suffix has twice.
+        last = pairs.filter(F.col("c") > 1).join(last, "ctx")
+        below = written(last.select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up")), "suffixes")
+        # Which two words are frequent the counts of one word tell; longer contexts are counted where they may be.
+        end = int(_signed(np.array([END], np.uint64))[0])
+        bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("next") != end)).select("next", "ctx"), _longer) if hi == 1 else None
+        drop_written(pairs)
+        lo, hi = hi + 1, 2 * hi
+    states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
+    longest = states.agg(F.max("k")).first()[0] or 0
+    return Tree(vocab, states, followers, known, longest, prior)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of docs."""
     spark = docs.sparkSession
-    head = (vocab.head, vocab.cls, vocab.log_q(vocab.count), tree.one, tree.two, tree.log_p, float(vocab.log_q(np.zeros(1))[0]))
-    shared = spark.sparkContext.broadcast(head)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    empty = not vocab.n
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    all_n = vocab.n + ALPHA * (vocab.v + 1)
+    prior, longest = tree.prior, tree.longest
+    own = _mapped(tree.states.select("ctx", "n"), lambda ctx, n: (_signed(_own(ctx.view(np.uint64))), n), ("key", "val"))
+    pairs = _mapped(tree.pairs, lambda ctx, nxt, c: (_signed(_pair(ctx.view(np.uint64), nxt.view(np.uint64))), c), ("key", "val"))
+    heads = []
+    for df in (own, pairs):
+        (key, val), whole = _most(df, "val", "key", "val")
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        heads.append((key[order], val[order], whole))
+    retained = _bitmap(tree.states.select("ctx"))
+    shared = spark.sparkContext.broadcast((vocab.head, vocab.count, heads, tree.known, retained))
+    whole_vocab = len(vocab.head) == vocab.v
 
     def run(batches):
-        head_h, cls, log_q, one, two, log_p, _ = shared.value
+        head, count, heads, known, retained = shared.value
+        tables = (head, heads[0][0], heads[1][0])
+
+        def find(i, values, keys):
+            table = tables[i]
+            if not len(table):
+                return np.full(len(keys), -1, np.int64)
+            at = np.searchsorted(table, keys)
+            at[at == len(table)] = 0
+            return np.where(table[at] == keys, values[at], -1)
+
         for batch in batches:
             for lo, hi, buf, offsets in text_blocks(batch.column(2)):
-                words = find_words(buf, offsets, SPACED)
-                token, before, pair, first, at = sequence(words, head_h, cls)
-                state = one[before]
-                deep = np.flatnonzero(pair >= 0)
-                if len(deep):
-                    s = two[pair[deep]]
-                    state[deep[s >= 0]] = s[s >= 0]
-                model = log_p[state, token]
-                base = np.zeros(len(token))
-                place = np.arange(len(at)) + words.doc()
-                if len(head_h):
-                    base[place] = np.where(at >= 0, log_q[at], 0.0)
-                end = lookup(head_h, np.array([END], np.uint64))[0]
-                base[first[1:] - 1] = log_q[end] if end >= 0 else 0.0
-                rare = token == CLASSES
-                model[rare] += base[rare]
-                known = np.zeros(len(token), bool)
-                known[place] = at >= 0
-                known[first[1:] - 1] = end >= 0
+                token, first = sequence(find_words(buf, offsets, SPACED))
+                c = find(0, count, token)
+                begins = np.zeros(len(token), bool)
+                begins[first[:-1]] = True
+                if whole_vocab:
+                    c[c < 0] = 0
+                open_ = c < 0
+                q = (np.maximum(c, 0) + ALPHA) / all_n
+                p = q.copy()
+                walked = []
+                for k, at, ctx, _ in contexts(token, first, lambda k, ctx: _held(known, ctx) & (k < longest)) if longest else ():
+                    may = _held(retained, ctx)
+                    at, ctx = at[may], ctx[may]
+                    n = find(1, heads[0][1], _own(ctx))
+                    if heads[0][2]:
+                        at, ctx, n = at[n >= 0], ctx[n >= 0], n[n >= 0]
+                    key = _pair(ctx, token[at])
+                    m = find(2, heads[1][1], key)
+                    if heads[1][2]:
+                        m = np.maximum(m, 0)
+                    open_[at[(n < 0) | (m < 0)]] = True
+                    walked.append((k, at, ctx, n, key, m))
+                    p[at] = (np.maximum(m, 0) + prior * p[at]) / (np.maximum(n, 0) + prior)
+                # Open tokens take all that is known of them along, the rest is asked in the join.
+                open_[begins] = False
+                sure = ~open_ & ~begins
+                asks = [np.flatnonzero(open_)]
+                level, key, val, tok = [np.zeros(len(asks[0]), np.int32)], [token[asks[0]]], [c[asks[0]]], asks
+                for k, at, ctx, n, pair, m in walked:
+                    keep = open_[at]
+                    for kind, keys_, vals in ((0, _own(ctx[keep]), n[keep]), (1, pair[keep], m[keep])):
+                        level.append(np.full(len(vals), 2 * k + kind, np.int32))
+                        key.append(keys_)
+                        val.append(vals)
+                        tok.append(at[keep])
+                tok = np.concatenate(tok)
+                order = np.argsort(tok, kind="stable")
+                tok = tok[order]
+                cuts = pa.array(np.searchsorted(tok, first).astype(np.int32))
+                fields = [np.concatenate(x)[order] for x in (level, key, val)]
+                items = pa.StructArray.from_arrays([pa.array(tok.astype(np.int32)), pa.array(fields[0]), pa.array(_signed(fields[1])), pa.array(fields[2])], names=["tok", "level", "key", "val"])
 
                 def sums(x, first=first):
-                    return np.add.reduceat(x, first[:-1]) if len(x) else x
+                    return np.add.reduceat(x, first[:-1])
 
-                tail = at < 0
-                cum = np.concatenate([[0], np.cumsum(tail)])[words.first]
+                base = np.where(sure, np.log10(q), 0.0)
+                model = np.where(sure, np.log10(p), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(sums(known.astype(np.int64))), pa.array(sums(base)), pa.array(sums(model)),
-                        pa.ListArray.from_arrays(pa.array(cum.astype(np.int32)), pa.array(_signed(words.hash[tail]))),
-                    ], names=["place", "doc_id", "n_tokens", "known", "base", "model", "tail"],
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1), pa.array(sums((sure & (c > 0)).astype(np.int64))),
+                        pa.array(sums(base)), pa.array(sums(model)), pa.ListArray.from_arrays(cuts, items),
+                    ], names=["place", "doc_id", "n_tokens", "known", "base", "model", "open"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, tail array<bigint>")
-    if empty:
+    item = "struct<tok:int,level:int,key:bigint,val:bigint>"
+    if not vocab.n:
         zero = F.lit(0.0)
-        return rows.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), zero.alias("base_score"), zero.alias("score"))
-    rows = written(rows, "scored")
-    tail = rows.select("place", F.explode("tail").alias("h")).groupBy("place", "h").agg(F.count("*").alias("k"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    log_q = F.log10((c + F.lit(ALPHA)) / F.lit(vocab.n + ALPHA * (vocab.v + 1)))
-    sums = tail.join(vocab.table, "h", "left").groupBy("place").agg(F.sum(F.col("k") * log_q).alias("t"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("m"))
-    t, m = F.coalesce("t", F.lit(0.0)), F.coalesce("m", F.lit(0))
-    return rows.drop("tail").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + m).alias("n_known"), (F.col("base") + t).alias("base_score"), (F.col("model") + t).alias("score"))
+        out = rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, open array<{item}>")
+        return out.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), zero.alias("base_score"), zero.alias("score"))
+    rows = written(rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, open array<{item}>"), "scored")
+    asked = rows.select("place", F.inline("open"))
+    table = vocab.table.select(F.col("h").alias("key"), F.col("c").alias("found")).unionByName(own.unionByName(pairs).withColumnRenamed("val", "found"))
+    answered = asked.filter("val < 0").join(table, "key", "left").select("place", "tok", "level", F.coalesce("found", F.lit(-1)).alias("val"))
+    told = asked.filter("val >= 0").select("place", "tok", "level", "val").unionByName(answered)
+    chain = told.groupBy("place", "tok").agg(F.sort_array(F.collect_list(F.struct("level", "val"))).alias("chain"))
+    # Level 0 is the word's count, 2 k a context's, 2 k + 1 the pair's; -1 stands for none.
+    fold = f"""aggregate(slice(chain, 2, size(chain)), named_struct('p', (greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D, 'n', -1L),
+        (a, x) -> CASE WHEN x.level % 2 = 0 THEN named_struct('p', a.p, 'n', x.val) WHEN a.n < 0 THEN a
+        ELSE named_struct('p', (greatest(x.val, 0) + {prior!r}D * a.p) / (a.n + {prior!r}D), 'n', -1L) END, a -> log10(a.p))"""
+    each = chain.select("place", F.expr(fold).alias("m"), F.expr(f"log10((greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D)").alias("b"), (F.col("chain")[0]["val"] > 0).cast("long").alias("k"))
+    sums = each.groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
+    m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
+    return rows.drop("open").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
 
 
 def evaluate(docs: DataFrame, mod: int = 10, remainder: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
