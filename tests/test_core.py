@@ -251,3 +251,12 @@ def test_wav_files_and_spectra(spark, tmp_path):
     assert len(got) == 4 and all(abs(r.centroid - 4) < 0.05 and r.rolloff == 4 for r in got) and got[1].flux < 1
     flat = spark.createDataFrame([("m", i, 0.0) for i in range(8)], "media_id string, t long, v double")
     assert [(r.centroid, r.rolloff, r.flux) for r in audio.features(audio.spectra(flat, 4)).collect()] == [(0.0, 0.0, 0.0)] * 2
+
+
+def test_safe_path_names_whole_texts(spark, tmp_path):
+    from tideline.plans.text import QUERIES
+
+    texts = [". " * 15 + "a" * 70, "." * 90 + "title", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["safe_path"][0](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.file for r in rows] == ["a" * 60, "title", "plain"]

@@ -78,7 +78,7 @@ QUERIES = {
     ),
     "romanize": (romanized, None),
     "safe_path": (
-        lambda s, sf: model.table(s, sf, "documents").select("doc_id", fn.safe_name(F.substring("text", 1, 80)).alias("file"), fn.output_name(F.substring("text", 1, 80), F.col("doc_id") % 100, F.lit("reel"), F.lit(0.25)).alias("clip")),
+        lambda s, sf: model.table(s, sf, "documents").select("doc_id", fn.safe_name(F.col("text")).alias("file"), fn.output_name(F.col("text"), F.col("doc_id") % 100, F.lit("reel"), F.lit(0.25)).alias("clip")),
         r"""SELECT doc_id, CASE WHEN cut = '' THEN 'untitled' ELSE cut END AS file, trim(substring(regexp_replace(t, '[^\p{L}\p{N} _-]', '_', 'g'), 1, 50)) || format('_clip{:02d}_reel_score0.25.mp4', doc_id % 100) AS clip
 FROM (SELECT doc_id, t, CASE WHEN length(c) > 60 THEN regexp_replace(substring(c, 1, 60), '[. ]+$', '') ELSE c END AS cut
 FROM (SELECT doc_id, substring(text, 1, 80) AS t, regexp_replace(regexp_replace(substring(text, 1, 80), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS c FROM documents))""",
