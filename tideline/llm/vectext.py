@@ -41,19 +41,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _keys(n: int) -> np.ndarray:
-    """n fixed odd multipliers, one for each place in a word."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: The base of fingerprints, and the bytes that share one run of powers.
+BASE, STRETCH = 0x9E3779B97F4A7C15, 1 << 17
 
 
-_KEYS = _keys(64)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRETCH + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_POWERS, _INVERSE = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
 
 
 def keys(n: int) -> np.ndarray:
-    global _KEYS
-    if n > len(_KEYS):
-        _KEYS = _keys(max(n, 2 * len(_KEYS)))
-    return _KEYS
+    """The multipliers of a slice's first n places (n up to STRETCH), as fingerprint() has them."""
+    return _POWERS[:n]
 
 
 @dataclass
@@ -128,17 +131,37 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, f
 
 
 def fingerprint(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit multilinear hash of each slice low[start:end]; slices must not be empty."""
-    lens = end - start
-    if not len(lens):
-        return np.zeros(0, np.uint64)
-    cum = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum()), dtype=np.int64)
-    at = place + np.repeat(start - cum, lens)
-    place -= np.repeat(cum, lens)
-    terms = keys(int(lens.max()))[place]
-    terms *= low[at].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(terms, cum) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit polynomial hash of each slice low[start:end]. Slices must not be empty, and neither
+    starts nor ends may go back. A slice's hash is a difference of running sums, divided by the power
+    of its place, so it does not depend on where the slice stands."""
+    h = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(end, base + STRETCH, "right"))
+        if j <= i:  # one slice longer than a stretch
+            h[i] = _long(low[base : int(end[i])])
+            i += 1
+            continue
+        part = low[base : int(end[j - 1])]
+        terms = part.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _POWERS[: len(part)]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(terms, out=sums[1:])
+        a, z = start[i:j] - base, end[i:j] - base
+        h[i:j] = (sums[z] - sums[a]) * _INVERSE[a]
+        i = j
+    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _long(part: np.ndarray) -> np.uint64:
+    total = 0
+    for at in range(0, len(part), STRETCH):
+        piece = part[at : at + STRETCH].astype(np.uint64) + np.uint64(1)
+        total += int((piece * _POWERS[: len(piece)]).sum()) * pow(BASE, at, 1 << 64)
+    return np.uint64(total & M64)
 
 
 def word_hash(word: str | bytes) -> int:
