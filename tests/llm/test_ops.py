@@ -9,11 +9,13 @@ import math
 import os
 import random
 import re
+from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, jaccard_join, licenses, mpeg, pieces, quality, suffix_tree, token_shards, toxicity, url_rules, vectext
 from tideline.runtime import ship
@@ -542,32 +544,53 @@ def near_copies(seed, groups=14, most=14):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "percent", "size", "slack"), [(1, 85, 4, 4), (2, 85, 4, 12), (3, 80, 5, 12)])
-def test_components_are_exact(sp, seed, percent, size, slack):
+@pytest.mark.parametrize(("seed", "percent", "size", "small"), [(1, 85, 4, 64), (2, 85, 4, 3), (3, 80, 5, 2), (4, 30, 4, 4), (5, 50, 3, 64), (6, 66, 4, 2), (7, 100, 4, 2)])
+def test_components_are_exact(sp, seed, percent, size, small):
     texts = list(enumerate(near_copies(seed) + ODD + ["the cat sat", "THE cat sat"]))
     sets = shingle_sets(texts, size)
     want = component_names(sets, percent)
     df = table(sp, [t for _, t in texts]).repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(df, percent=percent, size=size, slack=slack).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(df, percent=percent, size=size, small=small, held=7, passing=5).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
-def test_boundary_regions_in_blocks(sp):
-    """A large group just around the limit, with one pivot and small blocks: all links need regions."""
+@pytest.mark.parametrize(("pivots", "large"), [(1, 1 << 14), (3, 1 << 14), (2, 10)])
+def test_regions_split_and_join_exactly(sp, pivots, large):
+    """A large group just around the limit, where every link is found by regions, and by regions of regions."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     texts = []
-    for _ in range(70):
+    for _ in range(90):
         w = list(base)
         for p in rng.sample(range(200), rng.randint(1, 6)):
             w[p] = f"x{rng.random()}"
         texts.append(" ".join(w))
     sets = shingle_sets(list(enumerate(texts)))
     want = component_names(sets, 85)
-    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(table(sp, texts), pivots=1, block_points=5).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(table(sp, texts).repartition(5), pivots=pivots, small=4, large=large, held=6, passing=9).collect()}
     assert got == want and 1 < len(set(want.values()))
 
 
+def test_hot_passages_in_five_word_shingles(sp):
+    """Texts of few passages that most others hold too, at the pipeline's limit."""
+    rng = random.Random(4)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(8)]
+    texts = []
+    for _ in range(260):
+        w = [x for k in rng.sample(range(8), rng.choice([2, 3, 5])) for x in passages[k]]
+        texts.append(" ".join(w + [f"u{rng.random()}" for _ in range(rng.choice([0, 0, 1, 3, 12, 30]))]))
+    sets = shingle_sets(list(enumerate(texts)), 5)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(table(sp, texts).repartition(4), percent=80, size=5, small=8).collect()}
+    assert got == component_names(sets, 80)
+
+
+def test_prefixes_meet():
+    for percent in (30, 66, 80, 85, 100):
+        share = Fraction(percent, 100)
+        for n in range(1, 300):
+            assert jaccard_join.prefix_length(np.array([n]), share)[0] == n - math.ceil(share * n) + 1
+
+
 def test_one_of_each_and_edges(sp):
     texts = ["a b c d e f g", "a b c d e f g", "x y z", None, "", "x y z"]
     ids = [5, 3, 8, 9, 10, 8]
@@ -579,14 +602,14 @@ def test_one_of_each_and_edges(sp):
     assert {r.component_id for r in nulls} == {4}
 
 
-def test_part_counts_cover_the_radius():
-    for percent in (80, 85):
-        c = jaccard_join.Cells(percent, most=1 << 20)
-        for n in list(range(1, 400)) + [5000, 123456]:
-            m = int(c.largest_partner(np.array([n]))[0])
-            k = c.of(np.array([m]))[0]
-            worst = max((n + y - 2 * math.ceil(percent * (n + y) / (100 + percent)) for y in range(n, m + 1)), default=0)
-            assert worst <= c.k[k] and c.parts[k] == c.k[k] + 1 + 2 * c.slack[k]
+def test_near_copies_without_ids_and_clashing_names(sp):
+    w = [f"w{i}" for i in range(100)]
+    near = w[:-1] + ["other"]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(table(sp, [" ".join(w), " ".join(near), " ".join(near)], [7, None, None])).collect()}
+    assert got == {7: 7, None: 7}
+    df = table(sp, [" ".join(w), " ".join(near), "else"], [3, 2, 1]).withColumn("same", F.lit("s")).withColumn("row", F.lit("r")).withColumn("id", F.lit(5))
+    out = jaccard_join.one_of_each(df, percent=80, size=5)
+    assert out.columns == df.columns and sorted((r.doc_id, r.same, r.row, r.id, r.point) for r in out.collect()) == [(1, "s", "r", 5, "clash"), (2, "s", "r", 5, "clash")]
 
 
 # ---------------------------------------------------------------- 10 suffix tree
