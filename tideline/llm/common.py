@@ -25,10 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and any executor can read it again.
-
-    The step's shuffle files go with it, and those of earlier steps once the driver has collected the
-    plans that own them, so the disk holds what one step needs."""
+    """df as a table in the shared folder: its lineage is cut, and any executor can read it again. The
+    step's shuffle files go with it, so the disk holds what one step needs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -38,9 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the broadcasts and shuffles of plans that nobody holds any more: its cleaner acts
+    only when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:

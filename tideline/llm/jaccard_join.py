@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 from .vectext import SPACED, find_words, mix, ranges, text_blocks
 
 SHINGLE = 4
@@ -517,6 +517,7 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     drop_written(parsed)
     found = written(_candidates(_postings(rows, rarity, share, size, small), share, small), "candidates")
     rarity.destroy()
+    release(docs.sparkSession)
     pairs = written(found.filter("cell IS NULL").select("a", "b").distinct(), "pairs")
     members = written(found.filter("cell IS NOT NULL").select("cell", F.col("a").alias("point")).distinct(), "members")
     drop_written(found)
