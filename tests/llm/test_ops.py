@@ -648,7 +648,7 @@ def test_every_state_is_a_distribution(sp):
     tree = suffix_tree.grow(vocab, suffix_tree.count_contexts(docs, vocab), least=10)
     assert len(tree.log_p) > 1 and (tree.two >= 0).any()
     p = 10**tree.log_p
-    rest = p[0, suffix_tree.CLASSES] if False else 1 - p[0, : suffix_tree.CLASSES].sum()
+    rest = 1 - p[0, : suffix_tree.CLASSES].sum()
     sums = p[:, : suffix_tree.CLASSES].sum(1) + p[:, suffix_tree.CLASSES] * rest
     assert np.allclose(sums, 1, atol=1e-6)
 
@@ -667,15 +667,19 @@ def suffix_tree_by_hand(tokens, train, least, prior=30.0):
     for ctx, c in after.items():
         up = after[ctx[1:]] if len(ctx) > 1 else count
         m, total = sum(c.values()), sum(up.values())
-        gain = sum((x - 1) * math.log(x / m * total / up[t]) for t, x in c.items())
-        if m >= least and gain > 0 and gain >= 0.25 * max(1, sum(x > 1 for x in c.values())) * math.log(m):
+        kept = {t: x for t, x in c.items() if x >= suffix_tree.KEEP}
+        gain = sum((x - 1) * math.log(x / m * total / up[t]) for t, x in kept.items())
+        if m >= least and gain > 0 and gain >= 0.25 * max(1, len(kept)) * math.log(m):
             states.add(ctx)
 
     def p(ctx, t):
         if not ctx:
             return (count[t] + 0.1) / (n + 0.1 * (v + 1))
         below = p(ctx[1:], t)
-        return (after[ctx][t] + prior * below) / (sum(after[ctx].values()) + prior) if ctx in states else below
+        if ctx not in states:
+            return below
+        total, kept = sum(after[ctx].values()), {w: x for w, x in after[ctx].items() if x >= suffix_tree.KEEP}
+        return (kept.get(t, 0) + (prior + total - sum(kept.values())) * below) / (total + prior)
 
     return [sum(math.log10(p(tuple([None, *ts][:k]), t)) for k, t in enumerate(ts, 1)) for ts in tokens], states
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import Index, fingerprint, keys, mix, ranges, text_blocks
+from .vectext import M64, Index, fingerprint, keys, mix, ranges, text_blocks
 
 K = 2
 SEED = 20
@@ -42,7 +42,7 @@ THETA = 1.0
 SHIFT = 10.0
 SPACE = 0x2581
 OWN_SPACE = 0x110000  # a U+2581 of the text itself
-BLOCK = 3 << 19
+BLOCK = 1 << 19
 NOISE, DEPTH, NEAR = 37.5, 45.0, 640  # 37.5 > -log(2**-54)
 _LEN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -427,7 +427,7 @@ def row_keys(column: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit key for each value, by its text; null has its own."""
     texts = column.cast(pa.string()).to_pylist()
     raw = [hashlib.blake2b(b"\0" if t is None else b"\1" + t.encode(), digest_size=8).digest() for t in texts]
-    return mix(np.frombuffer(b"".join(raw), np.uint64) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95))
+    return mix(np.frombuffer(b"".join(raw), np.uint64) + np.uint64(seed * 0xD1342543DE82EF95 & M64))
 
 
 def encode(docs: DataFrame, model: Vocabulary, k: int = K, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,23 +2,27 @@
 
 States are contexts of any number of words, the root's of none. The root's distribution is the
 smoothed unigram of the whole corpus. A longer context is a state of its own only if it occurs LEAST
-times and a divergence test tells its next words from those of its longest proper suffix: next words
-seen once prove nothing, so each weighs by its occurrences less one, and the sum has to pay for the
-next words seen again. Each state's distribution is smoothed with that of its longest suffix that is a
-state, down to the root's, over the whole vocabulary and one unknown word. A token is scored in the
-state of the longest retained suffix of what precedes it; a text's beginning is a word of contexts.
+times and a divergence test tells its next words from those of its longest proper suffix: each next
+word seen KEEP times or more weighs by its occurrences less one, and the sum has to pay for all of
+these. A state keeps these next words; what the others were seen, and a prior, is the share of its
+longest suffix that is a state, down to the root, over the whole vocabulary and one unknown word. A
+token is scored in the state of the longest retained suffix of what precedes it; a text's beginning is
+a word of contexts.
 
 Contexts grow by passes: of one word, of two, then of twice as many each time, until none can be told
 apart any more. A context is extended only if it occurs LEAST times and its next words' entropy, times
 its occurrences, could pay for one state: no extension can gain more (conditioning never adds entropy).
 
-Counts cover all training documents and the whole vocabulary: (context, next word) pairs are counted
-by task and summed over the cluster, and stay distributed tables. Broadcast are the HEAD most frequent
-words, states and pairs, and bitmaps of fixed size that only say where a look-up is in vain; all other
-tokens meet their counts in a join. Words and contexts are known by 64-bit fingerprints.
+Counts cover all training documents and the whole vocabulary. (context, next word) pairs are counted
+by task, travel packed (a context once, its next words after it) to the part that their fingerprint
+names, and are summed there; a context of one word is dealt to several parts by next words, so that the
+most frequent one is no single task's. Kept pairs stay distributed tables. Broadcast are the HEAD most
+frequent words, states and pairs, and bitmaps of bounded size that only say where a look-up is in
+vain; all other tokens meet their counts in a join. Words and contexts are known by 64-bit fingerprints.
 
 Edge cases: null and empty texts are one end token; without training documents every token has
-probability 1; null ids belong to the training part; repeated ids are scored row by row.
+probability 1; null ids belong to the training part; repeated ids are scored row by row; very long texts
+are counted and scored whole. Only the id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,13 +40,16 @@ from .labelled import held_out
 from .vectext import SPACED, Words, find_words, mix, text_blocks
 
 ALPHA = 0.1
-HEAD = 1 << 19
+HEAD = 1 << 21
 CLASSES = 1024  # the columns of Tree.log_p, a view of the most frequent next words; no limit of the tree
 LEAST = 200  # a context's occurrences
+KEEP = 4  # a next word's occurrences in it
 LAMBDA = 30.0  # occurrences that a parent's distribution is worth
 END = 0x454E44454E44454E  # the end's fingerprint, as a word of contexts the beginning's
 BITS = 24  # a bitmap's slots
+MOST_BITS = 27  # those of the pairs' bitmap, at most
 FLUSH = 1 << 20  # pairs that a task counts at once
+SLICES = 8  # parts that a context of one word is dealt to
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -64,8 +71,13 @@ def _own(context: np.ndarray) -> np.ndarray:
     return mix(context ^ np.uint64(0x5354415445535441))
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - BITS)).view(np.int64)
+def _escape(context: np.ndarray) -> np.ndarray:
+    """The key of what a state leaves to its suffix."""
+    return mix(context ^ np.uint64(0x4553434150454553))
+
+
+def _slots(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _mapped(df: DataFrame, change, names: tuple[str, ...]) -> DataFrame:
@@ -79,17 +91,71 @@ def _mapped(df: DataFrame, change, names: tuple[str, ...]) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def _bitmap(df: DataFrame, fingerprint=lambda h: h) -> np.ndarray:
-    """A bitmap of the fingerprints in df's columns: at most 1 << BITS slots travel."""
-    slots = _mapped(df, lambda *x: (np.unique(_slots(fingerprint(*(c.view(np.uint64) for c in x)))),), ("slot",)).distinct().toArrow()
-    bits = np.zeros(1 << BITS, bool)
-    bits[slots["slot"].to_numpy()] = True
-    return np.packbits(bits)
+def _bitmap(df: DataFrame, fingerprint=lambda h: h, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the fingerprints in df's columns: 2^bits / 8 bytes reach the driver whatever df's size."""
 
-
-def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _slots(h)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    def slots(batches):
+        for batch in batches:
+            s = np.unique(_slots(fingerprint(*(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)), bits))
+            cut = np.flatnonzero(np.concatenate([[True], s[1:] >> 16 != s[:-1] >> 16])) if len(s) else s
+            raw = [x.astype(np.uint16).tobytes() for x in np.split(s, cut[1:])] if len(s) else []
+            yield pa.RecordBatch.from_arrays([pa.array((s[cut] >> 16).astype(np.int32)), pa.array(raw, pa.binary())], names=["range", "raw"])
+
+    def merge(batches):
+        at, found = None, np.zeros(1 << 16, bool)
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(found).tobytes()], pa.binary())], names=["range", "raw"])
+        for batch in batches:
+            for r, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if r != at:
+                    if at is not None:
+                        yield pack()
+                    at = r
+                    found[:] = False
+                found[np.frombuffer(raw.as_buffer(), np.uint16)] = True
+        if at is not None:
+            yield pack()
+
+    ddl = "range int, raw binary"
+    parts = df.mapInArrow(slots, ddl).repartition("range").sortWithinPartitions("range").mapInArrow(merge, ddl).toArrow()
+    out = np.zeros(max(1, 1 << max(bits - 16, 0)) << 13, np.uint8)
+    for r, raw in zip(parts["range"].to_pylist(), parts["raw"].to_pylist(), strict=True):
+        out[r << 13 : (r + 1) << 13] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slots(h, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+class _Table:
+    """Values by uniform 64-bit keys: a look at the bucket of the leading bits, then along it."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        bits = max(8, len(keys).bit_length())
+        self.keys, self.shift = np.append(keys[order], np.uint64(0)), np.uint64(64 - bits)
+        self.values = [np.append(v[order], 0).astype(np.min_scalar_type(int(v.max()))) if len(v) else np.zeros(1, np.uint8) for v in values]
+        self.first = np.searchsorted(keys[order] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent."""
+        bucket = (keys >> self.shift).view(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            here = at[todo]
+            hit = self.keys[here] == keys[todo]
+            out[todo[hit]] = here[hit]
+            at[todo] += 1
+            todo = todo[~hit & (here + 1 < end[todo])]
+        return out
+
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The values, -1 where absent."""
+        at = self.find(keys)
+        return [np.where(at >= 0, v[at].astype(np.int64), -1) for v in self.values]
 
 
 def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bool]:
@@ -165,24 +231,61 @@ def contexts(token: np.ndarray, first: np.ndarray, go_on):
         k += 1
 
 
-def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray, bits: np.ndarray | None) -> DataFrame:
-    """(k, ctx, up, next, c) of the contexts of lo to hi words. Contexts of lo words have to be in
-    bits, if given; those up to longest words grow only if known holds them."""
-    shared = train.sparkSession.sparkContext.broadcast((known, bits))
-
-    def grouped(parts):
-        k, ctx, up, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, back = np.unique(_pair(ctx, nxt), return_index=True, return_inverse=True)
-        return k[at], ctx[at], up[at], nxt[at], np.bincount(back, c, len(at)).astype(np.int64)
-
-    def sent(rows):
-        for i in range(0, len(rows[0]), 1 << 17):
-            k, ctx, up, nxt, c = (x[i : i + (1 << 17)] for x in rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(_signed(x)) for x in (ctx, up, nxt)), pa.array(c)], names=["k", "ctx", "up", "next", "c"])
+def _packed(k, ctx, up, nxt, c, parts: int, slices: int):
+    """(part, bytes) of counted pairs: by part, each context once, then its next words and counts."""
+    times = -(-c // 255)  # larger counts take several entries
+    if (times > 1).any():
+        k, ctx, up, nxt = (np.repeat(x, times) for x in (k, ctx, up, nxt))
+        last = np.cumsum(times) - 1
+        few = np.full(len(k), 255, np.int64)
+        few[last] = c - 255 * (times - 1)
+        c = few
+    part = ((mix(ctx) >> np.uint64(33)) + (mix(nxt) >> np.uint64(61)) % np.uint64(slices)) % np.uint64(parts)
+    by = np.argsort(ctx)
+    by = by[np.argsort(part[by].astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")]
+    k, ctx, up, nxt, c, part = k[by].astype(np.uint8), ctx[by], up[by], nxt[by], c[by].astype(np.uint8), part[by]
+    run = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])]))
+    size = np.diff(np.append(run, len(ctx))).astype(np.uint32)
+    cut = np.flatnonzero(np.concatenate([[True], part[run][1:] != part[run][:-1]]))
+    for i, j in zip(cut.tolist(), np.append(cut[1:], len(run)).tolist(), strict=True):
+        own, rows = run[i:j], slice(run[i], run[j] if j < len(run) else len(ctx))
+        head = np.array([j - i, rows.stop - rows.start], np.int64)
+        yield int(part[run[i]]), b"".join(x.tobytes() for x in (head, ctx[own], up[own], nxt[rows], size[i:j], k[own], c[rows]))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind, length in ((np.uint64, n), (np.uint64, n), (np.uint64, m), (np.uint32, n), (np.uint8, n), (np.uint8, m)):
+        out.append(np.frombuffer(raw, kind, length, at))
+        at += out[-1].nbytes
+    ctx, up, nxt, size, k, c = out
+    return np.repeat(k, size), np.repeat(ctx, size), np.repeat(up, size), nxt, c.astype(np.int64)
+
+
+def _grouped(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    k, ctx, up, nxt, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, at, back = np.unique(_pair(ctx, nxt), return_index=True, return_inverse=True)
+    return k[at], ctx[at], up[at], nxt[at], np.bincount(back, c, len(at)).astype(np.int64)
+
+
+def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray, bits: np.ndarray | None, least: int, keep: int) -> DataFrame:
+    """Of the contexts of lo to hi words: (k, ctx, up, next, c) for each next word seen keep times, and
+    without a next word (k, ctx, up, n, own, m, kept): occurrences, sum of c log c, number and occurrences
+    of the next words kept; a context of one word has several of these to be summed. Contexts of lo words
+    have to be in bits, if given; those up to longest words grow only if known holds them."""
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast((known, bits))
+    parts, slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), SLICES if lo == 1 else 1
 
     def run(batches):
         known, bits = shared.value
         held, size, kept = [], 0, 0
+
+        def sent(rows):
+            found = list(_packed(*rows, parts, slices))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["part", "raw"])
+
         for batch in batches:
             for _, _, buf, offsets in text_blocks(batch.column(0)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
@@ -191,21 +294,58 @@ def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray,
                     if k < lo:
                         continue
                     if k == lo and bits is not None:
-                        keep = _held(bits, ctx)
-                        at, ctx, up = at[keep], ctx[keep], up[keep]
-                    held.append((np.full(len(at), k, np.int32), ctx, up, token[at], np.ones(len(at), np.int64)))
+                        some = _held(bits, ctx)
+                        at, ctx, up = at[some], ctx[some], up[some]
+                    held.append((np.full(len(at), min(k, 255), np.uint8), ctx, up, token[at], np.ones(len(at), np.int64)))
                     size += len(at)
                     if size >= kept + FLUSH:
-                        held = [grouped(held)]
+                        held = [_grouped(held)]
                         size = kept = len(held[0][0])
                         if kept >= FLUSH:
                             yield from sent(held[0])
                             held, size, kept = [], 0, 0
+        if size:
+            yield from sent(_grouped(held))
+
+    names = ["k", "ctx", "up", "next", "c", "n", "own", "m", "kept"]
+
+    def close(held):
+        k, ctx, up, nxt, c = _grouped(held)
+        by = np.argsort(ctx)
+        k, ctx, up, nxt, c = k[by], ctx[by], up[by], nxt[by], c[by]
+        run = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        again = c >= keep
+        n, own, m, kept = (np.add.reduceat(x, run) for x in (c, c * np.log(c), again.astype(np.int64), c * again))
+        if slices == 1:  # all of a context is here
+            often = n >= least
+            again &= np.repeat(often, np.diff(np.append(run, len(c))))
+            run, n, own, m, kept = run[often], n[often], own[often], m[often], kept[often]
+        none = [pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(k[run].astype(np.int32)), pa.array(_signed(ctx[run])), pa.array(_signed(up[run])), *none, *(pa.array(x) for x in (n, own, m, kept))], names=names)
+        for i in range(0, int(again.sum()), 1 << 16):
+            some = np.flatnonzero(again)[i : i + (1 << 16)]
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int32)), *(pa.array(_signed(x[some])) for x in (ctx, up, nxt)), pa.array(c[some]), *none], names=names)
+
+    def merge(batches):
+        at, held, size, kept = None, [], 0, 0
+        for batch in batches:
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != at and held:
+                    yield from close(held)
+                    held, size, kept = [], 0, 0
+                at = p
+                held.append(_unpacked(raw.as_py()))
+                size += len(held[-1][0])
+                if size >= kept + 4 * FLUSH:
+                    held = [_grouped(held)]
+                    size = kept = len(held[0][0])
         if held:
-            yield from sent(grouped(held))
+            yield from close(held)
 
-    out = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, ctx bigint, up bigint, next bigint, c bigint")
-    return out.groupBy("ctx", "next").agg(F.max("k").alias("k"), F.max("up").alias("up"), F.sum("c").alias("c"))
+    packed = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, raw binary")
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(merge, "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint")
 
 
 @dataclass
@@ -223,7 +363,7 @@ class Tree:
     """Retained states but the root, and the counts of what follows them, as tables."""
 
     vocab: Vocabulary
-    states: DataFrame  # (ctx, up, k, n)
+    states: DataFrame  # (ctx, up, k, n, rest): rest is what their suffixes share
     pairs: DataFrame  # (ctx, next, c)
     known: np.ndarray  # a bitmap of the contexts that may be suffixes of states
     longest: int  # the most words of a state
@@ -252,10 +392,10 @@ class Tree:
             counts.setdefault(r["ctx"], []).append((column.get(r["next"], CLASSES), r["c"]))
         for r in self._listed():
             c = np.zeros(CLASSES + 1)
-            for i, m in counts[r["ctx"]]:
+            for i, m in counts.get(r["ctx"], ()):
                 c[i] += m
             number[r["ctx"]] = len(rows)
-            rows.append((c + self.prior * rows[number.get(r["up"], 0)]) / (c.sum() + self.prior))
+            rows.append((c + (self.prior + r["rest"]) * rows[number.get(r["up"], 0)]) / (r["n"] + self.prior))
         p = np.array(rows)
         p[:, CLASSES] /= p[0, CLASSES]
         return np.log10(np.maximum(p, 1e-300))
@@ -264,39 +404,41 @@ class Tree:
 def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: float = LAMBDA) -> Tree:
     train = counts.train
     least = LEAST if least is None else least
+    keep = min(KEEP, least)
     known = np.zeros((1 << BITS) // 8, np.uint8)
     total = F.lit(float(max(vocab.n, 1)))
     below = vocab.table.select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
     bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"))
     lo, hi, longest, found = 1, 1, 0, []
     while True:
-        pairs = written(_count(train, lo, hi, longest, known, bits), "pairs")
-        sums = pairs.groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("own"), F.sum((F.col("c") > 1).cast("int")).alias("m"))
+        counted = written(_count(train, lo, hi, longest, known, bits, least, keep), "pairs")
+        pairs = counted.filter("next IS NOT NULL").select("k", "ctx", "up", "next", "c")
+        sums = counted.filter("next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
         sums = written(sums.filter(F.col("n") >= least), "contexts")
         # The next words of a context against those of the next shorter one, in this pass or the one before.
         seen = pairs.join(sums.select("ctx", "n"), "ctx").select("ctx", "up", "next", "c", "n", "k")
-        if lo > 1 or hi > 1:
+        if hi > lo:
             here = seen.filter(F.col("k") < hi).select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up"))
-            below = below.unionByName(here) if hi > lo else below
+            below = below.unionByName(here)
         gain = (F.col("c") - 1) * F.log(F.col("c") / F.col("n") * F.col("n_up") / F.col("c_up"))
-        gains = seen.filter(F.col("c") > 1).join(below, ["up", "next"]).groupBy("ctx").agg(F.sum(gain).alias("gain"))
+        gains = seen.join(below, ["up", "next"]).groupBy("ctx").agg(F.sum(gain).alias("gain"))
         pays = F.col("gain") >= 0.25 * F.greatest("m", F.lit(1)) * F.log("n")
-        states = written(sums.join(gains.filter("gain > 0"), "ctx").filter(pays).select("ctx", "up", "k", "n"), "states")
+        states = written(sums.join(gains.filter("gain > 0"), "ctx").filter(pays).select("ctx", "up", "k", "n", (F.col("n") - F.col("kept")).alias("rest")), "states")
         grows = sums.filter(F.col("n") * F.log("n") - F.col("own") >= 0.25 * np.log(least))
         found.append((states, written(pairs.join(states.select("ctx"), "ctx", "left_semi").select("ctx", "next", "c"), "followers")))
         known |= _bitmap(grows.select("ctx"))
         longest = hi
         last = grows.filter(F.col("k") == hi).select("ctx", "n")
         if not last.limit(1).count():
-            drop_written(pairs)
+            drop_written(counted)
             break
-        # A next word that an extension has twice, its suffix has twice.
-        last = pairs.filter(F.col("c") > 1).join(last, "ctx")
+        # A next word that an extension keeps, its suffix keeps.
+        last = pairs.join(last, "ctx")
         below = written(last.select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up")), "suffixes")
         # Which two words are frequent the counts of one word tell; longer contexts are counted where they may be.
         end = int(_signed(np.array([END], np.uint64))[0])
         bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("next") != end)).select("next", "ctx"), _longer) if hi == 1 else None
-        drop_written(pairs)
+        drop_written(counted)
         lo, hi = hi + 1, 2 * hi
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
     longest = states.agg(F.max("k")).first()[0] or 0
@@ -308,107 +450,121 @@ def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id"
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if not vocab.n:
+        tokens = _scored(rows, id_type, None, 0.0, tree)
+        zero = F.lit(0.0)
+        return tokens.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), zero.alias("base_score"), zero.alias("score"))
     all_n = vocab.n + ALPHA * (vocab.v + 1)
-    prior, longest = tree.prior, tree.longest
-    own = _mapped(tree.states.select("ctx", "n"), lambda ctx, n: (_signed(_own(ctx.view(np.uint64))), n), ("key", "val"))
+    prior = tree.prior
     pairs = _mapped(tree.pairs, lambda ctx, nxt, c: (_signed(_pair(ctx.view(np.uint64), nxt.view(np.uint64))), c), ("key", "val"))
-    heads = []
-    for df in (own, pairs):
-        (key, val), whole = _most(df, "val", "key", "val")
-        key = key.view(np.uint64)
-        order = np.argsort(key)
-        heads.append((key[order], val[order], whole))
-    retained = _bitmap(tree.states.select("ctx"))
-    shared = spark.sparkContext.broadcast((vocab.head, vocab.count, heads, tree.known, retained))
-    whole_vocab = len(vocab.head) == vocab.v
+    pairs = written(pairs, "keyed-pairs")
+    (ctx, n, rest), all_states = _most(tree.states, "n", "ctx", "n", "rest")
+    (key, val), all_pairs = _most(pairs, "val", "key", "val")
+    states = _Table(ctx.view(np.uint64), n, rest)
+    count = pairs.count()
+    may_pair = _bitmap(pairs.select("key"), bits=min(MOST_BITS, max(16, (16 * count).bit_length())))
+    words = _Table(vocab.head, vocab.count)
+    shared = spark.sparkContext.broadcast((words, len(vocab.head) == vocab.v, states, all_states, _Table(key.view(np.uint64), val), all_pairs, tree.known, _bitmap(tree.states.select("ctx")), may_pair))
+    rows = written(_scored(rows, id_type, shared, all_n, tree), "scored")
+    asked = rows.select("place", F.inline("open"))
+    own = tree.states.select("ctx", "n", "rest")
+    own = _mapped(own.select("ctx", "n"), lambda ctx, n: (_signed(_own(ctx.view(np.uint64))), n), ("key", "val")).unionByName(_mapped(own.select("ctx", "rest"), lambda ctx, n: (_signed(_escape(ctx.view(np.uint64))), n), ("key", "val")))
+    table = vocab.table.select(F.col("h").alias("key"), F.col("c").alias("found"))
+    more = table.unionByName(own.unionByName(pairs).withColumnRenamed("val", "found"))
+    answered = asked.filter("val < 0").join(more, "key", "left").select("place", "tok", "level", F.coalesce("found", F.lit(-1)).alias("val"))
+    told = asked.filter("val >= 0").select("place", "tok", "level", "val").unionByName(answered)
+    chain = told.groupBy("place", "tok").agg(F.sort_array(F.collect_list(F.struct("level", "val"))).alias("chain"))
+    # Level 0 is the word's count, then by 3: a context's, what it leaves to its suffix, the pair's; -1 stands for none.
+    fold = f"""aggregate(slice(chain, 2, size(chain)), named_struct('p', (greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D, 'n', -1L, 'r', 0L),
+        (a, x) -> CASE WHEN x.level % 3 = 0 THEN named_struct('p', a.p, 'n', x.val, 'r', 0L) WHEN a.n < 0 THEN a
+        WHEN x.level % 3 = 1 THEN named_struct('p', a.p, 'n', a.n, 'r', x.val)
+        ELSE named_struct('p', (greatest(x.val, 0) + ({prior!r}D + a.r) * a.p) / (a.n + {prior!r}D), 'n', -1L, 'r', 0L) END, a -> log10(a.p))"""
+    base = lambda c: F.log10((c + ALPHA) / F.lit(all_n))
+    first = F.greatest(F.col("chain")[0]["val"], F.lit(0))
+    each = chain.select("place", F.expr(fold).alias("m"), base(first).alias("b"), (first > 0).cast("long").alias("k"))
+    # Words alone that have to be asked weigh the same in both scores.
+    c = F.coalesce("found", F.lit(0))
+    alone = rows.select("place", F.inline("words")).join(table, "key", "left").select("place", (base(c) * F.col("times")).alias("m"), (base(c) * F.col("times")).alias("b"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
+    sums = each.unionByName(alone).groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
+    m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
+    return rows.drop("open", "words").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
 
-    def run(batches):
-        head, count, heads, known, retained = shared.value
-        tables = (head, heads[0][0], heads[1][0])
 
-        def find(i, values, keys):
-            table = tables[i]
-            if not len(table):
-                return np.full(len(keys), -1, np.int64)
-            at = np.searchsorted(table, keys)
-            at[at == len(table)] = 0
-            return np.where(table[at] == keys, values[at], -1)
+def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) -> DataFrame:
+    """(place, doc_id, n_tokens, known, base, model, words, open) of (place, doc_id, text): the sums over
+    the tokens that broadcast tables tell all of, the words whose count only is to be asked, and for each
+    other token what is known of it."""
+    prior, longest = tree.prior, tree.longest
 
+    def run(batches):
+        words, all_words, states, all_states, pairs, all_pairs, known, retained, may_pair = shared.value if shared else (None,) * 9
         for batch in batches:
             for lo, hi, buf, offsets in text_blocks(batch.column(2)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
-                c = find(0, count, token)
                 begins = np.zeros(len(token), bool)
                 begins[first[:-1]] = True
-                if whole_vocab:
+                (c,) = words.get(token) if shared else (np.zeros(len(token), np.int64),)
+                if not shared or all_words:
                     c[c < 0] = 0
-                open_ = c < 0
-                q = (np.maximum(c, 0) + ALPHA) / all_n
-                p = q.copy()
+                # A token's probability is plus + share * its word's.
+                plus, share, open_ = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token), bool)
                 walked = []
-                for k, at, ctx, _ in contexts(token, first, lambda k, ctx: _held(known, ctx) & (k < longest)) if longest else ():
-                    may = _held(retained, ctx)
-                    at, ctx = at[may], ctx[may]
-                    n = find(1, heads[0][1], _own(ctx))
-                    if heads[0][2]:
-                        at, ctx, n = at[n >= 0], ctx[n >= 0], n[n >= 0]
+                for k, at, ctx, _ in contexts(token, first, lambda k, ctx: _held(known, ctx) & (k < longest)) if longest and shared else ():
+                    some = _held(retained, ctx)
+                    at, ctx = at[some], ctx[some]
+                    n, rest = states.get(ctx)
+                    if all_states:
+                        at, ctx, n, rest = at[n >= 0], ctx[n >= 0], n[n >= 0], rest[n >= 0]
                     key = _pair(ctx, token[at])
-                    m = find(2, heads[1][1], key)
-                    if heads[1][2]:
+                    m = np.zeros(len(at), np.int64)
+                    ask = np.flatnonzero(_held(may_pair, key))
+                    (m[ask],) = pairs.get(key[ask])
+                    if all_pairs:
                         m = np.maximum(m, 0)
                     open_[at[(n < 0) | (m < 0)]] = True
-                    walked.append((k, at, ctx, n, key, m))
-                    p[at] = (np.maximum(m, 0) + prior * p[at]) / (np.maximum(n, 0) + prior)
-                # Open tokens take all that is known of them along, the rest is asked in the join.
+                    if not (all_states and all_pairs and all_words):
+                        walked.append((k, at, ctx, n, rest, key, m))
+                    weight = (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior)
+                    plus[at] = np.maximum(m, 0) / (np.maximum(n, 0) + prior) + weight * plus[at]
+                    share[at] *= weight
+                open_ |= (c < 0) & (plus > 0)
                 open_[begins] = False
-                sure = ~open_ & ~begins
-                asks = [np.flatnonzero(open_)]
-                level, key, val, tok = [np.zeros(len(asks[0]), np.int32)], [token[asks[0]]], [c[asks[0]]], asks
-                for k, at, ctx, n, pair, m in walked:
-                    keep = open_[at]
-                    for kind, keys_, vals in ((0, _own(ctx[keep]), n[keep]), (1, pair[keep], m[keep])):
-                        level.append(np.full(len(vals), 2 * k + kind, np.int32))
-                        key.append(keys_)
+                alone = (c < 0) & ~open_ & ~begins
+                sure = ~open_ & ~begins & ~alone
+                q = (np.maximum(c, 0) + ALPHA) / all_n if shared else np.ones(len(token))
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                asked = np.flatnonzero(alone)
+                _, one, times = np.unique(mix(token[asked]) + mix(doc[asked].astype(np.uint64)), return_index=True, return_counts=True)
+                by = np.argsort(doc[asked][one], kind="stable")
+                one, times = asked[one[by]], times[by]
+                lists = pa.StructArray.from_arrays([pa.array(_signed(token[one])), pa.array(times.astype(np.int64))], names=["key", "times"])
+                # Open tokens take all that is known of them along, the rest is asked in the join.
+                tok = [np.flatnonzero(open_)]
+                level, keys, val = [np.zeros(len(tok[0]), np.int32)], [token[tok[0]]], [c[tok[0]]]
+                for k, at, ctx, n, rest, key, m in walked:
+                    here = open_[at]
+                    for kind, own, vals in ((0, _own(ctx[here]), n[here]), (1, _escape(ctx[here]), rest[here]), (2, key[here], m[here])):
+                        level.append(np.full(len(vals), 3 * k + kind, np.int32))
+                        keys.append(own)
                         val.append(vals)
-                        tok.append(at[keep])
+                        tok.append(at[here])
                 tok = np.concatenate(tok)
                 order = np.argsort(tok, kind="stable")
                 tok = tok[order]
-                cuts = pa.array(np.searchsorted(tok, first).astype(np.int32))
-                fields = [np.concatenate(x)[order] for x in (level, key, val)]
+                fields = [np.concatenate(x)[order] for x in (level, keys, val)]
                 items = pa.StructArray.from_arrays([pa.array(tok.astype(np.int32)), pa.array(fields[0]), pa.array(_signed(fields[1])), pa.array(fields[2])], names=["tok", "level", "key", "val"])
 
                 def sums(x, first=first):
-                    return np.add.reduceat(x, first[:-1])
+                    return pa.array(np.add.reduceat(x, first[:-1]))
 
-                base = np.where(sure, np.log10(q), 0.0)
-                model = np.where(sure, np.log10(p), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1), pa.array(sums((sure & (c > 0)).astype(np.int64))),
-                        pa.array(sums(base)), pa.array(sums(model)), pa.ListArray.from_arrays(cuts, items),
-                    ], names=["place", "doc_id", "n_tokens", "known", "base", "model", "open"],
-                )
+                with np.errstate(divide="ignore"):
+                    model = np.where(sure, np.log10(plus + share * q), np.where(alone, np.log10(share), 0.0))
+                lists, items = (pa.ListArray.from_arrays(pa.array(np.searchsorted(x, first).astype(np.int32)), y) for x, y in ((one, lists), (tok, items)))
+                own = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1)]
+                yield pa.RecordBatch.from_arrays([*own, sums((sure & (c > 0)).astype(np.int64)), sums(np.where(sure, np.log10(q), 0.0)), sums(model), lists, items], names=["place", "doc_id", "n_tokens", "known", "base", "model", "words", "open"])
 
     item = "struct<tok:int,level:int,key:bigint,val:bigint>"
-    if not vocab.n:
-        zero = F.lit(0.0)
-        out = rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, open array<{item}>")
-        return out.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), zero.alias("base_score"), zero.alias("score"))
-    rows = written(rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, open array<{item}>"), "scored")
-    asked = rows.select("place", F.inline("open"))
-    table = vocab.table.select(F.col("h").alias("key"), F.col("c").alias("found")).unionByName(own.unionByName(pairs).withColumnRenamed("val", "found"))
-    answered = asked.filter("val < 0").join(table, "key", "left").select("place", "tok", "level", F.coalesce("found", F.lit(-1)).alias("val"))
-    told = asked.filter("val >= 0").select("place", "tok", "level", "val").unionByName(answered)
-    chain = told.groupBy("place", "tok").agg(F.sort_array(F.collect_list(F.struct("level", "val"))).alias("chain"))
-    # Level 0 is the word's count, 2 k a context's, 2 k + 1 the pair's; -1 stands for none.
-    fold = f"""aggregate(slice(chain, 2, size(chain)), named_struct('p', (greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D, 'n', -1L),
-        (a, x) -> CASE WHEN x.level % 2 = 0 THEN named_struct('p', a.p, 'n', x.val) WHEN a.n < 0 THEN a
-        ELSE named_struct('p', (greatest(x.val, 0) + {prior!r}D * a.p) / (a.n + {prior!r}D), 'n', -1L) END, a -> log10(a.p))"""
-    each = chain.select("place", F.expr(fold).alias("m"), F.expr(f"log10((greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D)").alias("b"), (F.col("chain")[0]["val"] > 0).cast("long").alias("k"))
-    sums = each.groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
-    m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
-    return rows.drop("open").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
+    return rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<struct<key:bigint,times:bigint>>, open array<{item}>")
 
 
 def evaluate(docs: DataFrame, mod: int = 10, remainder: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
