@@ -9,8 +9,8 @@ longest suffix that is a state, down to the root, over the whole vocabulary and
 token is scored in the state of the longest retained suffix of what precedes it; a text's beginning is
 a word of contexts.
 
-Contexts grow by passes: of one word, of two, then of twice as many each time, until none can be told
-apart any more. A context is extended only if it occurs LEAST times and its next words' entropy, times
+Contexts grow by passes: of one word, of two, of up to four, then of four times as many each time, until
+none can be told apart any more. A context is extended only if it occurs LEAST times and its next words' entropy, times
 its occurrences, could pay for one state: no extension can gain more (conditioning never adds entropy).
 
 Counts cover all training documents and the whole vocabulary. (context, next word) pairs are counted
@@ -439,7 +439,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         end = int(_signed(np.array([END], np.uint64))[0])
         bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("next") != end)).select("next", "ctx"), _longer) if hi == 1 else None
         drop_written(counted)
-        lo, hi = hi + 1, 2 * hi
+        lo, hi = hi + 1, (2 if hi < 4 else 4) * hi
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
     longest = states.agg(F.max("k")).first()[0] or 0
     return Tree(vocab, states, followers, known, longest, prior)
