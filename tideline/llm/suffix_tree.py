@@ -217,15 +217,21 @@ def sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return token, first
 
 
-def contexts(token: np.ndarray, first: np.ndarray, go_on):
+def contexts(token: np.ndarray, first: np.ndarray, go_on, choose: int = 0):
     """(length, places of tokens, their contexts' fingerprints, those of the next shorter ones) for
-    contexts of growing length, while go_on(length, contexts) lets some of them grow."""
+    contexts of growing length, while go_on(length, contexts, places) lets some of them grow. Of the
+    length that choose names only these are given."""
     room = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))  # words before, the beginning too
     at = np.flatnonzero(room >= 1)
     context, up, k = token[at - 1], np.zeros(len(at), np.uint64), 1
     while len(at):
+        if k == choose:
+            some = go_on(k, context, at)
+            at, context, up = at[some], context[some], up[some]
         yield k, at, context, up
-        keep = go_on(k, context) & (room[at] > k)
+        keep = room[at] > k
+        if k != choose:
+            keep &= go_on(k, context, at)
         at, up = at[keep], context[keep]
         context = _longer(up, token[at - k - 1])
         k += 1
@@ -243,7 +249,7 @@ def _packed(k, ctx, up, nxt, c, parts: int, slices: int):
     part = ((mix(ctx) >> np.uint64(33)) + (mix(nxt) >> np.uint64(61)) % np.uint64(slices)) % np.uint64(parts)
     by = np.argsort(ctx)
     by = by[np.argsort(part[by].astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")]
-    k, ctx, up, nxt, c, part = k[by].astype(np.uint8), ctx[by], up[by], nxt[by], c[by].astype(np.uint8), part[by]
+    k, ctx, up, nxt, c, part = k[by], ctx[by], up[by], nxt[by], c[by].astype(np.uint8), part[by]
     run = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])]))
     size = np.diff(np.append(run, len(ctx))).astype(np.uint32)
     cut = np.flatnonzero(np.concatenate([[True], part[run][1:] != part[run][:-1]]))
@@ -256,7 +262,7 @@ def _packed(k, ctx, up, nxt, c, parts: int, slices: int):
 def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
     at, out = 16, []
-    for kind, length in ((np.uint64, n), (np.uint64, n), (np.uint64, m), (np.uint32, n), (np.uint8, n), (np.uint8, m)):
+    for kind, length in ((np.uint64, n), (np.uint64, n), (np.uint64, m), (np.uint32, n), (np.uint32, n), (np.uint8, m)):
         out.append(np.frombuffer(raw, kind, length, at))
         at += out[-1].nbytes
     ctx, up, nxt, size, k, c = out
@@ -265,15 +271,20 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
 
 def _grouped(held: list[tuple]) -> tuple[np.ndarray, ...]:
     k, ctx, up, nxt, c = (np.concatenate(x) for x in zip(*held, strict=True))
-    _, at, back = np.unique(_pair(ctx, nxt), return_index=True, return_inverse=True)
-    return k[at], ctx[at], up[at], nxt[at], np.bincount(back, c, len(at)).astype(np.int64)
+    h = _pair(ctx, nxt)
+    by = np.argsort(h)
+    h = h[by]
+    run = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    at = by[run]
+    return k[at], ctx[at], up[at], nxt[at], np.add.reduceat(c[by], run)
 
 
-def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray, bits: np.ndarray | None, least: int, keep: int) -> DataFrame:
+def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarray, least: int, keep: int) -> DataFrame:
     """Of the contexts of lo to hi words: (k, ctx, up, next, c) for each next word seen keep times, and
     without a next word (k, ctx, up, n, own, m, kept): occurrences, sum of c log c, number and occurrences
-    of the next words kept; a context of one word has several of these to be summed. Contexts of lo words
-    have to be in bits, if given; those up to longest words grow only if known holds them."""
+    of the next words kept; a context of one word has several of these to be summed. Shorter
+    contexts grow only if known holds them. bits holds what may be a frequent context of lo words: words, or
+    pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((known, bits))
     parts, slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), SLICES if lo == 1 else 1
@@ -289,14 +300,23 @@ def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray,
         for batch in batches:
             for _, _, buf, offsets in text_blocks(batch.column(0)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
-                go_on = lambda k, ctx: np.full(len(ctx), k < hi) if k > longest else _held(known, ctx) & (k < hi)
-                for k, at, ctx, up in contexts(token, first, go_on):
+                before = np.zeros(len(token), np.uint64)  # the contexts of lo - 1 words that were counted
+
+                def go_on(k, ctx, at, before=before, token=token):
+                    if k < lo:
+                        return _held(known, ctx)
+                    if k > lo:
+                        return np.full(len(ctx), k < hi)
+                    if lo == 1:
+                        return _held(bits, ctx)
+                    return (before[at - 1] == 0) | _held(bits, _pair(before[at - 1], token[at - 1]))
+
+                for k, at, ctx, up in contexts(token, first, go_on, lo):
                     if k < lo:
+                        if k == lo - 1:
+                            before[at] = ctx
                         continue
-                    if k == lo and bits is not None:
-                        some = _held(bits, ctx)
-                        at, ctx, up = at[some], ctx[some], up[some]
-                    held.append((np.full(len(at), min(k, 255), np.uint8), ctx, up, token[at], np.ones(len(at), np.int64)))
+                    held.append((np.full(len(at), k, np.uint32), ctx, up, token[at], np.ones(len(at), np.int64)))
                     size += len(at)
                     if size >= kept + FLUSH:
                         held = [_grouped(held)]
@@ -304,6 +324,8 @@ def _count(train: DataFrame, lo: int, hi: int, longest: int, known: np.ndarray,
                         if kept >= FLUSH:
                             yield from sent(held[0])
                             held, size, kept = [], 0, 0
+                    if k == hi:
+                        break
         if size:
             yield from sent(_grouped(held))
 
@@ -409,9 +431,9 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
     total = F.lit(float(max(vocab.n, 1)))
     below = vocab.table.select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
     bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"))
-    lo, hi, longest, found = 1, 1, 0, []
+    lo, hi, found = 1, 1, []
     while True:
-        counted = written(_count(train, lo, hi, longest, known, bits, least, keep), "pairs")
+        counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs")
         pairs = counted.filter("next IS NOT NULL").select("k", "ctx", "up", "next", "c")
         sums = counted.filter("next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
         sums = written(sums.filter(F.col("n") >= least), "contexts")
@@ -427,7 +449,6 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         grows = sums.filter(F.col("n") * F.log("n") - F.col("own") >= 0.25 * np.log(least))
         found.append((states, written(pairs.join(states.select("ctx"), "ctx", "left_semi").select("ctx", "next", "c"), "followers")))
         known |= _bitmap(grows.select("ctx"))
-        longest = hi
         last = grows.filter(F.col("k") == hi).select("ctx", "n")
         if not last.limit(1).count():
             drop_written(counted)
@@ -435,9 +456,8 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         # A next word that an extension keeps, its suffix keeps.
         last = pairs.join(last, "ctx")
         below = written(last.select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up")), "suffixes")
-        # Which two words are frequent the counts of one word tell; longer contexts are counted where they may be.
-        end = int(_signed(np.array([END], np.uint64))[0])
-        bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("next") != end)).select("next", "ctx"), _longer) if hi == 1 else None
+        # A context that occurs often begins with one that has its last word as often.
+        bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("k") == hi)).select("ctx", "next"), _pair)
         drop_written(counted)
         lo, hi = hi + 1, (2 if hi < 4 else 4) * hi
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
@@ -509,7 +529,7 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                 # A token's probability is plus + share * its word's.
                 plus, share, open_ = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token), bool)
                 walked = []
-                for k, at, ctx, _ in contexts(token, first, lambda k, ctx: _held(known, ctx) & (k < longest)) if longest and shared else ():
+                for k, at, ctx, _ in contexts(token, first, lambda k, ctx, at: _held(known, ctx) & (k < longest)) if longest and shared else ():
                     some = _held(retained, ctx)
                     at, ctx = at[some], ctx[some]
                     n, rest = states.get(ctx)
