@@ -10,8 +10,9 @@ token is scored in the state of the longest retained suffix of what precedes it;
 a word of contexts.
 
 Contexts grow by passes: of one word, of two, of up to four, then of four times as many each time, until
-none can be told apart any more. A context is extended only if it occurs LEAST times and its next words' entropy, times
-its occurrences, could pay for one state: no extension can gain more (conditioning never adds entropy).
+none can be told apart any more. A context is extended only if it occurs LEAST times and the sum of
+c log(n / c) over the next words it keeps could pay for one state: no extension, however long, can gain
+more (by the log sum inequality the sums of all extensions by a word are no more than their suffix's).
 
 Counts cover all training documents and the whole vocabulary. (context, next word) pairs are counted
 by task, travel packed (a context once, its next words after it) to the part that their fingerprint
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, written
 from .labelled import held_out
-from .vectext import SPACED, Words, find_words, mix, text_blocks
+from .vectext import BASE, SPACED, Words, find_words, mix, ranges, text_blocks
 
 ALPHA = 0.1
 HEAD = 1 << 21
@@ -56,9 +57,38 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The fingerprint of a context with one more word before it."""
-    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of BASE and of its inverse, n or more."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        size = max(n, 1 << 19)
+        _TABLES[:] = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _TABLES.append(np.cumprod(table))
+    return _TABLES
+
+
+class _Windows:
+    """Fingerprints of any words in a row, from running sums of powers; a context's is the same wherever it stands."""
+
+    def __init__(self, token: np.ndarray):
+        power, self.inverse = _powers(len(token) + 1)
+        self.sums = np.zeros(len(token) + 1, np.uint64)
+        np.cumsum((token + np.uint64(1)) * power[: len(token)], out=self.sums[1:])
+
+    def before(self, at: np.ndarray, k) -> np.ndarray:
+        """The contexts of k words before places."""
+        begin = at - k
+        return mix((self.sums[at] - self.sums[begin]) * self.inverse[begin] + np.asarray(k).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _one(word: np.ndarray) -> np.ndarray:
+    """The context of one word."""
+    return mix(word + np.uint64(1) + np.uint64(0xD6E8FEB86659FD93))
 
 
 def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -217,24 +247,14 @@ def sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return token, first
 
 
-def contexts(token: np.ndarray, first: np.ndarray, go_on, choose: int = 0):
-    """(length, places of tokens, their contexts' fingerprints, those of the next shorter ones) for
-    contexts of growing length, while go_on(length, contexts, places) lets some of them grow. Of the
-    length that choose names only these are given."""
-    room = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))  # words before, the beginning too
-    at = np.flatnonzero(room >= 1)
-    context, up, k = token[at - 1], np.zeros(len(at), np.uint64), 1
-    while len(at):
-        if k == choose:
-            some = go_on(k, context, at)
-            at, context, up = at[some], context[some], up[some]
-        yield k, at, context, up
-        keep = room[at] > k
-        if k != choose:
-            keep &= go_on(k, context, at)
-        at, up = at[keep], context[keep]
-        context = _longer(up, token[at - k - 1])
-        k += 1
+def _room(first: np.ndarray) -> np.ndarray:
+    """How many words, the beginning too, stand before each token in its text."""
+    return np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+
+
+def _steps(lo: int) -> list[int]:
+    """Lengths to look at before contexts of lo words; what grows at the last of them grew at all lengths."""
+    return sorted({k for k in (1, 2, 4, 16, 64, 256, 1024, lo - 2, lo - 1) if 0 < k < lo})
 
 
 def _packed(k, ctx, up, nxt, c, parts: int, slices: int):
@@ -279,19 +299,65 @@ def _grouped(held: list[tuple]) -> tuple[np.ndarray, ...]:
     return k[at], ctx[at], up[at], nxt[at], np.add.reduceat(c[by], run)
 
 
+def _whole_texts(token: np.ndarray, first: np.ndarray, at: np.ndarray):
+    """(tokens, words before, places) of the texts that hold any of the places."""
+    doc = np.searchsorted(first, at, "right") - 1
+    some = np.unique(doc)
+    room, lens = at - first[doc], np.diff(first)[some]
+    begin = np.cumsum(lens) - lens
+    return token[ranges(first[some], first[some + 1])], room, begin[np.searchsorted(some, doc)] + room
+
+
+def _levels(texts: list[tuple], lo: int, hi: int):
+    """(length, contexts, shorter ones, next words, counts) for contexts of lo to hi words. Places with the
+    same words before them, up to hi, and the same next word are counted once, with their number."""
+    if not texts:
+        return
+    begin = np.cumsum([0, *(len(t[0]) for t in texts)])
+    token, room = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+    at = np.concatenate([t[2] + b for t, b in zip(texts, begin, strict=False)])
+    count, words = np.ones(len(at), np.int64), _Windows(token)
+    if hi > lo:
+        _, one, count = np.unique(_pair(words.before(at, np.minimum(room, hi)), token[at]), return_index=True, return_counts=True)
+        at, room = at[one], room[one]
+    up = words.before(at, lo - 1) if lo > 1 else np.zeros(len(at), np.uint64)
+    for k in range(lo, hi + 1):
+        ctx = words.before(at, k)
+        yield k, ctx, up, token[at], count
+        some = room > k
+        at, room, count, up = at[some], room[some], count[some], ctx[some]
+        if not len(at):
+            break
+
+
 def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarray, least: int, keep: int) -> DataFrame:
     """Of the contexts of lo to hi words: (k, ctx, up, next, c) for each next word seen keep times, and
-    without a next word (k, ctx, up, n, own, m, kept): occurrences, sum of c log c, number and occurrences
-    of the next words kept; a context of one word has several of these to be summed. Shorter
+    without a next word (k, ctx, up, n, own, m, kept): occurrences, then sum of c log c, number and
+    occurrences of the next words kept; a context of one word has several of these to be summed. Shorter
     contexts grow only if known holds them. bits holds what may be a frequent context of lo words: words, or
     pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((known, bits))
+    steps = _steps(lo)
     parts, slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), SLICES if lo == 1 else 1
 
     def run(batches):
         known, bits = shared.value
-        held, size, kept = [], 0, 0
+        held, size, kept, waiting = [], 0, 0, []
+
+        def grow():
+            """Counts the contexts of lo to hi words of the texts that wait."""
+            nonlocal held, size, kept
+            for k, ctx, up, nxt, c in _levels(waiting, lo, hi):
+                held.append((np.full(len(ctx), k, np.uint32), ctx, up, nxt, c))
+                size += len(ctx)
+                if size >= kept + FLUSH:
+                    held = [_grouped(held)]
+                    size = kept = len(held[0][0])
+                    if kept >= FLUSH:
+                        yield from sent(held[0])
+                        held, size, kept = [], 0, 0
+            waiting.clear()
 
         def sent(rows):
             found = list(_packed(*rows, parts, slices))
@@ -300,32 +366,26 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
         for batch in batches:
             for _, _, buf, offsets in text_blocks(batch.column(0)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
-                before = np.zeros(len(token), np.uint64)  # the contexts of lo - 1 words that were counted
-
-                def go_on(k, ctx, at, before=before, token=token):
-                    if k < lo:
-                        return _held(known, ctx)
-                    if k > lo:
-                        return np.full(len(ctx), k < hi)
-                    if lo == 1:
-                        return _held(bits, ctx)
-                    return (before[at - 1] == 0) | _held(bits, _pair(before[at - 1], token[at - 1]))
-
-                for k, at, ctx, up in contexts(token, first, go_on, lo):
-                    if k < lo:
-                        if k == lo - 1:
-                            before[at] = ctx
-                        continue
-                    held.append((np.full(len(at), k, np.uint32), ctx, up, token[at], np.ones(len(at), np.int64)))
-                    size += len(at)
-                    if size >= kept + FLUSH:
-                        held = [_grouped(held)]
-                        size = kept = len(held[0][0])
-                        if kept >= FLUSH:
-                            yield from sent(held[0])
-                            held, size, kept = [], 0, 0
-                    if k == hi:
-                        break
+                room, words = _room(first), _Windows(token)
+                at = np.flatnonzero(room >= 1)
+                counted = np.zeros(len(token), bool)  # whose contexts of lo - 1 words were counted
+                for k in steps:
+                    at = at[room[at] >= k]
+                    counted[at] = k == lo - 1
+                    at = at[_held(known, words.before(at, k))]
+                at = at[room[at] >= lo]
+                if lo == 1:
+                    at = at[_held(bits, words.before(at, 1))]
+                else:
+                    told = np.flatnonzero(counted[at - 1])
+                    last = at[told] - 1
+                    drop = ~_held(bits, _pair(words.before(last, lo - 1), token[last]))
+                    at = np.delete(at, told[drop])
+                if len(at):
+                    waiting.append(_whole_texts(token, first, at))
+                if sum(len(w[0]) for w in waiting) >= FLUSH:
+                    yield from grow()
+        yield from grow()
         if size:
             yield from sent(_grouped(held))
 
@@ -337,7 +397,7 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
         k, ctx, up, nxt, c = k[by], ctx[by], up[by], nxt[by], c[by]
         run = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
         again = c >= keep
-        n, own, m, kept = (np.add.reduceat(x, run) for x in (c, c * np.log(c), again.astype(np.int64), c * again))
+        n, own, m, kept = (np.add.reduceat(x, run) for x in (c, again * c * np.log(c), again.astype(np.int64), c * again))
         if slices == 1:  # all of a context is here
             often = n >= least
             again &= np.repeat(often, np.diff(np.append(run, len(c))))
@@ -388,7 +448,7 @@ class Tree:
     states: DataFrame  # (ctx, up, k, n, rest): rest is what their suffixes share
     pairs: DataFrame  # (ctx, next, c)
     known: np.ndarray  # a bitmap of the contexts that may be suffixes of states
-    longest: int  # the most words of a state
+    levels: list[int]  # how many words states have
     prior: float
 
     @property
@@ -430,7 +490,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
     known = np.zeros((1 << BITS) // 8, np.uint8)
     total = F.lit(float(max(vocab.n, 1)))
     below = vocab.table.select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
-    bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"))
+    bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"), _one)
     lo, hi, found = 1, 1, []
     while True:
         counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs")
@@ -446,7 +506,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         gains = seen.join(below, ["up", "next"]).groupBy("ctx").agg(F.sum(gain).alias("gain"))
         pays = F.col("gain") >= 0.25 * F.greatest("m", F.lit(1)) * F.log("n")
         states = written(sums.join(gains.filter("gain > 0"), "ctx").filter(pays).select("ctx", "up", "k", "n", (F.col("n") - F.col("kept")).alias("rest")), "states")
-        grows = sums.filter(F.col("n") * F.log("n") - F.col("own") >= 0.25 * np.log(least))
+        grows = sums.filter(F.col("kept") * F.log("n") - F.col("own") >= 0.25 * np.log(least))
         found.append((states, written(pairs.join(states.select("ctx"), "ctx", "left_semi").select("ctx", "next", "c"), "followers")))
         known |= _bitmap(grows.select("ctx"))
         last = grows.filter(F.col("k") == hi).select("ctx", "n")
@@ -461,8 +521,8 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         drop_written(counted)
         lo, hi = hi + 1, (2 if hi < 4 else 4) * hi
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
-    longest = states.agg(F.max("k")).first()[0] or 0
-    return Tree(vocab, states, followers, known, longest, prior)
+    levels = sorted(r["k"] for r in states.select("k").distinct().collect())
+    return Tree(vocab, states, followers, known, levels, prior)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -514,24 +574,27 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
     """(place, doc_id, n_tokens, known, base, model, words, open) of (place, doc_id, text): the sums over
     the tokens that broadcast tables tell all of, the words whose count only is to be asked, and for each
     other token what is known of it."""
-    prior, longest = tree.prior, tree.longest
+    prior, levels = tree.prior, tree.levels
 
     def run(batches):
         words, all_words, states, all_states, pairs, all_pairs, known, retained, may_pair = shared.value if shared else (None,) * 9
         for batch in batches:
             for lo, hi, buf, offsets in text_blocks(batch.column(2)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
-                begins = np.zeros(len(token), bool)
-                begins[first[:-1]] = True
+                room = _room(first)
+                begins = room == 0
                 (c,) = words.get(token) if shared else (np.zeros(len(token), np.int64),)
                 if not shared or all_words:
                     c[c < 0] = 0
                 # A token's probability is plus + share * its word's.
                 plus, share, open_ = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token), bool)
                 walked = []
-                for k, at, ctx, _ in contexts(token, first, lambda k, ctx, at: _held(known, ctx) & (k < longest)) if longest and shared else ():
-                    some = _held(retained, ctx)
-                    at, ctx = at[some], ctx[some]
+                at, windows = np.flatnonzero(room >= 1), _Windows(token)
+                for k in levels if shared else ():
+                    at = at[room[at] >= k]
+                    here, every = windows.before(at, k), at
+                    some = _held(retained, here)
+                    at, ctx = at[some], here[some]
                     n, rest = states.get(ctx)
                     if all_states:
                         at, ctx, n, rest = at[n >= 0], ctx[n >= 0], n[n >= 0], rest[n >= 0]
@@ -547,6 +610,7 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                     weight = (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior)
                     plus[at] = np.maximum(m, 0) / (np.maximum(n, 0) + prior) + weight * plus[at]
                     share[at] *= weight
+                    at = every[_held(known, here)]
                 open_ |= (c < 0) & (plus > 0)
                 open_[begins] = False
                 alone = (c < 0) & ~open_ & ~begins
