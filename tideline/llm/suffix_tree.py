@@ -9,8 +9,8 @@ longest suffix that is a state, down to the root, over the whole vocabulary and
 token is scored in the state of the longest retained suffix of what precedes it; a text's beginning is
 a word of contexts.
 
-Contexts grow by passes: of one word, of two, of up to four, then of four times as many each time, until
-none can be told apart any more. A context is extended only if it occurs LEAST times and the sum of
+Contexts grow by passes: of one word, of two, then of twice as many each time, until none can be told
+apart any more; long ones stand in few texts, and only these are read again. A context is extended only if it occurs LEAST times and the sum of
 c log(n / c) over the next words it keeps could pay for one state: no extension, however long, can gain
 more (by the log sum inequality the sums of all extensions by a word are no more than their suffix's).
 
@@ -49,7 +49,8 @@ LAMBDA = 30.0  # occurrences that a parent's distribution is worth
 END = 0x454E44454E44454E  # the end's fingerprint, as a word of contexts the beginning's
 BITS = 24  # a bitmap's slots
 MOST_BITS = 27  # those of the pairs' bitmap, at most
-FLUSH = 1 << 20  # pairs that a task counts at once
+FLUSH = 1 << 19  # pairs that a task counts at once
+SPARSE = 5  # from contexts of so many words on, a pass hands on only the texts that still hold some
 SLICES = 8  # parts that a context of one word is dealt to
 
 
@@ -335,7 +336,8 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
     without a next word (k, ctx, up, n, own, m, kept): occurrences, then sum of c log c, number and
     occurrences of the next words kept; a context of one word has several of these to be summed. Shorter
     contexts grow only if known holds them. bits holds what may be a frequent context of lo words: words, or
-    pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow."""
+    pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow.
+    From SPARSE words on there are also rows of a text alone: the texts that hold contexts of lo words."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((known, bits))
     steps = _steps(lo)
@@ -383,13 +385,17 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                     at = np.delete(at, told[drop])
                 if len(at):
                     waiting.append(_whole_texts(token, first, at))
+                    if lo >= SPARSE:
+                        some = np.unique(np.searchsorted(first, at, "right") - 1).tolist()
+                        texts = [buf[offsets[d] : offsets[d + 1]].tobytes() for d in some]
+                        yield pa.RecordBatch.from_arrays([pa.array([parts + d % parts for d in some], pa.int32()), pa.array(texts, pa.binary())], names=["part", "raw"])
                 if sum(len(w[0]) for w in waiting) >= FLUSH:
                     yield from grow()
         yield from grow()
         if size:
             yield from sent(_grouped(held))
 
-    names = ["k", "ctx", "up", "next", "c", "n", "own", "m", "kept"]
+    names = ["k", "ctx", "up", "next", "c", "n", "own", "m", "kept", "text"]
 
     def close(held):
         k, ctx, up, nxt, c = _grouped(held)
@@ -403,10 +409,10 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
             again &= np.repeat(often, np.diff(np.append(run, len(c))))
             run, n, own, m, kept = run[often], n[often], own[often], m[often], kept[often]
         none = [pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(k[run].astype(np.int32)), pa.array(_signed(ctx[run])), pa.array(_signed(up[run])), *none, *(pa.array(x) for x in (n, own, m, kept))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(k[run].astype(np.int32)), pa.array(_signed(ctx[run])), pa.array(_signed(up[run])), *none, *(pa.array(x) for x in (n, own, m, kept)), pa.nulls(len(run), pa.binary())], names=names)
         for i in range(0, int(again.sum()), 1 << 16):
             some = np.flatnonzero(again)[i : i + (1 << 16)]
-            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())]
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int32)), *(pa.array(_signed(x[some])) for x in (ctx, up, nxt)), pa.array(c[some]), *none], names=names)
 
     def merge(batches):
@@ -417,6 +423,10 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                     yield from close(held)
                     held, size, kept = [], 0, 0
                 at = p
+                if p >= parts:
+                    none = [pa.nulls(1, t) for t in (pa.int32(), *[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array([raw.as_py()], pa.binary())], names=names)
+                    continue
                 held.append(_unpacked(raw.as_py()))
                 size += len(held[-1][0])
                 if size >= kept + 4 * FLUSH:
@@ -425,9 +435,9 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
         if held:
             yield from close(held)
 
-    packed = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, raw binary")
+    packed = train.select("text").mapInArrow(run, "part int, raw binary")
     dealt = packed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(merge, "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint")
+    return dealt.mapInArrow(merge, "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint, text binary")
 
 
 @dataclass
@@ -495,7 +505,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
     while True:
         counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs")
         pairs = counted.filter("next IS NOT NULL").select("k", "ctx", "up", "next", "c")
-        sums = counted.filter("next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
+        sums = counted.filter("ctx IS NOT NULL AND next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
         sums = written(sums.filter(F.col("n") >= least), "contexts")
         # The next words of a context against those of the next shorter one, in this pass or the one before.
         seen = pairs.join(sums.select("ctx", "n"), "ctx").select("ctx", "up", "next", "c", "n", "k")
@@ -518,8 +528,10 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         below = written(last.select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up")), "suffixes")
         # A context that occurs often begins with one that has its last word as often.
         bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("k") == hi)).select("ctx", "next"), _pair)
+        if lo >= SPARSE:
+            train = written(counted.filter("text IS NOT NULL").select("text"), "texts")
         drop_written(counted)
-        lo, hi = hi + 1, (2 if hi < 4 else 4) * hi
+        lo, hi = hi + 1, 2 * hi
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
     levels = sorted(r["k"] for r in states.select("k").distinct().collect())
     return Tree(vocab, states, followers, known, levels, prior)
