@@ -41,7 +41,7 @@ from .labelled import held_out
 from .vectext import BASE, SPACED, Words, find_words, mix, ranges, text_blocks
 
 ALPHA = 0.1
-HEAD = 1 << 21
+HEAD = 1 << 20
 CLASSES = 1024  # the columns of Tree.log_p, a view of the most frequent next words; no limit of the tree
 LEAST = 200  # a context's occurrences
 KEEP = 4  # a next word's occurrences in it
