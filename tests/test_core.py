@@ -119,6 +119,48 @@ def test_phrase_hits_need_all_words_in_order(spark):
     assert got == {(0, "g", "of the"): 1, (0, "g", "the"): 2, (0, "h", "the"): 2, (1, "g", "the"): 1, (1, "h", "the"): 1}
 
 
+def test_tokens_that_fold_to_nothing_keep_their_places(spark):
+    lex = spark.createDataFrame([("g", "of the", 1.0), ("g", "def", 0.5)], "grp string, phrase string, weight double")
+    segs = segments(spark, ["top of 5 the hill", "abc1def", "of the, def", ""])
+    got = {(r.seg_idx, r.phrase): r.n for r in lexicon.exact_hits(lexicon.folded_tokens(segs), lexicon.compiled(lex)).collect()}
+    assert got == {(2, "of the"): 1, (2, "def"): 1}
+
+
+def fuzzy_by_hand(folded, phrases):
+    """Hits of one text: exact entries first, then entries like the token; all words of longer phrases alike."""
+    out = {}
+    single = [(g, p, w[0]) for g, p, w in phrases if len(w) == 1]
+    for key in filter(None, folded):
+        found = [(g, p) for g, p, w in single if w == key] or [(g, p) for g, p, w in single if w[0] == key[0] and abs(len(w) - len(key)) <= 3 and lexicon.similarity(key, w) >= 0.8]
+        for hit in found:
+            out[hit] = out.get(hit, 0) + 1
+    for g, p, w in phrases:
+        if len(w) > 1:
+            n = sum(all(lexicon.similarity(a, b) >= 0.8 for a, b in zip(folded[i : i + len(w)], w, strict=True)) for i in range(len(folded) - len(w) + 1))
+            if n:
+                out[g, p] = out.get((g, p), 0) + n
+    return out
+
+
+def test_fuzzy_hits_against_brute_force(spark):
+    import random
+
+    ship(spark)
+    rng = random.Random(3)
+    lex = [("g", "zindagi", 1.0), ("h", "jindagee", 2.0), ("g", "of the", 1.0), ("k", "clutch moment", 1.5), ("k", "fantastic finish today", 0.5), ("z", "360", 1.0), ("y", "360 noscope", 1.0)]
+    words = "zindagi jindegi of the clutch klutch moment momment fantastic fantastik finish fnish today 5 abc1def noscope no hill x".split()
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(80)] + ["top of 5 the hill", "clutch 5 moment", "", None, "भाई zindagi"]
+    segs = segments(spark, lines)
+    df = spark.createDataFrame(lex, "grp string, phrase string, weight double")
+    got = {}
+    for r in lexicon.fuzzy_hits(lexicon.folded_tokens(segs), lexicon.compiled(df)).collect():
+        got.setdefault(r.seg_idx, {})[r.grp, r.phrase] = r.n
+    folded = {r.seg_idx: r.w for r in segs.select("seg_idx", F.transform(fn.tokens(fn.romanize(F.col("text"))), fn.fold).alias("w")).collect()}
+    phrases = [(r.grp, r.phrase, r.words) for r in lexicon.compiled(df).collect()]
+    want = {i: h for i, w in folded.items() if (h := fuzzy_by_hand(w or [], phrases))}
+    assert got == want and any(("k", "fantastic finish today") in h for h in want.values())
+
+
 def test_fuzzy_pairs_leave_exact_tokens_out(spark):
     ship(spark)
     lex = spark.createDataFrame([("g", "zindagi", 1.0)], "grp string, phrase string, weight double")

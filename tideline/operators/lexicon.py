@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.text import fold, romanize, skeleton
+from tideline.functions.text import fold, romanize, skeleton, tokens
 
 # --- fixed values: thresholds of the fuzzy match ---
 FUZZY_LENGTH, FUZZY_RATIO, SKELETON_LENGTH, SKELETON_RATIO, SUBSEQUENCE_SHARE, SUBSEQUENCE_SCORE, ACCEPT, LENGTH_GAP = 5, 0.82, 3, 0.80, 0.60, 0.85, 0.80, 3
@@ -23,9 +23,10 @@ def compiled(lexicon: DataFrame) -> DataFrame:
 
 
 def folded_tokens(segments: DataFrame, keep: tuple[str, ...] = ("media_id", "seg_idx")) -> DataFrame:
-    """(keep..., pos, token): the folded tokens of each segment, in order."""
-    words = F.filter(F.split(fold(romanize(F.col("text"))), " "), lambda w: w != "")
-    return segments.select(*keep, F.posexplode(words).alias("pos", "token"))
+    """(keep..., pos, token): the segments' tokens, each folded by itself. A token that folds to nothing
+    (a number) is left out but keeps its place, so the words around it are not neighbours."""
+    words = F.transform(tokens(romanize(F.col("text"))), fold)
+    return segments.select(*keep, F.posexplode(words).alias("pos", "token")).filter("token != ''")
 
 
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
@@ -79,13 +80,48 @@ def similarities(a: Column, b: Column) -> Column:
 def fuzzy_pairs(tokens: DataFrame, lexicon: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(token, entry, score): distinct tokens that no entry equals, with the entries like them. Entries
     are single folded words; both sides are distinct, so this follows the vocabulary, not the text."""
-    entries = lexicon.filter(F.size("words") == 1).select(F.col("words")[0].alias("entry")).distinct()
+    entries = lexicon.filter(F.size("words") == 1).select(F.get("words", F.lit(0)).alias("entry")).distinct()
     new = tokens.select("token").distinct().join(small(entries), F.col("token") == F.col("entry"), "left_anti")
     block = lambda c: F.substring(c, 1, 1)
     near = new.withColumn("b", block("token")).join(small(entries.withColumn("b", block("entry"))), "b").filter(F.abs(F.length("token") - F.length("entry")) <= LENGTH_GAP)
     return near.select("token", "entry", similarities(F.col("token"), F.col("entry")).alias("score")).filter(F.col("score") >= accept)
 
 
+def _grams(c: Column) -> Column:
+    """The pairs of letters that stand side by side in a key."""
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))), lambda g: F.length(g) == 2)
+
+
+def _blocks(c: Column) -> Column:
+    """Two keys whose similarity reaches ACCEPT share one of these: the first letter (equal keys and
+    subsequences), or two letters side by side of the keys or of their consonants. Of keys of p and q letters
+    with a ratio of 0.8, at least 0.4 (p + q) letters match, with 0.2 (p + q) breaks at most, so if p + q is
+    over 5, some matching letters are neighbours in both."""
+    return F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("1"), F.substring(c, 1, 1))), F.transform(_grams(c), lambda g: F.concat(F.lit("k"), g)), F.transform(_grams(skeleton(c)), lambda g: F.concat(F.lit("s"), g)))))
+
+
+def word_matches(found: DataFrame, lexicon: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """(token, word): distinct tokens with the words of phrases of several words that are like them."""
+    words = lexicon.filter(F.size("words") > 1).select(F.explode("words").alias("word")).distinct()
+    a, b = found.select("token").distinct().withColumn("b", _blocks(F.col("token"))), words.withColumn("b", _blocks(F.col("word")))
+    near = a.join(small(b), "b").select("token", "word").distinct()
+    return near.filter(similarities(F.col("token"), F.col("word")) >= accept)
+
+
+def fuzzy_hits(found: DataFrame, lexicon: DataFrame, keep: tuple[str, ...] = ("media_id", "seg_idx"), accept: float = ACCEPT) -> DataFrame:
+    """(keep..., grp, phrase, weight, n) for folded tokens, misspelt ones too: a token that equals no entry of
+    one word counts for every such entry like it, and a phrase of several words stands wherever each of its
+    words is like the token at its place. Scores are of distinct keys; only their matches meet the text."""
+    one = lexicon.filter(F.size("words") == 1).select("grp", "phrase", "weight", F.get("words", F.lit(0)).alias("entry"))
+    same = one.select("entry").distinct().select(F.col("entry").alias("token"), "entry")
+    like = same.unionByName(fuzzy_pairs(found, lexicon, accept).select("token", "entry"))
+    single = found.join(small(like.join(small(one), "entry").drop("entry")), "token").select(*keep, "grp", "phrase", "weight")
+    several = lexicon.filter(F.size("words") > 1).select("grp", "phrase", "weight", F.size("words").alias("need"), F.posexplode("words").alias("word_pos", "word"))
+    met = found.join(small(word_matches(found, lexicon, accept).join(small(several), "word")), "token").withColumn("begin", F.col("pos") - F.col("word_pos"))
+    whole = met.groupBy(*keep, "grp", "phrase", "weight", "need", "begin").agg(F.count("*").alias("k")).filter("k = need")
+    return single.union(whole.select(*keep, "grp", "phrase", "weight")).groupBy(*keep, "grp", "phrase", "weight").agg(F.count("*").alias("n"))
+
+
 def group_scores(hits: DataFrame, keep: tuple[str, ...] = ("media_id", "seg_idx")) -> DataFrame:
     """(keep..., grp, score): weight times count, summed."""
     return hits.groupBy(*keep, "grp").agg(F.sum(F.col("weight") * F.col("n")).alias("score"))

@@ -21,7 +21,9 @@ def fold_sql(x: str) -> str:
 
 
 LEX = f"lex(grp, phrase, weight) AS (VALUES {dims.sql_values(dims.LEXICON)})"
-TOKENS = f"tok AS (SELECT media_id, seg_idx, w[k] AS token, k - 1 AS pos FROM (SELECT media_id, seg_idx, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT media_id, seg_idx, list_filter(string_split({fold_sql('text')}, ' '), lambda x: x <> '') AS w FROM seg)))"
+TOKENS = f"""tok AS (SELECT * FROM (SELECT media_id, seg_idx, w[k] AS token, k - 1 AS pos
+FROM (SELECT media_id, seg_idx, w, unnest(range(1, len(w) + 1)) AS k
+FROM (SELECT media_id, seg_idx, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zऀ-ॿ0-9]+'), lambda t: {fold_sql('t')}) AS w FROM seg))) WHERE token <> '')"""
 HITS = f"""lw AS (SELECT grp, phrase, weight, list_filter(string_split({fold_sql('phrase')}, ' '), lambda x: x <> '') AS words FROM lex),
 le AS (SELECT grp, phrase, weight, len(words) AS need, words[k] AS token, k - 1 AS word_pos FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM lw)),
 hit AS (SELECT media_id, seg_idx, grp, phrase, weight, count(*) AS n FROM (SELECT media_id, seg_idx, grp, phrase, weight, need, pos - word_pos AS b FROM tok JOIN le ON tok.token = le.token GROUP BY ALL HAVING count(*) = need) GROUP BY ALL)"""
@@ -33,6 +35,11 @@ def hits(spark, sf):
     return ops.exact_hits(ops.folded_tokens(segs), ops.compiled(dims.lexicon(spark)))
 
 
+def fuzzy_hits(spark, sf):
+    segs = model.segments(spark, sf)
+    return ops.fuzzy_hits(ops.folded_tokens(segs), ops.compiled(dims.lexicon(spark)))
+
+
 def words(spark, sf):
     docs = model.table(spark, sf, "documents")
     return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).filter("word != ''").groupBy("word").agg(F.count("*").alias("docs"))
@@ -99,6 +106,8 @@ FROM (SELECT doc_id, substring(text, 1, 80) AS t, regexp_replace(regexp_replace(
         lambda s, sf: ops.group_scores(hits(s, sf)).withColumn("score", F.round("score", 6)),
         f"WITH {SEG}, {LEX}, {TOKENS}, {HITS}, {GROUPS} SELECT media_id, seg_idx, grp, round(score, 6) AS score FROM gs",
     ),
+    "lexicon_hits_fuzzy": (lambda s, sf: fuzzy_hits(s, sf).select("media_id", "seg_idx", "grp", "phrase", "n"), None),
+    "group_scores_fuzzy": (lambda s, sf: ops.group_scores(fuzzy_hits(s, sf)).withColumn("score", F.round("score", 6)), None),
     "lexicon_views": (
         lambda s, sf: ops.views(dims.rows(s, [(*r, i) for i, r in enumerate((*dims.LEXICON, ("hype", "the", 0.3)))], "grp string, phrase string, weight double, nth int")),
         f"SELECT phrase, min_by(grp, nth) AS first_group, max_by(weight, nth) AS last_weight, count(*) AS groups FROM (VALUES {dims.sql_values([(*r, i) for i, r in enumerate((*dims.LEXICON, ('hype', 'the', 0.3)))])}) t(grp, phrase, weight, nth) GROUP BY 1",
