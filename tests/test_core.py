@@ -302,3 +302,25 @@ def test_safe_path_names_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES["safe_path"][0](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.file for r in rows] == ["a" * 60, "title", "plain"]
+
+
+def test_contrast_between_whole_seconds(spark):
+    signal = spark.createDataFrame([("m", k / 4, 1.0) for k in range(40)], "media_id string, t double, v double")
+    quiet = spark.createDataFrame([("m", 1.0, 2.3), ("m", 2.0, 3.1)], "media_id string, s_start double, s_end double")
+    got = {r.t: r.contrast for r in signals.silence_contrast(signal, quiet).collect()}
+    raw = {k / 4: max([1 - (k / 4 - e) / 2 for e in (2.3, 3.1) if e <= k / 4 <= e + 2], default=0.0) for k in range(40)}
+    assert got == pytest.approx({t: v / max(raw.values()) for t, v in raw.items()})
+
+
+def test_lexicons_fall_back(spark):
+    lines = spark.createDataFrame([(" A b ",), ("a B",), ("",), (None,)], "phrase string")
+    assert [r.phrase for r in lexicon.loaded(lines).collect()] == ["a b"]
+    assert [r.phrase for r in lexicon.loaded(lines.limit(0), ("y", "x")).collect()] == ["x", "y"]
+
+
+def test_samples_of_three_bytes():
+    from tideline.sources.wav import _values
+
+    want = [-1.0, 0.5, 0.0, -1 / (1 << 23)]
+    raw = b"".join(int(v * (1 << 23)).to_bytes(3, "little", signed=True) for v in want)
+    assert _values(raw, 3).tolist() == want and _values(b"\x00\x80\xff", 1).tolist() == [-1.0, 0.0, 127 / 128]

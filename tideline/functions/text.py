@@ -115,3 +115,15 @@ def first_url(text: Column, host: str) -> Column:
 def clock(seconds: Column) -> Column:
     """mm:ss."""
     return F.format_string("%02d:%02d", F.floor(seconds / 60).cast("int"), F.floor(seconds % 60).cast("int"))
+
+
+def plain_caption(caption: Column) -> Column:
+    """A caption without its tags."""
+    return F.regexp_replace(caption, "<[^>]*>", "")
+
+
+def escaped(text: Column) -> Column:
+    """text for a caption with tags: the five characters that mark-up uses, by their entities."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text

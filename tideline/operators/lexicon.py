@@ -16,6 +16,15 @@ FUZZY_LENGTH, FUZZY_RATIO, SKELETON_LENGTH, SKELETON_RATIO, SUBSEQUENCE_SHARE, S
 # --- end of the fixed values ---
 
 
+def loaded(lines: DataFrame, fallback: tuple[str, ...] = ()) -> DataFrame:
+    """(phrase) of lines (phrase): lower-cased, without spaces at the ends, distinct, in order; empty ones
+    and nulls go. Where nothing is left the fallback's phrases stand in."""
+    found = lines.select(F.trim(F.lower("phrase")).alias("phrase")).filter("phrase != ''").distinct()
+    if fallback and not found.limit(1).count():
+        found = lines.sparkSession.createDataFrame([(p,) for p in sorted(set(fallback))], "phrase string")
+    return found.orderBy("phrase")
+
+
 def compiled(lexicon: DataFrame) -> DataFrame:
     """(grp, phrase, weight, words): the folded words of each phrase; phrases that fold to nothing go."""
     words = F.split(fold(romanize(F.col("phrase"))), " ")

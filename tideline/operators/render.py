@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # --- fixed values: the background's filters ---
 BACKGROUND = "boxblur=25:5,eq=brightness=-0.12:contrast=0.90"
+FIT, PAD = "scale={size}:force_original_aspect_ratio=decrease", "pad={size}:(ow-iw)/2:(oh-ih)/2:black"
+LOUDNESS = "loudnorm=I=-16.0:TP=-1.5:LRA=11"
 # --- end of the fixed values ---
 
 
@@ -48,3 +50,28 @@ def filtergraph(width: Column, height: Column, parts: list[Column]) -> Column:
     front = F.concat_ws(",", F.concat(F.lit("[0:v]scale="), width.cast("string"), F.lit(":-2")), *[F.when(p != "null", p) for p in parts])
     back = F.concat(F.lit("[0:v]scale="), size, F.lit(":force_original_aspect_ratio=increase,crop="), size, F.lit(f",{BACKGROUND}[bg]"))
     return F.concat_ws(";", back, F.concat(front, F.lit("[fg]")), F.lit("[bg][fg]overlay=(W-w)/2:(H-h)/2[outv]"))
+
+
+def landscape(width: Column, height: Column, parts: list[Column] = ()) -> Column:
+    """The picture scaled to fit and padded with black, with corrections; parts 'null' or null are left out."""
+    size = F.concat_ws(":", width.cast("string"), height.cast("string"))
+    fit, pad = (F.replace(F.lit(t), F.lit("{size}"), size) for t in (FIT, PAD))
+    return F.concat_ws(",", fit, pad, *[F.when(p != "null", p) for p in parts])
+
+
+def segment_specs(clips: DataFrame, width: int, height: int, parts: list[Column] = ()) -> DataFrame:
+    """(media_id, clip, seek, length, video): how each clip is cut to a segment that others can follow."""
+    time = lambda c: F.format_string("%.3f", c.cast("double"))
+    return clips.select("media_id", "clip", time(F.col("w_start")).alias("seek"), time(F.col("w_end") - F.col("w_start")).alias("length"), landscape(F.lit(width), F.lit(height), list(parts)).alias("video"))
+
+
+def concat_specs(files: DataFrame, loud: bool = True) -> DataFrame:
+    """(media_id, files, list, audio) of (media_id, clip, file): one file is copied, so it has no list; of
+    more the list names each in order of clip, quotes escaped. The list is a file's text, so it is one row
+    for each output."""
+    name = F.replace(F.replace("file", F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("'\\''"))
+    line = F.concat(F.lit("file '"), name, F.lit("'\n"))
+    rows = files.groupBy("media_id").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(F.struct("clip", line.alias("line")))).alias("l"))
+    many = F.col("files") > 1
+    audio = F.when(many & F.lit(loud), F.lit(LOUDNESS)).otherwise(F.lit("copy"))
+    return rows.select("media_id", "files", F.when(many, F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("list"), audio.alias("audio"))

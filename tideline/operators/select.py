@@ -31,3 +31,10 @@ def with_overlap(candidates: DataFrame, k: int = 5, most: float = 0.25, score: t
         return (short > 0) & (overlap / short > most)
 
     return _greedy(candidates, list(score), k, clashes)
+
+
+def surplus(candidates: DataFrame, k: int = 5, gap: float = 10.0, most: float = 0.25) -> DataFrame:
+    """(media_id, w_start, w_end, score): twice as many as asked for without large overlaps, by rank and
+    score; of these the best k by score that keep a gap."""
+    pool = with_overlap(candidates, 2 * k, most)
+    return with_gap(pool.select("media_id", "w_start", "w_end", "score"), k, gap)

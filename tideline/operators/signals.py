@@ -73,10 +73,13 @@ def silences(signal: DataFrame, below: float = 0.05, least: float = 0.5) -> Data
 def silence_contrast(signal: DataFrame, silence: DataFrame, span: int = 2) -> DataFrame:
     """(media_id, t, contrast): what follows a silence weighs most, falling to nothing after span.
 
-    The samples are integers apart, so each silence is exploded to the span + 1 samples it reaches and
-    met by equality; there is no range join."""
-    reach = silence.select("media_id", "s_end", F.explode(F.sequence(F.ceil("s_end").cast("long"), F.floor(F.col("s_end") + span).cast("long"))).alias("t"))
-    weight = reach.groupBy("media_id", "t").agg(F.max(1 - (F.col("t") - F.col("s_end")) / span).alias("w"))
+    Samples may stand at any times. Each silence is exploded to the span + 1 whole seconds it reaches and
+    meets the samples of a second by equality; of one second's samples and silences, the ends that reach
+    a sample are tested then. There is no range join over a media item."""
+    reach = silence.select("media_id", "s_end", F.explode(F.sequence(F.floor("s_end").cast("long"), F.floor(F.col("s_end") + span).cast("long"))).alias("_s"))
+    met = signal.select("media_id", "t", F.floor("t").cast("long").alias("_s")).join(reach, ["media_id", "_s"])
+    met = met.filter((F.col("t") >= F.col("s_end")) & (F.col("t") <= F.col("s_end") + span))
+    weight = met.groupBy("media_id", "t").agg(F.max(1 - (F.col("t") - F.col("s_end")) / span).alias("w"))
     raw = signal.join(weight, ["media_id", "t"], "left").withColumn("c", F.greatest(F.lit(0.0), F.coalesce(F.col("v") * F.col("w"), F.lit(0.0))))
     return raw.select("media_id", "t", share_of_max(F.col("c")).alias("contrast"))
 

@@ -116,3 +116,20 @@ def reason(windows: DataFrame) -> DataFrame:
     parts.append(F.when(F.col("s_filler") < -0.5, F.lit("some filler")))
     line = F.concat_ws(" + ", *parts)
     return windows.withColumn("reason", F.when(line == "", "generic moment").otherwise(line))
+
+
+def dispatch(five: DataFrame, nine: DataFrame, semantic: DataFrame) -> DataFrame:
+    """(media_id, w_start, w_end, score, strategy): each media item's candidates by one strategy. Without
+    the nine factors (nine has no rows of it) the five-factor windows count; with them the semantic
+    windows, where there are any, else the nine-factor ones. Each argument has (media_id, w_start, w_end,
+    score); the choice meets the rows by media_id only."""
+    columns = ("media_id", "w_start", "w_end", "score")
+    every = nine.select("media_id").distinct()
+    told = semantic.select("media_id").distinct()
+    parts = (
+        (five.join(every, "media_id", "left_anti"), "five"),
+        (nine.join(told, "media_id", "left_anti"), "nine"),
+        (semantic.join(every, "media_id", "left_semi"), "semantic"),
+    )
+    out = [df.select(*columns).withColumn("strategy", F.lit(name)) for df, name in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tideline.plans import audio, signals, speech, streams, text, windows
+from tideline.plans import audio, media, signals, speech, streams, text, windows
 from tideline.runtime import ship
 
-PARTS = (signals, speech, text, windows, streams, audio)
+PARTS = (signals, speech, text, windows, streams, audio, media)
 
 
 def _shipped(f):

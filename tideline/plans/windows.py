@@ -64,7 +64,7 @@ def nine(spark, sf, category="default"):
 
 
 def _nine_weights(category):
-    by = dict(zip(dims.FACTORS, dims.PROFILES[category], strict=True))
+    by = dict(zip(dims.FACTORS, dims.PROFILES.get(category, dims.PROFILES["default"]), strict=True))
     return tuple(by[n] for n in ("audio_energy", "speech_density", "energy_change", "silence_contrast", "speech_pace", "spectral_excitement", "beat_strength", "hook_keywords", "emotion_markers"))
 
 

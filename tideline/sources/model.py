@@ -67,3 +67,16 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
 
 def write_settings(settings: DataFrame, path: str) -> None:
     settings.write.mode("overwrite").json(path)
+
+
+def settings_of(settings: DataFrame, users: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """(user, settings map) for every user of users: what is stored, as it is, and the defaults only for
+    users without any. A user's settings are one object, so they are one row."""
+    own = settings.groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("stored"))
+    default = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])
+    return users.select("user").distinct().join(own, "user", "left").select("user", F.coalesce("stored", default).alias("settings"))
+
+
+def media_duration(*found: Column) -> Column:
+    """The first duration that a reader gave, of readers in order of trust; null if none did."""
+    return F.coalesce(*found)
