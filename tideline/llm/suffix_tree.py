@@ -574,18 +574,21 @@ def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id"
     base = lambda c: F.log10((c + ALPHA) / F.lit(all_n))
     first = F.greatest(F.col("chain")[0]["val"], F.lit(0))
     each = chain.select("place", F.expr(fold).alias("m"), base(first).alias("b"), (first > 0).cast("long").alias("k"))
-    # Words alone that have to be asked weigh the same in both scores.
+    # Where one count is to be asked the probability is a + b times that count; a word's is the base score's too.
     c = F.coalesce("found", F.lit(0))
-    alone = rows.select("place", F.inline("words")).join(table, "key", "left").select("place", (base(c) * F.col("times")).alias("m"), (base(c) * F.col("times")).alias("b"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
+    log = F.log10(F.col("a") + F.col("b") * c).alias("m")
+    alone = rows.select("place", F.inline("words")).join(table, "key", "left").select("place", log, base(c).alias("b"), (c > 0).cast("long").alias("k"))
+    asks = rows.select("place", F.inline("asks")).join(pairs.select("key", F.col("val").alias("found")), "key", "left")
+    alone = alone.unionByName(asks.select("place", log, F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k")))
     sums = each.unionByName(alone).groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
     m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
-    return rows.drop("open", "words").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
+    return rows.drop("open", "asks", "words").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
 
 
 def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) -> DataFrame:
-    """(place, doc_id, n_tokens, known, base, model, words, open) of (place, doc_id, text): the sums over
-    the tokens that broadcast tables tell all of, the words whose count only is to be asked, and for each
-    other token what is known of it."""
+    """(place, doc_id, n_tokens, known, base, model, words, asks, open) of (place, doc_id, text): the sums
+    over the tokens that broadcast tables tell all of, those that lack a word's or a pair's count only, and
+    for each other token what is known of it."""
     prior, levels = tree.prior, tree.levels
 
     def run(batches):
@@ -598,8 +601,9 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                 (c,) = words.get(token) if shared else (np.zeros(len(token), np.int64),)
                 if not shared or all_words:
                     c[c < 0] = 0
-                # A token's probability is plus + share * its word's.
-                plus, share, open_ = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token), bool)
+                # A token's probability is plus + share * its word's + weight * the one count that is to be asked.
+                plus, share, weight, asked = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token)), np.zeros(len(token), np.uint64)
+                unknown = (c < 0).astype(np.int32)
                 walked = []
                 at, windows = np.flatnonzero(room >= 1), _Windows(token)
                 for k in levels if shared else ():
@@ -616,24 +620,27 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                     (m[ask],) = pairs.get(key[ask])
                     if all_pairs:
                         m = np.maximum(m, 0)
-                    open_[at[(n < 0) | (m < 0)]] = True
+                    unknown[at[n < 0]] += 2
                     if not (all_states and all_pairs and all_words):
                         walked.append((k, at, ctx, n, rest, key, m))
-                    weight = (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior)
-                    plus[at] = np.maximum(m, 0) / (np.maximum(n, 0) + prior) + weight * plus[at]
-                    share[at] *= weight
+                    keeps = (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior)
+                    plus[at] = np.maximum(m, 0) / (np.maximum(n, 0) + prior) + keeps * plus[at]
+                    share[at] *= keeps
+                    weight[at] *= keeps
+                    ask = np.flatnonzero(m < 0)
+                    unknown[at[ask]] += 1
+                    asked[at[ask]] = key[ask]
+                    weight[at[ask]] = 1 / (np.maximum(n[ask], 0) + prior)
                     at = every[_held(known, here)]
-                open_ |= (c < 0) & (plus > 0)
-                open_[begins] = False
-                alone = (c < 0) & ~open_ & ~begins
-                sure = ~open_ & ~begins & ~alone
+                unknown[begins] = 0
+                sure, open_ = (unknown == 0) & ~begins, unknown > 1
+                one_word, one_pair = (unknown == 1) & (c < 0), (unknown == 1) & (c >= 0)
                 q = (np.maximum(c, 0) + ALPHA) / all_n if shared else np.ones(len(token))
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                asked = np.flatnonzero(alone)
-                _, one, times = np.unique(mix(token[asked]) + mix(doc[asked].astype(np.uint64)), return_index=True, return_counts=True)
-                by = np.argsort(doc[asked][one], kind="stable")
-                one, times = asked[one[by]], times[by]
-                lists = pa.StructArray.from_arrays([pa.array(_signed(token[one])), pa.array(times.astype(np.int64))], names=["key", "times"])
+                lists = []
+                for some, key, known_, times in ((one_word, token, plus + share * (ALPHA / all_n if shared else 0.0), share / (all_n or 1.0)), (one_pair, asked, plus + share * q, weight)):
+                    at = np.flatnonzero(some)
+                    items = pa.StructArray.from_arrays([pa.array(_signed(key[at])), pa.array(known_[at]), pa.array(times[at])], names=["key", "a", "b"])
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first).astype(np.int32)), items))
                 # Open tokens take all that is known of them along, the rest is asked in the join.
                 tok = [np.flatnonzero(open_)]
                 level, keys, val = [np.zeros(len(tok[0]), np.int32)], [token[tok[0]]], [c[tok[0]]]
@@ -653,14 +660,16 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                 def sums(x, first=first):
                     return pa.array(np.add.reduceat(x, first[:-1]))
 
-                with np.errstate(divide="ignore"):
-                    model = np.where(sure, np.log10(plus + share * q), np.where(alone, np.log10(share), 0.0))
-                lists, items = (pa.ListArray.from_arrays(pa.array(np.searchsorted(x, first).astype(np.int32)), y) for x, y in ((one, lists), (tok, items)))
+                model = np.where(sure, np.log10(np.maximum(plus + share * q, 1e-300)), 0.0)
+                told = sure | one_pair
+                items = pa.ListArray.from_arrays(pa.array(np.searchsorted(tok, first).astype(np.int32)), items)
                 own = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1)]
-                yield pa.RecordBatch.from_arrays([*own, sums((sure & (c > 0)).astype(np.int64)), sums(np.where(sure, np.log10(q), 0.0)), sums(model), lists, items], names=["place", "doc_id", "n_tokens", "known", "base", "model", "words", "open"])
+                columns = [*own, sums((told & (c > 0)).astype(np.int64)), sums(np.where(told, np.log10(q), 0.0)), sums(model), *lists, items]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "n_tokens", "known", "base", "model", "words", "asks", "open"])
 
+    one = "struct<key:bigint,a:double,b:double>"
     item = "struct<tok:int,level:int,key:bigint,val:bigint>"
-    return rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<struct<key:bigint,times:bigint>>, open array<{item}>")
+    return rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<{one}>, asks array<{one}>, open array<{item}>")
 
 
 def evaluate(docs: DataFrame, mod: int = 10, remainder: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
