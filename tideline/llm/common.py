@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -64,6 +65,23 @@ def batch_of(names: list[str], arrays: list, schema: pa.Schema | None = None) ->
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
 
+def trimmed(run):
+    """run, a function of Arrow batches, that gives the pages it freed back to the system when it ends: the
+    workers that Spark keeps for the next tasks would hold them else."""
+
+    def f(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return f
+
+
 def through(df: DataFrame, change) -> DataFrame:
     """df with each Arrow batch changed: change(batch) gives a batch of the same columns."""
 
@@ -71,4 +89,4 @@ def through(df: DataFrame, change) -> DataFrame:
         for batch in batches:
             yield change(batch)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

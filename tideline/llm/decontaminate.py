@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import through
+from .common import through, trimmed
 from .vectext import ALNUM, find_words, lookup, text_blocks
 
 WINDOW = 10
@@ -202,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, spans array<struct<begin:bigint,end:bigint>>"
+        trimmed(run), f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, spans array<struct<begin:bigint,end:bigint>>"
     )
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, release, trimmed, written
 from .vectext import SPACED, find_words, mix, ranges, text_blocks
 
 SHINGLE = 4
@@ -159,7 +159,7 @@ def _points(docs: DataFrame, size: int) -> DataFrame:
                     slots = []
             yield rows_of(slots)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, key bigint, n_shingles bigint, point bigint, fine binary, range int, slots binary")
+    return docs.mapInArrow(trimmed(run), f"doc_id {id_type}, key bigint, n_shingles bigint, point bigint, fine binary, range int, slots binary")
 
 
 def _rarity(slots: DataFrame) -> np.ndarray:
@@ -183,7 +183,7 @@ def _rarity(slots: DataFrame) -> np.ndarray:
         if at is not None:
             yield level()
 
-    found = slots.repartition("range").sortWithinPartitions("range").mapInArrow(run, "range int, levels binary").toArrow()
+    found = slots.repartition("range").sortWithinPartitions("range").mapInArrow(trimmed(run), "range int, levels binary").toArrow()
     out = np.zeros(1 << BITS, np.uint8)
     for r, raw in zip(found["range"].to_pylist(), found["levels"].to_pylist(), strict=True):
         out[r << 16 : (r + 1) << 16] = np.frombuffer(raw, np.uint8)
@@ -226,7 +226,7 @@ def _postings(docs: DataFrame, rarity, share: Fraction, size: int, small: int) -
             for lo in range(0, len(c), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(col[lo : lo + (1 << 16)]) for col in out], names=["cell", "point", "n", "nth", "sure"])
 
-    return docs.select("text").mapInArrow(run, "cell bigint, point bigint, n int, nth int, sure boolean")
+    return docs.select("text").mapInArrow(trimmed(run), "cell bigint, point bigint, n int, nth int, sure boolean")
 
 
 def _similar_sizes(a: np.ndarray, b: np.ndarray, share: Fraction) -> np.ndarray:
@@ -294,7 +294,7 @@ def _candidates(postings: DataFrame, share: Fraction, small: int) -> DataFrame:
             yield from close(held)
 
     dealt = postings.repartition(F.when(F.col("sure"), F.col("point")).otherwise(F.col("cell"))).sortWithinPartitions("sure", "cell", "point")
-    return dealt.mapInArrow(run, "cell bigint, a bigint, b bigint")
+    return dealt.mapInArrow(trimmed(run), "cell bigint, a bigint, b bigint")
 
 
 def _near(a_n: np.ndarray, b_n: np.ndarray, gap: np.ndarray, share: Fraction) -> np.ndarray:
@@ -315,7 +315,7 @@ def _plausible(pairs: DataFrame, points: DataFrame, share: Fraction) -> DataFram
                 ok = pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.abs(fa - fb).sum(1), share))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", "a_n", "b_n", "a_f", "b_f").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "a_n", "b_n", "a_f", "b_f").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, points: DataFrame, size: int) -> DataFrame:
@@ -332,7 +332,7 @@ def _sets(ids: DataFrame, docs: DataFrame, points: DataFrame, size: int) -> Data
     # it spares most texts the join's shuffle.
     slot = F.pmod(F.col("key"), F.lit(SLOTS)).alias("slot")
     few = docs.withColumn("slot", slot).join(F.broadcast(keys.select(slot).distinct()), "slot", "left_semi").drop("slot")
-    found = written(few.join(keys, "key", "left_semi").select("text").mapInArrow(sets, "point bigint, items binary"), "sets")
+    found = written(few.join(keys, "key", "left_semi").select("text").mapInArrow(trimmed(sets), "point bigint, items binary"), "sets")
     drop_written(keys)
     count = found.agg(F.count("*").alias("n"), F.count_distinct("point").alias("d")).first()
     # Rows of one id, or without one, may have brought a set several times.
@@ -368,7 +368,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, points: DataFrame, share: Fracti
                 ok.append(_within(c, len(x), len(y), share))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(ok, pa.bool_())], names=["a", "b", "d", "linked"])
 
-    return written(both.mapInArrow(run, "a bigint, b bigint, d double, linked boolean"), "compared")
+    return written(both.mapInArrow(trimmed(run), "a bigint, b bigint, d double, linked boolean"), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -476,7 +476,7 @@ def _join_regions(rows: DataFrame, open_: DataFrame, docs: DataFrame, points: Da
                         b.append(max(point[i], r[4]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "region-links")
+    return written(dealt.mapInArrow(trimmed(run), "a bigint, b bigint"), "region-links")
 
 
 class _Inverted:

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .vectext import M64, Index, fingerprint, keys, mix, ranges, text_blocks
 
 K = 2
@@ -477,7 +478,7 @@ def encode(docs: DataFrame, model: Vocabulary, k: int = K, seed: int = SEED, doc
                     )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, sample int, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, ids binary, round_trip boolean"
+        trimmed(run), f"doc_id {id_type}, sample int, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, ids binary, round_trip boolean"
     )
 
 
@@ -497,4 +498,4 @@ def decode(encoded: DataFrame, model: Vocabulary, ids: str = "ids") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, text string")
+    return encoded.mapInArrow(trimmed(run), f"{schema}, text string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import through
+from .common import through, trimmed
 from .labelled import held_out, training_sample
 from .vectext import SPACED, Words, find_words, fingerprint, text_blocks
 
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             for lo, hi, buf, offsets in text_blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(buf, offsets))], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {id_type}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, remainder: int = 0) -> DataFrame:

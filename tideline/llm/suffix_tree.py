@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, trimmed, written
 from .labelled import held_out
 from .vectext import BASE, SPACED, Words, find_words, mix, ranges, text_blocks
 
@@ -119,7 +119,7 @@ def _mapped(df: DataFrame, change, names: tuple[str, ...]) -> DataFrame:
             out = change(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=list(names))
 
-    return df.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return df.mapInArrow(trimmed(run), ", ".join(f"{n} bigint" for n in names))
 
 
 def _bitmap(df: DataFrame, fingerprint=lambda h: h, bits: int = BITS) -> np.ndarray:
@@ -147,7 +147,7 @@ def _bitmap(df: DataFrame, fingerprint=lambda h: h, bits: int = BITS) -> np.ndar
             yield pack()
 
     ddl = "range int, raw binary"
-    parts = df.mapInArrow(slots, ddl).repartition("range").sortWithinPartitions("range").mapInArrow(merge, ddl).toArrow()
+    parts = df.mapInArrow(slots, ddl).repartition("range").sortWithinPartitions("range").mapInArrow(trimmed(merge), ddl).toArrow()
     out = np.zeros(max(1, 1 << max(bits - 16, 0)) << 13, np.uint8)
     for r, raw in zip(parts["range"].to_pylist(), parts["raw"].to_pylist(), strict=True):
         out[r << 13 : (r + 1) << 13] = np.frombuffer(raw, np.uint8)
@@ -215,7 +215,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
             for lo in range(0, len(h), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h[lo : lo + (1 << 18)])), pa.array(c[lo : lo + (1 << 18)].astype(np.int64))], names=["h", "c"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -435,9 +435,9 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
         if held:
             yield from close(held)
 
-    packed = train.select("text").mapInArrow(run, "part int, raw binary")
+    packed = train.select("text").mapInArrow(trimmed(run), "part int, raw binary")
     dealt = packed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(merge, "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint, text binary")
+    return dealt.mapInArrow(trimmed(merge), "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint, text binary")
 
 
 @dataclass
@@ -669,7 +669,7 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
 
     one = "struct<key:bigint,a:double,b:double>"
     item = "struct<tok:int,level:int,key:bigint,val:bigint>"
-    return rows.mapInArrow(run, f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<{one}>, asks array<{one}>, open array<{item}>")
+    return rows.mapInArrow(trimmed(run), f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<{one}>, asks array<{one}>, open array<{item}>")
 
 
 def evaluate(docs: DataFrame, mod: int = 10, remainder: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

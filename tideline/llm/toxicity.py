@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import through
+from .common import through, trimmed
 from .labelled import held_out, training_sample
 from .vectext import ALNUM, Words, find_words, text_blocks
 
@@ -335,7 +335,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, score double, n_hits bigint, terms array<struct<term:string,entry:string,errors:int,weight:double>>"
+        trimmed(run), f"doc_id {id_type}, score double, n_hits bigint, terms array<struct<term:string,entry:string,errors:int,weight:double>>"
     )
 
 
