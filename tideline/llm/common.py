@@ -65,6 +65,22 @@ def batch_of(names: list[str], arrays: list, schema: pa.Schema | None = None) ->
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
 
+_settled: list[bool] = []
+
+
+def _give_back() -> None:
+    """Free what cycles hold, and return free pages. What is there the first time, mostly modules, is not
+    looked at again: later calls cost next to nothing."""
+    gc.collect()
+    if not _settled:
+        gc.freeze()
+        _settled.append(True)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(run):
     """run, a function of Arrow batches, that gives the pages it freed back to the system when it ends: the
     workers that Spark keeps for the next tasks would hold them else."""
@@ -73,11 +89,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _give_back()
 
     return f
 

@@ -50,7 +50,7 @@ END = 0x454E44454E44454E  # the end's fingerprint, as a word of contexts the beg
 BITS = 24  # a bitmap's slots
 MOST_BITS = 27  # those of the pairs' bitmap, at most
 FLUSH = 1 << 19  # pairs that a task counts at once
-SPARSE = 5  # from contexts of so many words on, a pass hands on only the texts that still hold some
+SPARSE = 5  # after a pass from so many words on, only the texts that still hold longer contexts are kept
 SLICES = 8  # parts that a context of one word is dealt to
 
 
@@ -189,8 +189,8 @@ class _Table:
         return [np.where(at >= 0, v[at].astype(np.int64), -1) for v in self.values]
 
 
-def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bool]:
-    """(columns of df's largest rows by size, HEAD rows at most; whether these are all)."""
+def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bool, DataFrame]:
+    """(columns of df's largest rows by size, HEAD rows at most; whether these are all; the other rows)."""
     band = F.floor(F.log2(size) * 16)
     total, least, all_ = 0, None, True
     for r in sorted(df.groupBy(band.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
@@ -198,8 +198,9 @@ def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bo
             all_ = False
             break
         total, least = total + r["n"], r["k"]
-    top = df.filter(band >= least if least is not None else F.lit(False)).select(*columns).toArrow()
-    return [top[c].to_numpy().astype(np.int64) for c in columns], all_
+    top = band >= least if least is not None else F.lit(False)
+    own = df.filter(top).select(*columns).toArrow()
+    return [own[c].to_numpy().astype(np.int64) for c in columns], all_, df.filter(~top)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -221,6 +222,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 @dataclass
 class Vocabulary:
     table: DataFrame  # (h, c), all words
+    rest: DataFrame  # (h, c), those that are not in head
     n: int
     v: int
     head: np.ndarray  # sorted fingerprints
@@ -233,10 +235,10 @@ class Vocabulary:
 def vocabulary(train: DataFrame) -> Vocabulary:
     words = written(count_words(train), "words")
     r = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    (h, c), _ = _most(words, "c", "h", "c")
+    (h, c), _, rest = _most(words, "c", "h", "c")
     h = h.view(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(words, r["n"], r["v"], h[order], c[order])
+    return Vocabulary(words, rest, r["n"], r["v"], h[order], c[order])
 
 
 def sequence(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -331,16 +333,49 @@ def _levels(texts: list[tuple], lo: int, hi: int):
             break
 
 
+def _places(token: np.ndarray, first: np.ndarray, lo: int, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places whose contexts of lo words may be frequent, as _count() has it."""
+    room, words = _room(first), _Windows(token)
+    at = np.flatnonzero(room >= 1)
+    counted = np.zeros(len(token), bool)  # whose contexts of lo - 1 words were counted
+    for k in _steps(lo):
+        at = at[room[at] >= k]
+        counted[at] = k == lo - 1
+        at = at[_held(known, words.before(at, k))]
+    at = at[room[at] >= lo]
+    if lo == 1:
+        return at[_held(bits, words.before(at, 1))]
+    told = np.flatnonzero(counted[at - 1])
+    last = at[told] - 1
+    return np.delete(at, told[~_held(bits, _pair(words.before(last, lo - 1), token[last]))])
+
+
+def _holding(train: DataFrame, lo: int, known: np.ndarray, bits: np.ndarray) -> DataFrame:
+    """The texts of train that a count of contexts of lo words and more has to read."""
+    shared = train.sparkSession.sparkContext.broadcast((known, bits))
+
+    def run(batches):
+        known, bits = shared.value
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for begin, _, buf, offsets in text_blocks(batch.column(0)):
+                token, first = sequence(find_words(buf, offsets, SPACED))
+                at = _places(token, first, lo, known, bits)
+                keep[begin + np.searchsorted(first, at, "right") - 1] = True
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return train.select("text").mapInArrow(trimmed(run), "text string")
+
+
 def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarray, least: int, keep: int) -> DataFrame:
     """Of the contexts of lo to hi words: (k, ctx, up, next, c) for each next word seen keep times, and
     without a next word (k, ctx, up, n, own, m, kept): occurrences, then sum of c log c, number and
     occurrences of the next words kept; a context of one word has several of these to be summed. Shorter
     contexts grow only if known holds them. bits holds what may be a frequent context of lo words: words, or
-    pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow.
-    From SPARSE words on there are also rows of a text alone: the texts that hold contexts of lo words."""
+    pairs of a shorter context and its next word; only these, and those of untold pairs, count and grow."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((known, bits))
-    steps = _steps(lo)
     parts, slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), SLICES if lo == 1 else 1
 
     def run(batches):
@@ -368,34 +403,16 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
         for batch in batches:
             for _, _, buf, offsets in text_blocks(batch.column(0)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
-                room, words = _room(first), _Windows(token)
-                at = np.flatnonzero(room >= 1)
-                counted = np.zeros(len(token), bool)  # whose contexts of lo - 1 words were counted
-                for k in steps:
-                    at = at[room[at] >= k]
-                    counted[at] = k == lo - 1
-                    at = at[_held(known, words.before(at, k))]
-                at = at[room[at] >= lo]
-                if lo == 1:
-                    at = at[_held(bits, words.before(at, 1))]
-                else:
-                    told = np.flatnonzero(counted[at - 1])
-                    last = at[told] - 1
-                    drop = ~_held(bits, _pair(words.before(last, lo - 1), token[last]))
-                    at = np.delete(at, told[drop])
+                at = _places(token, first, lo, known, bits)
                 if len(at):
                     waiting.append(_whole_texts(token, first, at))
-                    if lo >= SPARSE:
-                        some = np.unique(np.searchsorted(first, at, "right") - 1).tolist()
-                        texts = [buf[offsets[d] : offsets[d + 1]].tobytes() for d in some]
-                        yield pa.RecordBatch.from_arrays([pa.array([parts + d % parts for d in some], pa.int32()), pa.array(texts, pa.binary())], names=["part", "raw"])
                 if sum(len(w[0]) for w in waiting) >= FLUSH:
                     yield from grow()
         yield from grow()
         if size:
             yield from sent(_grouped(held))
 
-    names = ["k", "ctx", "up", "next", "c", "n", "own", "m", "kept", "text"]
+    names = ["k", "ctx", "up", "next", "c", "n", "own", "m", "kept"]
 
     def close(held):
         k, ctx, up, nxt, c = _grouped(held)
@@ -409,10 +426,10 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
             again &= np.repeat(often, np.diff(np.append(run, len(c))))
             run, n, own, m, kept = run[often], n[often], own[often], m[often], kept[often]
         none = [pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(k[run].astype(np.int32)), pa.array(_signed(ctx[run])), pa.array(_signed(up[run])), *none, *(pa.array(x) for x in (n, own, m, kept)), pa.nulls(len(run), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(k[run].astype(np.int32)), pa.array(_signed(ctx[run])), pa.array(_signed(up[run])), *none, *(pa.array(x) for x in (n, own, m, kept))], names=names)
         for i in range(0, int(again.sum()), 1 << 16):
             some = np.flatnonzero(again)[i : i + (1 << 16)]
-            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int32)), *(pa.array(_signed(x[some])) for x in (ctx, up, nxt)), pa.array(c[some]), *none], names=names)
 
     def merge(batches):
@@ -423,13 +440,9 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                     yield from close(held)
                     held, size, kept = [], 0, 0
                 at = p
-                if p >= parts:
-                    none = [pa.nulls(1, t) for t in (pa.int32(), *[pa.int64()] * 5, pa.float64(), pa.int64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*none, pa.array([raw.as_py()], pa.binary())], names=names)
-                    continue
                 held.append(_unpacked(raw.as_py()))
                 size += len(held[-1][0])
-                if size >= kept + 4 * FLUSH:
+                if size >= kept + 2 * FLUSH:
                     held = [_grouped(held)]
                     size = kept = len(held[0][0])
         if held:
@@ -437,7 +450,7 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
 
     packed = train.select("text").mapInArrow(trimmed(run), "part int, raw binary")
     dealt = packed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(trimmed(merge), "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint, text binary")
+    return dealt.mapInArrow(trimmed(merge), "k int, ctx bigint, up bigint, next bigint, c bigint, n bigint, own double, m bigint, kept bigint")
 
 
 @dataclass
@@ -460,6 +473,7 @@ class Tree:
     known: np.ndarray  # a bitmap of the contexts that may be suffixes of states
     levels: list[int]  # how many words states have
     prior: float
+    keep: int = KEEP  # what pairs occur, at least
 
     @property
     def two(self) -> np.ndarray:
@@ -499,14 +513,16 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
     keep = min(KEEP, least)
     known = np.zeros((1 << BITS) // 8, np.uint8)
     total = F.lit(float(max(vocab.n, 1)))
-    below = vocab.table.select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
+    # A kept next word occurs keep times; others meet nothing.
+    below = vocab.table.filter(F.col("c") >= keep).select(F.lit(0).cast("bigint").alias("up"), F.col("h").alias("next"), F.col("c").alias("c_up"), total.alias("n_up"))
     bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"), _one)
-    lo, hi, found = 1, 1, []
+    lo, hi, found, old = 1, 1, [], []  # old: tables of this pass, dropped after it
     while True:
         counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs")
         pairs = counted.filter("next IS NOT NULL").select("k", "ctx", "up", "next", "c")
-        sums = counted.filter("ctx IS NOT NULL AND next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
+        sums = counted.filter("next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
         sums = written(sums.filter(F.col("n") >= least), "contexts")
+        old += [counted, sums]
         # The next words of a context against those of the next shorter one, in this pass or the one before.
         seen = pairs.join(sums.select("ctx", "n"), "ctx").select("ctx", "up", "next", "c", "n", "k")
         if hi > lo:
@@ -521,20 +537,25 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         known |= _bitmap(grows.select("ctx"))
         last = grows.filter(F.col("k") == hi).select("ctx", "n")
         if not last.limit(1).count():
-            drop_written(counted)
             break
         # A next word that an extension keeps, its suffix keeps.
         last = pairs.join(last, "ctx")
         below = written(last.select(F.col("ctx").alias("up"), "next", F.col("c").alias("c_up"), F.col("n").cast("double").alias("n_up")), "suffixes")
         # A context that occurs often begins with one that has its last word as often.
         bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("k") == hi)).select("ctx", "next"), _pair)
-        if lo >= SPARSE:
-            train = written(counted.filter("text IS NOT NULL").select("text"), "texts")
-        drop_written(counted)
+        later = [below]
         lo, hi = hi + 1, 2 * hi
+        if lo > SPARSE:
+            train = written(_holding(train, lo, known, bits), "texts")
+            later.append(train)
+        for table in old:
+            drop_written(table)
+        old = later
+    for table in old:
+        drop_written(table)
     states, followers = (reduce(DataFrame.unionByName, (f[i] for f in found)) for i in range(2))
     levels = sorted(r["k"] for r in states.select("k").distinct().collect())
-    return Tree(vocab, states, followers, known, levels, prior)
+    return Tree(vocab, states, followers, known, levels, prior, keep)
 
 
 def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -550,19 +571,23 @@ def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id"
     prior = tree.prior
     pairs = _mapped(tree.pairs, lambda ctx, nxt, c: (_signed(_pair(ctx.view(np.uint64), nxt.view(np.uint64))), c), ("key", "val"))
     pairs = written(pairs, "keyed-pairs")
-    (ctx, n, rest), all_states = _most(tree.states, "n", "ctx", "n", "rest")
-    (key, val), all_pairs = _most(pairs, "val", "key", "val")
+    (ctx, n, rest), all_states, more_states = _most(tree.states, "n", "ctx", "n", "rest")
+    (key, val), all_pairs, more_pairs = _most(pairs, "val", "key", "val")
+    # Where the head holds every word that can be a kept next word, another word's pairs need not be asked.
+    every_next = len(vocab.head) == vocab.v or vocab.rest.agg(F.max("c")).first()[0] < tree.keep
     states = _Table(ctx.view(np.uint64), n, rest)
     count = pairs.count()
     may_pair = _bitmap(pairs.select("key"), bits=min(MOST_BITS, max(16, (16 * count).bit_length())))
     words = _Table(vocab.head, vocab.count)
-    shared = spark.sparkContext.broadcast((words, len(vocab.head) == vocab.v, states, all_states, _Table(key.view(np.uint64), val), all_pairs, tree.known, _bitmap(tree.states.select("ctx")), may_pair))
+    shared = spark.sparkContext.broadcast((words, len(vocab.head) == vocab.v, states, all_states, _Table(key.view(np.uint64), val), all_pairs, tree.known, _bitmap(tree.states.select("ctx")), may_pair, every_next))
     rows = written(_scored(rows, id_type, shared, all_n, tree), "scored")
     asked = rows.select("place", F.inline("open"))
-    own = tree.states.select("ctx", "n", "rest")
+    own = more_states.select("ctx", "n", "rest")
     own = _mapped(own.select("ctx", "n"), lambda ctx, n: (_signed(_own(ctx.view(np.uint64))), n), ("key", "val")).unionByName(_mapped(own.select("ctx", "rest"), lambda ctx, n: (_signed(_escape(ctx.view(np.uint64))), n), ("key", "val")))
-    table = vocab.table.select(F.col("h").alias("key"), F.col("c").alias("found"))
-    more = table.unionByName(own.unionByName(pairs).withColumnRenamed("val", "found"))
+    table = vocab.rest.select(F.col("h").alias("key"), F.col("c").alias("found"))
+    more = own.unionByName(more_pairs).withColumnRenamed("val", "found")
+    if not every_next:
+        more = more.unionByName(table)
     answered = asked.filter("val < 0").join(more, "key", "left").select("place", "tok", "level", F.coalesce("found", F.lit(-1)).alias("val"))
     told = asked.filter("val >= 0").select("place", "tok", "level", "val").unionByName(answered)
     chain = told.groupBy("place", "tok").agg(F.sort_array(F.collect_list(F.struct("level", "val"))).alias("chain"))
@@ -578,7 +603,7 @@ def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id"
     c = F.coalesce("found", F.lit(0))
     log = F.log10(F.col("a") + F.col("b") * c).alias("m")
     alone = rows.select("place", F.inline("words")).join(table, "key", "left").select("place", log, base(c).alias("b"), (c > 0).cast("long").alias("k"))
-    asks = rows.select("place", F.inline("asks")).join(pairs.select("key", F.col("val").alias("found")), "key", "left")
+    asks = rows.select("place", F.inline("asks")).join(more_pairs.select("key", F.col("val").alias("found")), "key", "left")
     alone = alone.unionByName(asks.select("place", log, F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k")))
     sums = each.unionByName(alone).groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
     m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
@@ -592,7 +617,7 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
     prior, levels = tree.prior, tree.levels
 
     def run(batches):
-        words, all_words, states, all_states, pairs, all_pairs, known, retained, may_pair = shared.value if shared else (None,) * 9
+        words, all_words, states, all_states, pairs, all_pairs, known, retained, may_pair, every_next = shared.value if shared else (None,) * 10
         for batch in batches:
             for lo, hi, buf, offsets in text_blocks(batch.column(2)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
@@ -608,6 +633,8 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                 at, windows = np.flatnonzero(room >= 1), _Windows(token)
                 for k in levels if shared else ():
                     at = at[room[at] >= k]
+                    if not len(at):
+                        break
                     here, every = windows.before(at, k), at
                     some = _held(retained, here)
                     at, ctx = at[some], here[some]
@@ -616,7 +643,7 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                         at, ctx, n, rest = at[n >= 0], ctx[n >= 0], n[n >= 0], rest[n >= 0]
                     key = _pair(ctx, token[at])
                     m = np.zeros(len(at), np.int64)
-                    ask = np.flatnonzero(_held(may_pair, key))
+                    ask = np.flatnonzero((c[at] >= 0) & _held(may_pair, key) if every_next else _held(may_pair, key))
                     (m[ask],) = pairs.get(key[ask])
                     if all_pairs:
                         m = np.maximum(m, 0)
