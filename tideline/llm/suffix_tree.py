@@ -9,9 +9,10 @@ longest suffix that is a state, down to the root, over the whole vocabulary and
 token is scored in the state of the longest retained suffix of what precedes it; a text's beginning is
 a word of contexts.
 
-Contexts grow by passes: of one word, of two, then of twice as many each time, until none can be told
-apart any more; long ones stand in few texts, and only these are read again. A context is extended only if it occurs LEAST times and the sum of
-c log(n / c) over the next words it keeps could pay for one state: no extension, however long, can gain
+Contexts grow by passes: of one word, of two, of three to eight, then of up to twice as many each time,
+until none can be told apart any more; long ones stand in few texts, and only these are read again. A
+context is extended only if it occurs LEAST times and the sum of c log(n / c) over the next words it keeps
+could pay for one state: no extension, however long, can gain
 more (by the log sum inequality the sums of all extensions by a word are no more than their suffix's).
 
 Counts cover all training documents and the whole vocabulary. (context, next word) pairs are counted
@@ -544,7 +545,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         # A context that occurs often begins with one that has its last word as often.
         bits = _bitmap(pairs.filter((F.col("c") >= least) & (F.col("k") == hi)).select("ctx", "next"), _pair)
         later = [below]
-        lo, hi = hi + 1, 2 * hi
+        lo, hi = hi + 1, hi * (4 if hi == 2 else 2)
         if lo > SPARSE:
             train = written(_holding(train, lo, known, bits), "texts")
             later.append(train)
