@@ -190,6 +190,26 @@ def test_emotion_marks(spark):
     assert first.raw == 2 * 2 + 1.5 * 2 + 3 + 2 + 1.5
 
 
+def no_joins(df):
+    """Spark takes what is exploded for as small as its input, and a join might broadcast it."""
+    df.collect()
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def window_texts(segs):
+    """The text of each window, by brute force."""
+    rows = sorted(segs.collect(), key=lambda r: r.seg_idx)
+    return [" ".join(r.text for r in rows if r.seg_end > t and r.seg_start < t + 5 and r.text is not None) for t in range(math.ceil(max(r.seg_end for r in rows)))]
+
+
+def test_hooks_across_segments(spark):
+    segs, hooks = segments(spark, ["we saw the", "on", None, "que", "", "la " + "x " * 30 + "the", "on", "the on"]), ("the on", "que  la", "on que", "x x")
+    got = speech.hook_scores(segs, hooks).orderBy("t")
+    want = [sum(h in said.lower() for h in hooks) for said in window_texts(segs)]
+    assert column(got, "hooks") == want and set(want) == {1, 2, 4}
+    no_joins(got)
+
+
 def candidates(spark, rows):
     return spark.createDataFrame([("m", float(a), float(b), float(s)) for a, b, s in rows], "media_id string, w_start double, w_end double, score double")
 

@@ -68,11 +68,47 @@ def window_texts(segments: DataFrame) -> DataFrame:
     return grid(segments).join(held, ["media_id", "t"], "left").select("media_id", "t", F.coalesce("said", F.lit("")).alias("said"), F.coalesce("paces", F.array().cast("array<double>")).alias("paces"))
 
 
+def over_grid(segments: DataFrame, held: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(media_id, t, sums...): aggregates of held (media_id, t, ...) for each second of the grid, over no rows
+    where held has none. Both sides go by key to the same task; a join could take an exploded side for as
+    small as its input and broadcast it."""
+    seconds = grid(segments).withColumn("_on", F.lit(True))
+    both = held.filter("media_id is not null").unionByName(seconds, allowMissingColumns=True)
+    return both.groupBy("media_id", "t").agg(F.max("_on").alias("_on"), *[c.alias(k) for k, c in sums.items()]).filter("_on").drop("_on")
+
+
+def phrase_hits(segments: DataFrame, phrases: tuple[str, ...], parts: dict[str, Column]) -> DataFrame:
+    """(media_id, t, hits, parts...): distinct phrases in the lower-case text of each window, its segments
+    joined by spaces in order, and sums over its segments; 0 without any.
+
+    A segment's text is read once and never copied to its windows: phrases in it are bits. A phrase that
+    spans segments has a space and reaches no further into a long one than its own length less one, so
+    only that much of both ends travels, with a mark between that is in no phrase."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    bits = {f"_b{i}": F.lit(0).cast("long") for i in range(0, len(phrases), 60)}
+    for i, p in enumerate(phrases):
+        bits[f"_b{i // 60 * 60}"] += F.when(F.contains(low, F.lit(p)), F.lit(1 << i % 60).cast("long")).otherwise(F.lit(0).cast("long"))
+    spanning = [p for p in phrases if not p or " " in p]
+    most = max((len(p) for p in spanning), default=1) - 1
+    mark = next(c for c in map(chr, range(1, 0xD800)) if not any(c in p for p in phrases))
+    ends = F.when(F.length(low) > 2 * most, F.concat(F.substring(low, 1, most), F.lit(mark), F.substring(low, -most, most) if most > 0 else F.lit(""))).otherwise(low)
+    own = {"_e": F.when(F.col("text").isNotNull(), ends)} if spanning else {}
+    each = segments.withColumns(bits | own | parts | {"_t": reached(F.col("seg_start"), F.col("seg_end"))})
+    held = each.select("media_id", "seg_idx", *bits, *own, *parts, F.explode("_t").alias("t"))
+    lines = {"_e": F.array_sort(F.collect_list(F.when(F.col("seg_idx").isNotNull(), F.struct("seg_idx", "_e"))))} if spanning else {}
+    sums = {k: F.coalesce(F.bit_or(k), F.lit(0).cast("long")) for k in bits} | {k: F.coalesce(F.sum(k), F.lit(0.0)) for k in parts} | lines
+    met = over_grid(segments, held, sums)
+    if spanning:
+        met = met.withColumn("_e", F.array_join(F.transform("_e", lambda s: s["_e"]), " "))
+    hit = lambda i, p: (F.shiftright(f"_b{i // 60 * 60}", i % 60).bitwiseAND(F.lit(1)) == 1) | (F.contains("_e", F.lit(p)) if p in spanning else F.lit(False))
+    hits = sum((hit(i, p).cast("long") for i, p in enumerate(phrases)), F.lit(0).cast("long"))
+    return met.select("media_id", "t", hits.alias("hits"), *parts)
+
+
 def hook_scores(segments: DataFrame, hooks: tuple[str, ...]) -> DataFrame:
     """(media_id, t, hooks, score): distinct hook phrases in the window's text, over the most of any
-    window. The phrases are a small literal, so each is one contains(), without a join."""
-    low = F.lower("said")
-    found = window_texts(segments).withColumn("hooks", sum((F.contains(low, F.lit(h)).cast("long") for h in hooks), F.lit(0).cast("long")))
+    window."""
+    found = phrase_hits(segments, hooks, {}).withColumnRenamed("hits", "hooks")
     return found.select("media_id", "t", "hooks", share_of_max(F.col("hooks").cast("double"), 0.0).alias("score"))
 
 
