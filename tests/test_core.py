@@ -210,6 +210,16 @@ def test_hooks_across_segments(spark):
     no_joins(got)
 
 
+def test_emotions_across_segments(spark):
+    segs = segments(spark, ["GO! HOW", "THE", None, "on? WHY??", "", "LA" + " x!" * 30 + " the", "on"])
+    got = speech.emotion_scores(segs, ("the  on", "the on", "x")).orderBy("t")
+    caps = lambda w: len(w) >= 3 and w.upper() == w and any(c.isupper() for c in w)
+    marks = lambda s: 2 * s.count("!") + 1.5 * s.count("?") + 3 * ("!!" in s) + 2 * ("??" in s)
+    want = [marks(s) + 1.5 * sum(w in s.lower() for w in ("the  on", "the on", "x")) + 2 * sum(map(caps, s.split())) for s in window_texts(segs)]
+    assert column(got, "raw") == want and len(set(want)) > 3
+    no_joins(got)
+
+
 def candidates(spark, rows):
     return spark.createDataFrame([("m", float(a), float(b), float(s)) for a, b, s in rows], "media_id string, w_start double, w_end double, score double")
 

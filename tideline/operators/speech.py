@@ -59,15 +59,6 @@ def speech_summary(segments: DataFrame) -> DataFrame:
     return sums.select("media_id", "n_segments", "words", "transcript", rate.alias("avg_wpm"))
 
 
-def window_texts(segments: DataFrame) -> DataFrame:
-    """(media_id, t, said, fast): the window's lower-case and original text and its paces, in order."""
-    spoken = segments.select("media_id", "seg_idx", "text", "wpm", F.explode(reached(F.col("seg_start"), F.col("seg_end"))).alias("t"))
-    parts = F.array_sort(F.collect_list(F.struct("seg_idx", "text", "wpm")))
-    held = spoken.groupBy("media_id", "t").agg(parts.alias("p"))
-    held = held.select("media_id", "t", F.array_join(F.transform("p", lambda s: s["text"]), " ").alias("said"), F.transform("p", lambda s: s["wpm"]).alias("paces"))
-    return grid(segments).join(held, ["media_id", "t"], "left").select("media_id", "t", F.coalesce("said", F.lit("")).alias("said"), F.coalesce("paces", F.array().cast("array<double>")).alias("paces"))
-
-
 def over_grid(segments: DataFrame, held: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """(media_id, t, sums...): aggregates of held (media_id, t, ...) for each second of the grid, over no rows
     where held has none. Both sides go by key to the same task; a join could take an exploded side for as
@@ -77,9 +68,9 @@ def over_grid(segments: DataFrame, held: DataFrame, sums: dict[str, Column]) ->
     return both.groupBy("media_id", "t").agg(F.max("_on").alias("_on"), *[c.alias(k) for k, c in sums.items()]).filter("_on").drop("_on")
 
 
-def phrase_hits(segments: DataFrame, phrases: tuple[str, ...], parts: dict[str, Column]) -> DataFrame:
-    """(media_id, t, hits, parts...): distinct phrases in the lower-case text of each window, its segments
-    joined by spaces in order, and sums over its segments; 0 without any.
+def phrase_hits(segments: DataFrame, phrases: tuple[str, ...], parts: dict[str, Column], weights: tuple[float, ...] = ()) -> DataFrame:
+    """(media_id, t, hits, parts...): distinct phrases (or their weights, summed) in the lower-case text of
+    each window, its segments joined by spaces in order, and sums over its segments; 0 without any.
 
     A segment's text is read once and never copied to its windows: phrases in it are bits. A phrase that
     spans segments has a space and reaches no further into a long one than its own length less one, so
@@ -101,7 +92,7 @@ def phrase_hits(segments: DataFrame, phrases: tuple[str, ...], parts: dict[str,
     if spanning:
         met = met.withColumn("_e", F.array_join(F.transform("_e", lambda s: s["_e"]), " "))
     hit = lambda i, p: (F.shiftright(f"_b{i // 60 * 60}", i % 60).bitwiseAND(F.lit(1)) == 1) | (F.contains("_e", F.lit(p)) if p in spanning else F.lit(False))
-    hits = sum((hit(i, p).cast("long") for i, p in enumerate(phrases)), F.lit(0).cast("long"))
+    hits = sum((hit(i, p).cast("long") * (weights[i] if weights else 1) for i, p in enumerate(phrases)), F.lit(0).cast("long"))
     return met.select("media_id", "t", hits.alias("hits"), *parts)
 
 
@@ -113,13 +104,15 @@ def hook_scores(segments: DataFrame, hooks: tuple[str, ...]) -> DataFrame:
 
 
 def emotion_scores(segments: DataFrame, emotions: tuple[str, ...]) -> DataFrame:
-    """(media_id, t, raw, score): marks, emotional words, words in capitals and fast lines."""
-    said, low = F.col("said"), F.lower("said")
+    """(media_id, t, raw, score): marks, emotional words, words in capitals and fast lines. Marks, capitals
+    and lines are counted once for each segment, as a space never joins two words or marks; all of them
+    weigh multiples of a half, so their sums are exact in any order."""
+    said = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(said, r"\s+"), lambda w: (F.length(w) >= 3) & (F.upper(w) == w) & w.rlike(r"\p{Lu}"))
-    fast = F.aggregate("paces", F.lit(0.0), lambda a, p: a + F.when(p > 180, 3.0).when(p > 150, 1.5).otherwise(0.0))
-    raw = 2.0 * count_of(said, "!") + 1.5 * count_of(said, "?") + F.when(F.contains(said, F.lit("!!")), 3.0).otherwise(0.0) + F.when(F.contains(said, F.lit("??")), 2.0).otherwise(0.0)
-    raw += 1.5 * sum((F.contains(low, F.lit(w)).cast("int") for w in emotions), F.lit(0)) + 2.0 * F.size(words) + fast
-    return window_texts(segments).withColumn("raw", raw).select("media_id", "t", "raw", share_of_max(F.col("raw"), 0.0).alias("score"))
+    fast = F.when(F.col("wpm") > 180, 3.0).when(F.col("wpm") > 150, 1.5).otherwise(0.0)
+    own = 2.0 * count_of(said, "!") + 1.5 * count_of(said, "?") + 2.0 * F.size(words) + fast
+    found = phrase_hits(segments, ("!!", "??", *emotions), {"_own": own}, (3.0, 2.0, *[1.5] * len(emotions)))
+    return found.select("media_id", "t", (F.col("hits") + F.col("_own")).alias("raw")).select("media_id", "t", "raw", share_of_max(F.col("raw"), 0.0).alias("score"))
 
 
 def window_snippet(segments: DataFrame, windows: DataFrame, most: int = 150) -> DataFrame:
