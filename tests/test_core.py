@@ -196,6 +196,15 @@ def no_joins(df):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_density_without_joins(spark):
+    segs = segments(spark, ["a b c", "", "d " * 20, None, "e"]).unionByName(segments(spark, ["x y"]).withColumn("media_id", F.lit(None).cast("string")))
+    got = speech.speech_density(segs).filter("media_id is not null").orderBy("t")
+    at = [r.t for r in speech.word_times(segs).filter("media_id is not null").collect()]
+    assert column(got, "words") == [sum(t <= w < t + 5 for w in at) for t in range(10)] and len(at) == 24
+    assert column(speech.speech_density(segs).filter("media_id is null"), "words") == [0]  # as in SQL, no key meets it
+    no_joins(speech.speech_density(segs))
+
+
 def window_texts(segs):
     """The text of each window, by brute force."""
     rows = sorted(segs.collect(), key=lambda r: r.seg_idx)

@@ -31,13 +31,22 @@ def reached(start: Column, end: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last))
 
 
+def over_grid(segments: DataFrame, held: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(media_id, t, sums...): aggregates of held (media_id, t, ...) for each second of the grid, over no rows
+    where held has none. Both sides go by key to the same task; a join could take an exploded side for as
+    small as its input and broadcast it."""
+    seconds = grid(segments).withColumn("_on", F.lit(True))
+    both = held.filter("media_id is not null").unionByName(seconds, allowMissingColumns=True)
+    return both.groupBy("media_id", "t").agg(F.max("_on").alias("_on"), *[c.alias(k) for k, c in sums.items()]).filter("_on").drop("_on")
+
+
 def speech_density(segments: DataFrame) -> DataFrame:
     """(media_id, t, words, density): words with t <= time < t + SPAN, and their scaled number. A word
-    is exploded to the SPAN windows that hold it; the windows are then met by equality."""
+    is exploded to the SPAN windows that hold it, and these are counted with the grid."""
     words = word_times(segments)
     first = F.greatest(F.lit(0).cast("long"), F.floor(F.col("t") - SPAN).cast("long") + 1)
-    held = words.select("media_id", F.explode(F.sequence(first, F.floor("t").cast("long"))).alias("t")).groupBy("media_id", "t").agg(F.count("*").alias("words"))
-    all_ = grid(segments).join(held, ["media_id", "t"], "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    held = words.select("media_id", F.explode(F.sequence(first, F.floor("t").cast("long"))).alias("t")).withColumn("_w", F.lit(True))
+    all_ = over_grid(segments, held, {"words": F.count("_w")})
     return all_.select("media_id", "t", "words", scaled_flat_one(F.col("words").cast("double")).alias("density"))
 
 
@@ -59,15 +68,6 @@ def speech_summary(segments: DataFrame) -> DataFrame:
     return sums.select("media_id", "n_segments", "words", "transcript", rate.alias("avg_wpm"))
 
 
-def over_grid(segments: DataFrame, held: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """(media_id, t, sums...): aggregates of held (media_id, t, ...) for each second of the grid, over no rows
-    where held has none. Both sides go by key to the same task; a join could take an exploded side for as
-    small as its input and broadcast it."""
-    seconds = grid(segments).withColumn("_on", F.lit(True))
-    both = held.filter("media_id is not null").unionByName(seconds, allowMissingColumns=True)
-    return both.groupBy("media_id", "t").agg(F.max("_on").alias("_on"), *[c.alias(k) for k, c in sums.items()]).filter("_on").drop("_on")
-
-
 def phrase_hits(segments: DataFrame, phrases: tuple[str, ...], parts: dict[str, Column], weights: tuple[float, ...] = ()) -> DataFrame:
     """(media_id, t, hits, parts...): distinct phrases (or their weights, summed) in the lower-case text of
     each window, its segments joined by spaces in order, and sums over its segments; 0 without any.
