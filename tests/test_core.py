@@ -205,6 +205,18 @@ def test_density_without_joins(spark):
     no_joins(speech.speech_density(segs))
 
 
+def test_pace_without_joins(spark):
+    segs = segments(spark, ["a b c", "", "d " * 20, "e"]).withColumn("wpm", F.lit(100.0) + 20 * F.col("seg_idx"))
+    segs = segs.unionByName(segments(spark, ["x y"]).withColumn("media_id", F.lit(None).cast("string")))
+    over = lambda t, r: max(0, min(r.seg_end, t + 5) - max(r.seg_start, t))
+    rows = segs.filter("media_id is not null").collect()
+    want = [sum(over(t, r) * r.wpm for r in rows) / sum(over(t, r) for r in rows) for t in range(10)]
+    got = speech.speech_pace(segs).orderBy("media_id", "t")
+    assert column(got.filter("media_id is not null"), "raw") == [pytest.approx(x, abs=1e-6) for x in want] and len(set(want)) > 3
+    assert column(got.filter("media_id is null"), "raw") == [0.0]  # as in SQL, no key meets it
+    no_joins(got)
+
+
 def window_texts(segs):
     """The text of each window, by brute force."""
     rows = sorted(segs.collect(), key=lambda r: r.seg_idx)

@@ -54,9 +54,9 @@ def speech_pace(segments: DataFrame) -> DataFrame:
     """(media_id, t, pace): words a minute in the window, weighed by how long each segment is in it."""
     spoken = segments.select("media_id", "seg_start", "seg_end", "wpm", F.explode(reached(F.col("seg_start"), F.col("seg_end"))).alias("t"))
     overlap = F.least("seg_end", F.col("t") + F.lit(float(SPAN))) - F.greatest("seg_start", F.col("t").cast("double"))
-    sums = spoken.withColumn("o", F.greatest(F.lit(0.0), overlap)).groupBy("media_id", "t").agg(F.sum(F.col("o") * F.col("wpm")).alias("p"), F.sum("o").alias("o"))
-    mean = F.when(F.col("o") > 0, F.col("p") / F.col("o")).otherwise(0.0)
-    all_ = grid(segments).join(sums.select("media_id", "t", mean.alias("raw")), ["media_id", "t"], "left").withColumn("raw", F.round(F.coalesce("raw", F.lit(0.0)), 6))
+    held = spoken.select("media_id", "t", "wpm", F.greatest(F.lit(0.0), overlap).alias("o"))
+    all_ = over_grid(segments, held, {"p": F.sum(F.col("o") * F.col("wpm")), "o": F.sum("o")})
+    all_ = all_.select("media_id", "t", F.round(F.when(F.col("o") > 0, F.col("p") / F.col("o")).otherwise(0.0), 6).alias("raw"))
     return all_.select("media_id", "t", "raw", scaled_flat_one(F.col("raw")).alias("pace"))
 
 
