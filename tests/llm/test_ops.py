@@ -18,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, jaccard_join, licenses, mpeg, pieces, quality, suffix_tree, token_shards, toxicity, url_rules, vectext
+from tideline.llm.common import written
 from tideline.runtime import ship
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -703,6 +704,23 @@ def test_suffix_tree_of_the_whole_vocabulary_at_any_depth(sp, monkeypatch, head)
     assert [rows[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
 
 
+def test_tokens_in_the_same_place_of_the_tree_ask_once(sp, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HEAD", 40)  # known counts are larger than the number of answers
+    monkeypatch.setattr(suffix_tree, "LEAST", 15)
+    tables = {}
+    monkeypatch.setattr(suffix_tree, "written", lambda df, name, *more: tables.setdefault(name, written(df, name, *more)) if name == "scored" else written(df, name, *more))
+    rng = random.Random(12)
+    texts = [" ".join(x for _ in range(40) for x in (f"a{rng.randint(0, 9)}", f"b{rng.randint(0, 9)}", "the")) for _ in range(60)]
+    rows = suffix_tree.evaluate(table(sp, texts).coalesce(1))
+    assert "(key" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no token is a row of a join
+    asked = sum(len(r.raw) // 8 for r in tables["scored"].filter("part >= 0").collect())
+    assert 0 < asked < 1000 < sum(len(t.split()) for t in texts)
+    tokens = [[*t.split(), None] for t in texts]
+    want, _ = suffix_tree_by_hand(tokens, [i for i in range(len(texts)) if crc32(str(i).encode()) % 10], 15)
+    rows = {r.doc_id: r.score for r in rows.collect()}
+    assert [rows[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_language_model_edges(sp):
     assert suffix_tree.evaluate(nothing(sp)).count() == 0
     held = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0][:3]

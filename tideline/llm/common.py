@@ -25,18 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and any executor can read it again. The
-    step's shuffle files go with it, so the disk holds what one step needs."""
+    step's shuffle files go with it, so the disk holds what one step needs. Python gets at most so many
+    rows at once, where they are given: both sides hold such a batch in memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +71,7 @@ def batch_of(names: list[str], arrays: list, schema: pa.Schema | None = None) ->
 _settled: list[bool] = []
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free what cycles hold, and return free pages. What is there the first time, mostly modules, is not
     looked at again: later calls cost next to nothing."""
     gc.collect()
@@ -89,7 +92,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return f
 

@@ -20,7 +20,8 @@ by task, travel packed (a context once, its next words after it) to the part tha
 names, and are summed there; a context of one word is dealt to several parts by next words, so that the
 most frequent one is no single task's. Kept pairs stay distributed tables. Broadcast are the HEAD most
 frequent words, states and pairs, and bitmaps of bounded size that only say where a look-up is in
-vain; all other tokens meet their counts in a join. Words and contexts are known by 64-bit fingerprints.
+vain (of pairs a sixteenth of HEAD). All other tokens ask by blocks: those with the same next word after the
+same longest state once, by packed keys that go to the parts of the counts; the answers come back to the block. Words and contexts are known by 64-bit fingerprints.
 
 Edge cases: null and empty texts are one end token; without training documents every token has
 probability 1; null ids belong to the training part; repeated ids are scored row by row; very long texts
@@ -31,15 +32,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, trimmed, written
+from .common import drop_written, give_back, trimmed, written
 from .labelled import held_out
-from .vectext import BASE, SPACED, Words, find_words, mix, ranges, text_blocks
+from .vectext import BASE, SPACED, Words, find_words, lookup, mix, ranges, text_blocks
 
 ALPHA = 0.1
 HEAD = 1 << 20
@@ -51,6 +54,8 @@ END = 0x454E44454E44454E  # the end's fingerprint, as a word of contexts the beg
 BITS = 24  # a bitmap's slots
 MOST_BITS = 27  # those of the pairs' bitmap, at most
 FLUSH = 1 << 19  # pairs that a task counts at once
+ROWS = 2048  # texts that a task is given at once
+ASKED = 1 << 18  # tokens whose counts a task asks for at once
 SPARSE = 5  # after a pass from so many words on, only the texts that still hold longer contexts are kept
 SLICES = 8  # parts that a context of one word is dealt to
 
@@ -190,12 +195,12 @@ class _Table:
         return [np.where(at >= 0, v[at].astype(np.int64), -1) for v in self.values]
 
 
-def _most(df: DataFrame, size: str, *columns: str) -> tuple[list[np.ndarray], bool, DataFrame]:
-    """(columns of df's largest rows by size, HEAD rows at most; whether these are all; the other rows)."""
+def _most(df: DataFrame, most: int, size: str, *columns: str) -> tuple[list[np.ndarray], bool, DataFrame]:
+    """(columns of df's largest rows by size, so many at most; whether these are all; the other rows)."""
     band = F.floor(F.log2(size) * 16)
     total, least, all_ = 0, None, True
     for r in sorted(df.groupBy(band.alias("k")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        if total + r["n"] > HEAD:
+        if total + r["n"] > most:
             all_ = False
             break
         total, least = total + r["n"], r["k"]
@@ -234,9 +239,9 @@ class Vocabulary:
 
 
 def vocabulary(train: DataFrame) -> Vocabulary:
-    words = written(count_words(train), "words")
+    words = written(count_words(train), "words", ROWS)
     r = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    (h, c), _, rest = _most(words, "c", "h", "c")
+    (h, c), _, rest = _most(words, HEAD, "c", "h", "c")
     h = h.view(np.uint64)
     order = np.argsort(h)
     return Vocabulary(words, rest, r["n"], r["v"], h[order], c[order])
@@ -294,7 +299,10 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _grouped(held: list[tuple]) -> tuple[np.ndarray, ...]:
-    k, ctx, up, nxt, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Each pair once, with its sum; empties held, so that no column is in memory twice for long."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    k, ctx, up, nxt, c = (np.concatenate(columns.pop(0)) for _ in range(5))
     h = _pair(ctx, nxt)
     by = np.argsort(h)
     h = h[by]
@@ -390,16 +398,19 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                 held.append((np.full(len(ctx), k, np.uint32), ctx, up, nxt, c))
                 size += len(ctx)
                 if size >= kept + FLUSH:
-                    held = [_grouped(held)]
+                    held.append(_grouped(held))
                     size = kept = len(held[0][0])
                     if kept >= FLUSH:
-                        yield from sent(held[0])
-                        held, size, kept = [], 0, 0
+                        yield from sent(held.pop())
+                        size, kept = 0, 0
             waiting.clear()
+            give_back()
 
         def sent(rows):
-            found = list(_packed(*rows, parts, slices))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["part", "raw"])
+            packed = _packed(*rows, parts, slices)
+            del rows
+            while found := list(islice(packed, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["part", "raw"])
 
         for batch in batches:
             for _, _, buf, offsets in text_blocks(batch.column(0)):
@@ -407,7 +418,7 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                 at = _places(token, first, lo, known, bits)
                 if len(at):
                     waiting.append(_whole_texts(token, first, at))
-                if sum(len(w[0]) for w in waiting) >= FLUSH:
+                if sum(len(w[0]) for w in waiting) >= FLUSH // 2:
                     yield from grow()
         yield from grow()
         if size:
@@ -443,8 +454,8 @@ def _count(train: DataFrame, lo: int, hi: int, known: np.ndarray, bits: np.ndarr
                 at = p
                 held.append(_unpacked(raw.as_py()))
                 size += len(held[-1][0])
-                if size >= kept + 2 * FLUSH:
-                    held = [_grouped(held)]
+                if size >= kept + FLUSH:
+                    held.append(_grouped(held))
                     size = kept = len(held[0][0])
         if held:
             yield from close(held)
@@ -519,7 +530,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
     bits = _bitmap(vocab.table.filter(F.col("c") >= least).select("h"), _one)
     lo, hi, found, old = 1, 1, [], []  # old: tables of this pass, dropped after it
     while True:
-        counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs")
+        counted = written(_count(train, lo, hi, known, bits, least, keep), "pairs", ROWS)
         pairs = counted.filter("next IS NOT NULL").select("k", "ctx", "up", "next", "c")
         sums = counted.filter("next IS NULL").groupBy("ctx").agg(F.max("k").alias("k"), F.max("up").alias("up"), *[F.sum(x).alias(x) for x in ("n", "own", "m", "kept")])
         sums = written(sums.filter(F.col("n") >= least), "contexts")
@@ -547,7 +558,7 @@ def grow(vocab: Vocabulary, counts: Counts, least: int | None = None, prior: flo
         later = [below]
         lo, hi = hi + 1, hi * (4 if hi == 2 else 2)
         if lo > SPARSE:
-            train = written(_holding(train, lo, known, bits), "texts")
+            train = written(_holding(train, lo, known, bits), "texts", ROWS)
             later.append(train)
         for table in old:
             drop_written(table)
@@ -564,62 +575,232 @@ def score(docs: DataFrame, vocab: Vocabulary, tree: Tree, doc_id: str = "doc_id"
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not vocab.n:
-        tokens = _scored(rows, id_type, None, 0.0, tree)
+        tokens = _scored(rows, id_type, None, 0.0, tree, parts)
         zero = F.lit(0.0)
         return tokens.select("doc_id", "n_tokens", F.lit(0).cast("bigint").alias("n_known"), zero.alias("base_score"), zero.alias("score"))
     all_n = vocab.n + ALPHA * (vocab.v + 1)
-    prior = tree.prior
     pairs = _mapped(tree.pairs, lambda ctx, nxt, c: (_signed(_pair(ctx.view(np.uint64), nxt.view(np.uint64))), c), ("key", "val"))
     pairs = written(pairs, "keyed-pairs")
-    (ctx, n, rest), all_states, more_states = _most(tree.states, "n", "ctx", "n", "rest")
-    (key, val), all_pairs, more_pairs = _most(pairs, "val", "key", "val")
+    (ctx, n, rest), all_states, more_states = _most(tree.states, HEAD, "n", "ctx", "n", "rest")
+    (key, val), all_pairs, more_pairs = _most(pairs, HEAD >> 4, "val", "key", "val")
     # Where the head holds every word that can be a kept next word, another word's pairs need not be asked.
     every_next = len(vocab.head) == vocab.v or vocab.rest.agg(F.max("c")).first()[0] < tree.keep
     states = _Table(ctx.view(np.uint64), n, rest)
-    count = pairs.count()
-    may_pair = _bitmap(pairs.select("key"), bits=min(MOST_BITS, max(16, (16 * count).bit_length())))
+    may_pair = _bitmap(pairs.select("key"), bits=min(MOST_BITS, max(16, (16 * pairs.count()).bit_length())))
     words = _Table(vocab.head, vocab.count)
     shared = spark.sparkContext.broadcast((words, len(vocab.head) == vocab.v, states, all_states, _Table(key.view(np.uint64), val), all_pairs, tree.known, _bitmap(tree.states.select("ctx")), may_pair, every_next))
-    rows = written(_scored(rows, id_type, shared, all_n, tree), "scored")
-    asked = rows.select("place", F.inline("open"))
-    own = more_states.select("ctx", "n", "rest")
-    own = _mapped(own.select("ctx", "n"), lambda ctx, n: (_signed(_own(ctx.view(np.uint64))), n), ("key", "val")).unionByName(_mapped(own.select("ctx", "rest"), lambda ctx, n: (_signed(_escape(ctx.view(np.uint64))), n), ("key", "val")))
-    table = vocab.rest.select(F.col("h").alias("key"), F.col("c").alias("found"))
-    more = own.unionByName(more_pairs).withColumnRenamed("val", "found")
-    if not every_next:
-        more = more.unionByName(table)
-    answered = asked.filter("val < 0").join(more, "key", "left").select("place", "tok", "level", F.coalesce("found", F.lit(-1)).alias("val"))
-    told = asked.filter("val >= 0").select("place", "tok", "level", "val").unionByName(answered)
-    chain = told.groupBy("place", "tok").agg(F.sort_array(F.collect_list(F.struct("level", "val"))).alias("chain"))
-    # Level 0 is the word's count, then by 3: a context's, what it leaves to its suffix, the pair's; -1 stands for none.
-    fold = f"""aggregate(slice(chain, 2, size(chain)), named_struct('p', (greatest(chain[0].val, 0) + {ALPHA}D) / {all_n!r}D, 'n', -1L, 'r', 0L),
-        (a, x) -> CASE WHEN x.level % 3 = 0 THEN named_struct('p', a.p, 'n', x.val, 'r', 0L) WHEN a.n < 0 THEN a
-        WHEN x.level % 3 = 1 THEN named_struct('p', a.p, 'n', a.n, 'r', x.val)
-        ELSE named_struct('p', (greatest(x.val, 0) + ({prior!r}D + a.r) * a.p) / (a.n + {prior!r}D), 'n', -1L, 'r', 0L) END, a -> log10(a.p))"""
-    base = lambda c: F.log10((c + ALPHA) / F.lit(all_n))
-    first = F.greatest(F.col("chain")[0]["val"], F.lit(0))
-    each = chain.select("place", F.expr(fold).alias("m"), base(first).alias("b"), (first > 0).cast("long").alias("k"))
-    # Where one count is to be asked the probability is a + b times that count; a word's is the base score's too.
-    c = F.coalesce("found", F.lit(0))
-    log = F.log10(F.col("a") + F.col("b") * c).alias("m")
-    alone = rows.select("place", F.inline("words")).join(table, "key", "left").select("place", log, base(c).alias("b"), (c > 0).cast("long").alias("k"))
-    asks = rows.select("place", F.inline("asks")).join(more_pairs.select("key", F.col("val").alias("found")), "key", "left")
-    alone = alone.unionByName(asks.select("place", log, F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("k")))
-    sums = each.unionByName(alone).groupBy("place").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.sum("k").alias("k"))
+    rows = written(_scored(rows, id_type, shared, all_n, tree, parts), "scored", ROWS)
+    more = [more_pairs, *(_mapped(more_states.select("ctx", x), lambda ctx, n, own=own: (_signed(own(ctx.view(np.uint64))), n), ("key", "val")) for own, x in ((_own, "n"), (_escape, "rest")))]
+    more.append(vocab.rest.select(F.col("h").alias("key"), F.col("c").alias("val")))
+    held = reduce(DataFrame.unionByName, more).mapInArrow(trimmed(_dealt(parts)), PACKED)
+    asked = rows.filter("part >= 0").select("block", "part", "raw")
+    answers = written(asked.unionByName(held).repartition("part").sortWithinPartitions("part", "block").mapInArrow(trimmed(_answered), PACKED), "answers")
+    left = rows.filter("part = -1").select("block", "part", "raw")
+    sums = "place bigint, k bigint, b double, m double"
+    sums = answers.unionByName(left).repartition("block").sortWithinPartitions("block", "part").mapInArrow(trimmed(_summed(all_n, tree.prior)), sums)
     m, b, k = (F.coalesce(x, F.lit(0)) for x in ("m", "b", "k"))
-    return rows.drop("open", "asks", "words").join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
+    own = rows.filter("part IS NULL").drop("block", "part", "raw")
+    return own.join(sums, "place", "left").select("doc_id", "n_tokens", (F.col("known") + k).alias("n_known"), (F.col("base") + b).alias("base_score"), (F.col("model") + m).alias("score"))
+
+
+def _dealt(parts: int):
+    """(block -1, part, bytes) of (key, val): a part's keys, then their values."""
+
+    def run(batches):
+        for batch in batches:
+            key, val = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part = _part(key.view(np.uint64), parts)
+            by = np.argsort(part, kind="stable")
+            key, val, part = key[by], val[by], part[by]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+            raw = [key[i:j].tobytes() + val[i:j].tobytes() for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=False)]
+            yield _packed_rows(np.full(len(cut), -1), part[cut], raw)
+
+    return run
+
+
+def _answered(batches):
+    """For each block's keys of a part their values and one, 0 where absent; the part's table comes first."""
+    at, held, keys, vals = None, [], None, None
+    for batch in batches:
+        blocks, parts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+        for block, part, raw in zip(blocks, parts, batch.column(2), strict=True):
+            if part != at:
+                at, held, keys = part, [], None
+            if block < 0:
+                held.append(np.frombuffer(raw.as_buffer(), np.int64).reshape(2, -1).copy())
+                continue
+            if keys is None:
+                keys, vals = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
+                by = np.argsort(keys.view(np.uint64))
+                keys, vals, held = keys.view(np.uint64)[by], vals[by], []
+            found = lookup(keys, np.frombuffer(raw.as_buffer(), np.uint64))
+            got = np.where(found >= 0, vals[found] + 1, 0) if len(vals) else np.zeros(len(found), np.int64)
+            got = got.astype(np.min_scalar_type(int(got.max())))
+            out.append((block, part, bytes([got.itemsize]) + got.tobytes()))
+        if out:
+            yield _packed_rows(*zip(*out, strict=True))
+
+
+def _summed(all_n: float, prior: float):
+    """(place, k, b, m) of each text of a block that asked: what the tokens that did add to its sums."""
+
+    def close(left, got):
+        place, asks, number, word, state, size, at, m, up, k, n, rest = _unzipped(left)
+        told = np.concatenate([np.frombuffer(g, f"u{g[0]}", offset=1).astype(np.int64) - 1 for g in got])
+        c, m, n, rest = (np.where(x >= 0, x, told[np.maximum(-1 - x, 0)]) for x in (word, m, n, rest))
+        # The last state is the root. What of the root's share is left in a state; one that proved to be none leaves all.
+        keeps, share = np.where(n >= 0, (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior), 1.0), np.ones(len(n))
+        for level in np.unique(k[k > 0]):
+            here = np.flatnonzero(k == level)
+            share[here] = keeps[here] * share[up[here]]
+        base = (np.maximum(c, 0) + ALPHA) / all_n
+        p = share[state] * base
+        of = np.repeat(np.arange(len(size)), size)
+        p += np.bincount(of, np.where(n[at] >= 0, np.maximum(m, 0) / (np.maximum(n[at], 0) + prior), 0.0) * share[state[of]] / share[at], len(size))
+        unsure = word < 0  # whose count was asked, and is in no sum yet
+        first = np.cumsum(asks) - asks
+        sums = [np.add.reduceat(x[number], first) for x in ((unsure & (c > 0)).astype(np.int64), np.where(unsure, np.log10(base), 0.0), np.log10(np.maximum(p, 1e-300)))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (place, *sums)], names=["place", "k", "b", "m"])
+
+    def run(batches):
+        at, left, got = None, None, []
+        for batch in batches:
+            for block, part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield close(left, got)
+                    at, got = block, []
+                if part < 0:
+                    left = raw.as_py()
+                else:
+                    got.append(raw.as_py())
+        if at is not None:
+            yield close(left, got)
+
+    return run
 
 
-def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) -> DataFrame:
-    """(place, doc_id, n_tokens, known, base, model, words, asks, open) of (place, doc_id, text): the sums
-    over the tokens that broadcast tables tell all of, those that lack a word's or a pair's count only, and
-    for each other token what is known of it."""
-    prior, levels = tree.prior, tree.levels
+PACKED = "block bigint, part int, raw binary"
+
+
+def _packed_rows(blocks, parts, raw) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(parts, pa.int32()), pa.array(raw, pa.binary())], names=["block", "part", "raw"])
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _zipped(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers, as one compressed string: the same bytes of all numbers stand together."""
+    raw = b"".join(np.array([x.itemsize, len(x)], np.int64).tobytes() + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzipped(raw: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    at, out = 0, []
+    while at < len(raw):
+        width, n = np.frombuffer(raw, np.int64, 2, at).tolist()
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n).T).reshape(-1).view(f"i{width}"))
+        at += 16 + width * n
+    return out
+
+
+class _Asking:
+    """The tokens of some texts that lack counts. Those with the same next word after the same longest
+    state are one situation: it is kept once and asks once, the tokens are its numbers."""
+
+    def __init__(self):
+        self.size, self.texts, self.kinds, self.pairs, self.states, self.n = 0, [], [], [], [], 0
+
+    def add(self, place, first, tok, token, c, deep, walked) -> None:
+        """tok: the tokens that ask; deep: each token's longest state; walked: (words, tokens, states, the next
+        shorter states, n, rest, pairs' keys, m) by length. n, rest, m and c are -1 where they are to be asked."""
+        kind, one, number = np.unique(_pair(deep[tok], token[tok]), return_index=True, return_inverse=True)
+        asks = np.diff(np.searchsorted(tok, first))
+        some = asks > 0
+        self.texts.append((place[some], asks[some], number.reshape(-1) + self.n))
+        one = tok[one]
+        mark = np.full(len(token), -1, np.int64)
+        mark[one] = np.arange(len(one)) + self.n
+        self.kinds.append((kind, token[one], c[one], deep[one]))
+        for k, at, ctx, up, n, rest, key, m in walked:
+            here = np.flatnonzero(mark[at] >= 0)
+            _, i = np.unique(ctx[here], return_index=True)
+            i = here[i]
+            self.states.append((ctx[i], up[i], np.full(len(i), k), n[i], rest[i]))
+            here = here[m[here] != 0]
+            self.pairs.append((mark[at[here]], ctx[here], key[here], m[here]))
+        self.n += len(kind)
+        self.size += len(tok)
+
+    def sent(self, block: int, parts: int):
+        """Rows (block, part, bytes): the keys to ask for, by part, and with part -1 what waits for them."""
+        place, asks, number = (np.concatenate(x) for x in zip(*self.texts, strict=True))
+        kind, word, c, deep = (np.concatenate(x) for x in zip(*self.kinds, strict=True))
+        none = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)]
+        of, at, key, m = (np.concatenate([e, *x]) for e, x in zip(none, zip(*self.pairs, strict=True) if self.pairs else [[]] * 4, strict=True))
+        none = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        ctx, up, k, n, rest = (np.concatenate([e, *x]) for e, x in zip(none, zip(*self.states, strict=True) if self.states else [[]] * 5, strict=True))
+        self.__init__()
+        # Situations of several blocks once, the most frequent first.
+        _, one, same = np.unique(kind, return_index=True, return_inverse=True)
+        same = same.reshape(-1)
+        order = np.argsort(-np.bincount(same[number], minlength=len(one)), kind="stable")
+        rank = np.empty(len(one), np.int64)
+        rank[order] = np.arange(len(one))
+        kept = np.zeros(len(kind), bool)
+        kept[one] = True
+        number = rank[same[number]]
+        word, c, deep = (x[one[order]] for x in (word, c, deep))
+        here = kept[of]
+        of, at, key, m = rank[same[of[here]]], at[here], key[here], m[here]
+        by = np.argsort(of, kind="stable")
+        of, at, key, m = of[by], at[by], key[by], m[by]
+        ctx, i = np.unique(ctx, return_index=True)
+        up, k, n, rest = up[i], k[i], n[i], rest[i]
+        state, at, up = (np.where(i >= 0, i, len(ctx)) for i in (lookup(ctx, x) for x in (deep, at, up)))
+        # Known numbers stay, others become the places of their keys, from -1 down.
+        asked, fields = [], [c, m, n, rest]
+        for x, keys in zip(fields, (word, key, _own(ctx), _escape(ctx)), strict=True):
+            asked.append(keys[x < 0])
+        keys, i = np.unique(np.concatenate(asked), return_inverse=True)
+        part = _part(keys, parts)
+        by = np.argsort(part, kind="stable")
+        found = np.empty(len(keys), np.int64)
+        found[by] = np.arange(len(keys))
+        found = -1 - found[i.reshape(-1)]
+        for x in fields:
+            todo = np.flatnonzero(x < 0)
+            x[todo], found = found[: len(todo)], found[len(todo) :]
+        n, rest, k, up = (np.append(x, e) for x, e in ((n, 0), (rest, 0), (k, 0), (up, len(ctx))))
+        small = lambda x: x.astype(np.int32)
+        left = _zipped(place, asks, small(number), c, small(state), small(np.bincount(of, minlength=len(one))), small(at), m, small(up), small(k), n, rest)
+        keys, part = keys[by], part[by]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        raw = [keys[i:j].tobytes() for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True)]
+        return _packed_rows(np.full(len(raw) + 1, block), np.append(part[cut], -1), [*raw, left])
+
+
+def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree, parts: int) -> DataFrame:
+    """Of (place, doc_id, text): (place, doc_id, n_tokens, known, base, model), the sums over the tokens that
+    broadcast tables tell all of; and rows (block, part, raw) of the other tokens, as _Asking has them."""
+    prior, levels, keep = tree.prior, tree.levels, tree.keep
+    names = ["place", "doc_id", "n_tokens", "known", "base", "model", "block", "part", "raw"]
+
+    def filled(batch: pa.RecordBatch, types: list) -> pa.RecordBatch:
+        own = dict(zip(batch.schema.names, batch.columns, strict=True))
+        return pa.RecordBatch.from_arrays([own.get(x, None) if x in own else pa.nulls(batch.num_rows, t) for x, t in zip(names, types, strict=True)], names=names)
 
     def run(batches):
         words, all_words, states, all_states, pairs, all_pairs, known, retained, may_pair, every_next = shared.value if shared else (None,) * 10
+        asking, block, types = _Asking(), TaskContext.get().partitionId() << 32, None
         for batch in batches:
+            types = [pa.int64(), batch.column(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.binary()]
             for lo, hi, buf, offsets in text_blocks(batch.column(2)):
                 token, first = sequence(find_words(buf, offsets, SPACED))
                 room = _room(first)
@@ -627,9 +808,10 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                 (c,) = words.get(token) if shared else (np.zeros(len(token), np.int64),)
                 if not shared or all_words:
                     c[c < 0] = 0
-                # A token's probability is plus + share * its word's + weight * the one count that is to be asked.
-                plus, share, weight, asked = np.zeros(len(token)), np.ones(len(token)), np.zeros(len(token)), np.zeros(len(token), np.uint64)
-                unknown = (c < 0).astype(np.int32)
+                # A token's probability is plus + share * its word's.
+                plus, share, asks, deep = np.zeros(len(token)), np.ones(len(token)), c < 0, np.zeros(len(token), np.uint64)
+                # A kept next word occurs keep times, and is kept in all suffixes of the state.
+                alive = (c >= keep) | ((c < 0) & (not every_next))
                 walked = []
                 at, windows = np.flatnonzero(room >= 1), _Windows(token)
                 for k in levels if shared else ():
@@ -644,60 +826,42 @@ def _scored(rows: DataFrame, id_type: str, shared, all_n: float, tree: Tree) ->
                         at, ctx, n, rest = at[n >= 0], ctx[n >= 0], n[n >= 0], rest[n >= 0]
                     key = _pair(ctx, token[at])
                     m = np.zeros(len(at), np.int64)
-                    ask = np.flatnonzero((c[at] >= 0) & _held(may_pair, key) if every_next else _held(may_pair, key))
-                    (m[ask],) = pairs.get(key[ask])
+                    may = np.flatnonzero(alive[at])
+                    may = may[_held(may_pair, key[may])]
+                    (m[may],) = pairs.get(key[may])
                     if all_pairs:
                         m = np.maximum(m, 0)
-                    unknown[at[n < 0]] += 2
-                    if not (all_states and all_pairs and all_words):
-                        walked.append((k, at, ctx, n, rest, key, m))
+                    alive[at[(n >= 0) & (m == 0)]] = False
+                    asks[at[(n < 0) | (m < 0)]] = True
+                    walked.append((k, at, ctx, deep[at], n, rest, key, m))
+                    deep[at] = ctx
                     keeps = (prior + np.maximum(rest, 0)) / (np.maximum(n, 0) + prior)
                     plus[at] = np.maximum(m, 0) / (np.maximum(n, 0) + prior) + keeps * plus[at]
                     share[at] *= keeps
-                    weight[at] *= keeps
-                    ask = np.flatnonzero(m < 0)
-                    unknown[at[ask]] += 1
-                    asked[at[ask]] = key[ask]
-                    weight[at[ask]] = 1 / (np.maximum(n[ask], 0) + prior)
                     at = every[_held(known, here)]
-                unknown[begins] = 0
-                sure, open_ = (unknown == 0) & ~begins, unknown > 1
-                one_word, one_pair = (unknown == 1) & (c < 0), (unknown == 1) & (c >= 0)
+                asks[begins] = False
                 q = (np.maximum(c, 0) + ALPHA) / all_n if shared else np.ones(len(token))
-                lists = []
-                for some, key, known_, times in ((one_word, token, plus + share * (ALPHA / all_n if shared else 0.0), share / (all_n or 1.0)), (one_pair, asked, plus + share * q, weight)):
-                    at = np.flatnonzero(some)
-                    items = pa.StructArray.from_arrays([pa.array(_signed(key[at])), pa.array(known_[at]), pa.array(times[at])], names=["key", "a", "b"])
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first).astype(np.int32)), items))
-                # Open tokens take all that is known of them along, the rest is asked in the join.
-                tok = [np.flatnonzero(open_)]
-                level, keys, val = [np.zeros(len(tok[0]), np.int32)], [token[tok[0]]], [c[tok[0]]]
-                for k, at, ctx, n, rest, key, m in walked:
-                    here = open_[at]
-                    for kind, own, vals in ((0, _own(ctx[here]), n[here]), (1, _escape(ctx[here]), rest[here]), (2, key[here], m[here])):
-                        level.append(np.full(len(vals), 3 * k + kind, np.int32))
-                        keys.append(own)
-                        val.append(vals)
-                        tok.append(at[here])
-                tok = np.concatenate(tok)
-                order = np.argsort(tok, kind="stable")
-                tok = tok[order]
-                fields = [np.concatenate(x)[order] for x in (level, keys, val)]
-                items = pa.StructArray.from_arrays([pa.array(tok.astype(np.int32)), pa.array(fields[0]), pa.array(_signed(fields[1])), pa.array(fields[2])], names=["tok", "level", "key", "val"])
+                told = (c >= 0) & ~begins  # a word's count enters at once
 
                 def sums(x, first=first):
                     return pa.array(np.add.reduceat(x, first[:-1]))
 
-                model = np.where(sure, np.log10(np.maximum(plus + share * q, 1e-300)), 0.0)
-                told = sure | one_pair
-                items = pa.ListArray.from_arrays(pa.array(np.searchsorted(tok, first).astype(np.int32)), items)
-                own = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1)]
-                columns = [*own, sums((told & (c > 0)).astype(np.int64)), sums(np.where(told, np.log10(q), 0.0)), sums(model), *lists, items]
-                yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "n_tokens", "known", "base", "model", "words", "asks", "open"])
-
-    one = "struct<key:bigint,a:double,b:double>"
-    item = "struct<tok:int,level:int,key:bigint,val:bigint>"
-    return rows.mapInArrow(trimmed(run), f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, words array<{one}>, asks array<{one}>, open array<{item}>")
+                model = np.where(asks | begins, 0.0, np.log10(np.maximum(plus + share * q, 1e-300)))
+                place = batch.column(0).slice(lo, hi - lo)
+                own = [place, batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first) - 1)]
+                columns = [*own, sums((told & (c > 0)).astype(np.int64)), sums(np.where(told, np.log10(q), 0.0)), sums(model)]
+                yield filled(pa.RecordBatch.from_arrays(columns, names=names[:6]), types)
+                tok = np.flatnonzero(asks)
+                if len(tok):
+                    asking.add(place.to_numpy(), first, tok, token, c, deep, walked)
+                if asking.size >= ASKED:
+                    yield filled(asking.sent(block, parts), types)
+                    block += 1
+                    give_back()
+        if asking.size:
+            yield filled(asking.sent(block, parts), types)
+
+    return rows.mapInArrow(trimmed(run), f"place bigint, doc_id {id_type}, n_tokens bigint, known bigint, base double, model double, block bigint, part int, raw binary")
 
 
 def evaluate(docs: DataFrame, mod: int = 10, remainder: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
